@@ -1,6 +1,6 @@
 """The registered queries."""
 
-from dataquay.plans import listing
+from dataquay.plans import listing, scans
 from dataquay.plans.registry import QUERIES, Tables
 
-__all__ = ["QUERIES", "Tables", "listing"]
+__all__ = ["QUERIES", "Tables", "listing", "scans"]

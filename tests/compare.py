@@ -83,7 +83,7 @@ def main() -> int:
         except Exception as error:  # report and go on with the next query
             problem, bad = f"{type(error).__name__}: {str(error)[:1500]}", True
         failed += bad
-        print(f"{'FAIL' if bad else 'ok':5}{name:28}{time.time() - start:6.1f}s  {problem or ''}", flush=True)
+        print(f"\n{'FAIL' if bad else 'ok':5}{name:28}{time.time() - start:6.1f}s  {problem or ''}", flush=True)
     print(f"{failed} failed")
     return failed
 
