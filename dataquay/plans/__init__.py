@@ -1,6 +1,8 @@
 """The registered queries."""
 
-from dataquay.plans import listing, scans
+from dataquay.plans import anonymity, changes, inference, listing, profiling, scans, streams
 from dataquay.plans.registry import QUERIES, Tables
 
-__all__ = ["QUERIES", "Tables", "listing", "scans"]
+__all__ = [
+    "QUERIES", "Tables", "anonymity", "changes", "inference", "listing", "profiling", "scans", "streams",
+]

@@ -309,32 +309,30 @@ def format_from_extension(t: Tables) -> DataFrame:
 
 # --- uploads ---------------------------------------------------------------
 
-def upload_parts(events: DataFrame, kinds: list[str]) -> DataFrame:
+# The five kinds of event stand for the five parts of an upload.
+EVENT_KINDS = ("click", "error", "purchase", "signup", "view")
+
+
+def upload_parts(events: DataFrame) -> DataFrame:
     """Events as part arrivals: the user is the file, the kind the part number."""
-    number = F.array_position(F.array(*[F.lit(k) for k in kinds]), F.col("event_type"))
+    number = F.array_position(F.array(*[F.lit(k) for k in EVENT_KINDS]), F.col("event_type"))
     return events.select(
-        F.col("user_id").alias("file"), number.alias("part"), F.lit(len(kinds)).cast("long").alias("total")
+        F.col("user_id").alias("file"), number.alias("part"), F.lit(len(EVENT_KINDS)).cast("long").alias("total")
     )
 
 
-def event_kinds(t: Tables) -> list[str]:
-    """The kinds of event, in order; they are an enumeration, so few."""
-    return [r[0] for r in t.events.select("event_type").distinct().orderBy("event_type").collect()]
-
-
-UPLOAD_PARTS = """kinds AS (
-  SELECT event_type, row_number() OVER (ORDER BY event_type) AS part FROM (SELECT DISTINCT event_type FROM events)),
-parts AS (SELECT user_id AS file, part FROM events JOIN kinds USING (event_type)),
-total AS (SELECT count(*) AS total FROM kinds)"""
+UPLOAD_PARTS = f"""parts AS (
+  SELECT user_id AS file, CAST(list_position({list(EVENT_KINDS)}, event_type) AS BIGINT) AS part,
+         CAST({len(EVENT_KINDS)} AS BIGINT) AS total FROM events)"""
 
 
 @query("upload_completeness", f"""
 WITH {UPLOAD_PARTS}
 SELECT file, count(DISTINCT part) AS parts_present, max(total) AS parts_expected,
        max(total) - count(DISTINCT part) AS parts_missing, count(DISTINCT part) = max(total) AS complete
-FROM parts, total GROUP BY file""")
+FROM parts GROUP BY file""")
 def upload_completeness(t: Tables) -> DataFrame:
-    return U.upload_completeness(upload_parts(t.events, event_kinds(t)), "file", "part", "total")
+    return U.upload_completeness(upload_parts(t.events), "file", "part", "total")
 
 
 @query("upload_missing_parts", """
