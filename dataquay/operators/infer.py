@@ -10,12 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dataquay.functions import cells as C
-from dataquay.functions.text import without_nul
-from dataquay.vocabulary import INFER_LINES, MAX_DIGITS, TEXT_ABOVE
+from dataquay.vocabulary import MAX_DIGITS, TEXT_ABOVE
 
 # Delimiters that are voted on, in the order that wins a tie.
 DELIMITERS = (",", ";", "\t")
@@ -103,19 +102,19 @@ def fold_cells(classed: DataFrame) -> DataFrame:
         F.max("scale").alias("scale"),
         F.max(F.col("cell_class") == C.MISSING).alias("nullable"),
     )
-    merged = by_length.groupBy("column_index").agg(
+    # From here on there are at most as many rows as cell lengths and patterns.
+    first = F.min("first_char").over(Window.partitionBy("column_index"))
+    counted = F.when(F.col("last_filled") >= F.col("first_char"), F.col("cell_length"))
+    merged = by_length.withColumn("first_char", first).groupBy("column_index").agg(
         F.min("first_char").alias("first_char"),
+        F.max(counted).alias("size"),
         F.max_by("format_index", "last_datetime").alias("format_index"),
         *[F.max(c).alias(c) for c in (
             "last_datetime", "last_decimal", "last_text", "last_int64", "last_int32",
             "precision", "scale", "nullable",
         )],
-        # (length, last position): as many as there are lengths of a cell.
-        F.collect_list(F.struct("cell_length", "last_filled")).alias("lengths"),
     )
-    from_first = F.filter("lengths", lambda x: x["last_filled"] >= F.col("first_char"))
-    size = F.array_max(F.transform(from_first, lambda x: x["cell_length"]))
-    typed = merged.withColumns({"type": _fold_type(), "size": size})
+    typed = merged.withColumn("type", _fold_type())
     is_decimal = F.col("type") == "DECIMAL"
     return typed.select(
         "column_index",
@@ -144,7 +143,8 @@ def infer_columns(
     rows = cell_rows(df, names, order_column, width)
     folded = fold_cells(classify_cells(rows, missing))
     declared = df.sparkSession.createDataFrame(list(enumerate(names)), "position int, name string")
-    joined = declared.join(folded, declared["position"] == folded["column_index"], "left")
+    # One row per column on either side.
+    joined = declared.join(F.broadcast(folded), declared["position"] == folded["column_index"], "left")
     return joined.select(
         "position",
         "name",
@@ -179,9 +179,3 @@ def infer_delimiter(df: DataFrame, text: str, keys: Sequence[str] = ()) -> DataF
     votes = [F.coalesce(F.sum(c), F.lit(0)).alias(f"_{i}") for i, c in enumerate(delimiter_counts(F.col(text)))]
     counted = df.groupBy(*keys).agg(*votes)
     return counted.select(*keys, winner([F.col(f"_{i}") for i in range(len(DELIMITERS))]).alias("delimiter"))
-
-
-def first_lines(lines: DataFrame, count: int | None = INFER_LINES) -> DataFrame:
-    """The lines inference looks at, without NUL characters; None means all."""
-    cleaned = lines.select(without_nul(F.col("value")).alias("value"))
-    return cleaned if count is None else cleaned.limit(count)

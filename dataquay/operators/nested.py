@@ -2,8 +2,8 @@
 
 A parent may have so many children that one list would not fit in a task. Its
 document then goes on over several rows, numbered by ``part``: each row holds
-at most about ``part_rows`` children of a kind, and no child is left out. Parents with fewer
-children, the normal case, get the one row with ``part`` 0.
+about ``part_rows`` children of a kind, and no child is left out. Parents with
+fewer children, the normal case, get the one row with ``part`` 0.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dataquay.operators.positions import explode_range
+
 PART_ROWS = 10_000
 KNOWN_LARGE = 10_000
 
@@ -31,27 +33,31 @@ class Children(NamedTuple):
     fields: Sequence[str]
 
 
-def _spread(child: Children, part_rows: int) -> DataFrame:
-    """Child rows as (key, part, item); only large families have parts above 0."""
-    item = F.struct(*child.fields)
-    rows = child.rows.select(F.col(child.parent).alias("_key"), item.alias("_item"))
-    large = (
+def _stack(frames: Sequence[DataFrame]) -> DataFrame:
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
+def _large_families(children: Mapping[str, Children], part_rows: int) -> DataFrame | None:
+    """(_key, _parts) of the parents whose lists need several parts, None if there are none.
+
+    Finding them costs a count per parent key, reduced before its shuffle. A
+    short result is kept as a local relation, small enough to broadcast; a long
+    one stays a relation, and joins with it are split by AQE where keys are hot.
+    """
+    counts = [
         child.rows.groupBy(F.col(child.parent).alias("_key"))
         .agg(F.count("*").alias("_n"))
         .where(F.col("_n") > part_rows)
-        .select("_key", F.ceil(F.col("_n") / part_rows).cast("long").alias("_parts"))
-    )
-    # Large families are rare; a short list of them rides along with the scan.
-    # A long one is joined by key, where AQE splits the skewed side.
+        for child in children.values()
+    ]
+    parts = F.ceil(F.max("_n") / part_rows).cast("long").alias("_parts")
+    large = _stack(counts).groupBy("_key").agg(parts)
     known = large.limit(KNOWN_LARGE + 1).collect()
     if not known:
-        return rows.select("_key", F.lit(0).cast("long").alias("part"), "_item")
-    if len(known) <= KNOWN_LARGE:
-        large = F.broadcast(rows.sparkSession.createDataFrame(known, large.schema))
-    part = F.pmod(F.xxhash64("_item"), F.col("_parts"))
-    return rows.join(large, "_key", "left").select(
-        "_key", F.coalesce(part, F.lit(0)).cast("long").alias("part"), "_item"
-    )
+        return None
+    if len(known) > KNOWN_LARGE:
+        return large
+    return F.broadcast(large.sparkSession.createDataFrame(known, large.schema))
 
 
 def nest_children(
@@ -62,26 +68,41 @@ def nest_children(
 ) -> DataFrame:
     """Parents left-joined to lists of their children, one list column per kind.
 
-    All kinds travel in one shuffle by (parent, part). A parent without
-    children gets empty lists.
+    All kinds travel in one shuffle. It is by parent alone when every list fits
+    in a part, and the join then needs no other; with large families it is by
+    (parent, part), so that the children of one parent spread over tasks.
+    A parent without children gets empty lists.
     """
     kinds = list(children)
-    tall = []
-    for kind in kinds:
-        spread = _spread(children[kind], part_rows)
-        tall.append(spread.withColumnRenamed("_item", f"_{kind}"))
-    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tall)
-    # Explicit, so that the large-family join's partitioning by key alone is
-    # not taken as good enough for grouping by (key, part).
+    stacked = _stack([
+        child.rows.select(F.col(child.parent).alias("_key"), F.struct(*child.fields).alias(f"_{kind}"))
+        for kind, child in children.items()
+    ])
+    large = _large_families(children, part_rows)
+    first = F.lit(0).cast("long")
+    if large is None:
+        keys = ["_key"]
+        placed = stacked.withColumn("part", first)
+        numbered = parents.withColumns({"_key": F.col(key), "part": first})
+    else:
+        keys = ["_key", "part"]
+        item = F.xxhash64(*[f"_{kind}" for kind in kinds])
+        part = F.coalesce(F.pmod(item, F.col("_parts")), first)
+        placed = stacked.join(large, "_key", "left").withColumn("part", part).drop("_parts")
+        spread = parents.withColumn("_key", F.col(key)).join(large, "_key", "left")
+        numbered = explode_range(spread, "part", F.coalesce("_parts", F.lit(1))).drop("_parts")
+    # Explicit, so that a join by key alone never stands in for these keys.
     lists = (
-        stacked.repartition("_key", "part")
+        placed.repartition(*keys)
         .groupBy("_key", "part")
         .agg(*[F.sort_array(F.collect_list(f"_{kind}")).alias(kind) for kind in kinds])
     )
-    joined = parents.join(lists, parents[key] == lists["_key"], "left").drop("_key")
-    filled = {"part": F.coalesce("part", F.lit(0).cast("long"))}
-    for kind in kinds:
-        filled[kind] = F.coalesce(kind, F.array().cast(lists.schema[kind].dataType))
+    if large is None:
+        lists = lists.drop("part")
+    joined = numbered.join(lists, keys, "left").drop("_key")
+    filled = {
+        kind: F.coalesce(kind, F.array().cast(lists.schema[kind].dataType)) for kind in kinds
+    }
     return joined.withColumns(filled)
 
 

@@ -10,6 +10,20 @@ from pyspark.sql import functions as F
 from dataquay.session import checkpoint_root
 
 
+# Long ranges are exploded in two steps, so that no row holds a whole range.
+RANGE_BLOCK = 10_000
+
+
+def explode_range(df: DataFrame, name: str, length: Column, first: int = 0) -> DataFrame:
+    """Repeat each row ``length`` times, numbered in column ``name`` from ``first``."""
+    size = length.cast("long")
+    blocks = F.sequence(F.lit(0).cast("long"), F.floor((size - 1) / RANGE_BLOCK))
+    blocked = df.withColumns({"_size": size, "_block": F.explode(blocks)})
+    start = F.col("_block") * RANGE_BLOCK
+    stop = F.least(start + RANGE_BLOCK, F.col("_size")) - 1
+    return blocked.withColumn(name, F.explode(F.sequence(start + first, stop + first))).drop("_size", "_block")
+
+
 def rows_between(df: DataFrame, order: Sequence[Column], start: int, stop: int) -> DataFrame:
     """Rows ``start`` to ``stop`` (0-based, end excluded) of a total order, with ``rank`` from 1.
 
@@ -17,7 +31,8 @@ def rows_between(df: DataFrame, order: Sequence[Column], start: int, stop: int)
     against lost executors. Row counts per partition (one number each) then
     tell which partitions the wanted rows are in; only those are numbered.
     """
-    checkpoint_root(df.sparkSession)
+    spark = df.sparkSession
+    checkpoint_root(spark)
     laid_out = (
         df.orderBy(*order)
         .withColumn("_part", F.spark_partition_id())
@@ -29,26 +44,24 @@ def rows_between(df: DataFrame, order: Sequence[Column], start: int, stop: int)
         if before < stop and before + n > start:
             offsets.append((part, before))
         before += n
-    if not offsets:
-        return laid_out.where(F.lit(False)).drop("_part").withColumn("rank", F.lit(0).cast("long"))
-    offset = F.lit(None).cast("long")
-    for part, first in offsets:
-        offset = F.when(F.col("_part") == part, F.lit(first).cast("long")).otherwise(offset)
-    inside = laid_out.where(F.col("_part").isin([p for p, _ in offsets]))
+    # One row per partition of the sort at most.
+    wanted = F.broadcast(spark.createDataFrame(offsets, "_part int, _before long"))
     number = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    ranked = inside.withColumn("rank", number.cast("long") + offset)
-    return ranked.where((F.col("rank") > start) & (F.col("rank") <= stop)).drop("_part")
+    ranked = laid_out.join(wanted, "_part").withColumn("rank", number.cast("long") + F.col("_before"))
+    return ranked.where((F.col("rank") > start) & (F.col("rank") <= stop)).drop("_part", "_before")
 
 
 def quantiles(
     counts: DataFrame, group: str, value: str, weight: str, probabilities: Sequence[float]
 ) -> DataFrame:
-    """Exact interpolated quantiles per group, from (group, value, weight) rows.
+    """Exact interpolated quantiles per group, from one (group, value, weight) row per value.
 
     The rows are range-sorted by (group, value) and checkpointed. Weights per
     partition give the position each partition starts at; running sums are
     then taken only in the partitions that hold a wanted position. No group has
     to fit in one task.
+
+    Result: the group, its number of distinct values, and ``quantiles``.
     """
     checkpoint_root(counts.sparkSession)
     laid_out = (
@@ -60,13 +73,16 @@ def quantiles(
         .checkpoint()
     )
     by_part = Window.partitionBy("_group").orderBy("_part")
-    spans = laid_out.groupBy("_group", "_part").agg(F.sum("_weight").alias("_in_part"))
+    spans = laid_out.groupBy("_group", "_part").agg(
+        F.sum("_weight").alias("_in_part"), F.count("*").alias("_values")
+    )
     spans = spans.select(
         "_group",
         "_part",
         (F.sum("_in_part").over(by_part) - F.col("_in_part")).alias("_before"),
         F.sum("_in_part").over(by_part).alias("_after"),
         F.sum("_in_part").over(Window.partitionBy("_group")).alias("_total"),
+        F.sum("_values").over(Window.partitionBy("_group")).alias("distinct_values"),
     )
 
     def wanted(p: float) -> Column:
@@ -81,7 +97,7 @@ def quantiles(
     inside = laid_out.join(spans, ["_group", "_part"]).withColumn("_after", F.col("_before") + running)
     inside = inside.withColumn("_before", F.col("_after") - F.col("_weight")).where(hit)
     # At most two rows per probability are left in a group.
-    found = inside.groupBy("_group", "_total").agg(
+    found = inside.groupBy("_group", "_total", "distinct_values").agg(
         F.collect_list(F.struct("_before", "_after", "_value")).alias("_hits")
     )
 
@@ -94,5 +110,5 @@ def quantiles(
         return low + (high - low) * (wanted(p) - F.floor(wanted(p)))
 
     return found.select(
-        F.col("_group").alias(group), F.array(*[interpolated(p) for p in probabilities]).alias("quantiles")
+        F.col("_group").alias(group), "distinct_values", F.array(*[interpolated(p) for p in probabilities]).alias("quantiles")
     )

@@ -9,6 +9,7 @@ position in a distributed sort of those counts.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,42 +62,68 @@ MOMENTS = ("mean_value", "std_deviation", "min_value", "max_value", "missing_tot
 
 
 def value_counts(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """(position, v, n): how often each value of each column occurs, as text."""
-    pairs = [x for i, n in enumerate(names) for x in (F.lit(i), _ref(n).cast("string"))]
-    cells = df.select(F.stack(F.lit(len(names)), *pairs).alias("position", "v"))
-    return cells.where(F.col("v").isNotNull()).groupBy("position", "v").agg(F.count("*").alias("n"))
+    """(position, l, d, s, n): how often each value of each column occurs.
+
+    Whole numbers are in ``l``, other floats in ``d``, and all else in ``s`` as
+    text; keys of fixed width keep the aggregate fast.
+    """
+    def slots(name: str) -> list[Column]:
+        dtype, c = df.schema[name].dataType, _ref(name)
+        l, d, s = F.lit(None).cast("long"), F.lit(None).cast("double"), F.lit(None).cast("string")
+        if isinstance(dtype, T.IntegralType):
+            l = c.cast("long")
+        elif isinstance(dtype, (T.FloatType, T.DoubleType)):
+            d = c.cast("double")
+        else:
+            s = c.cast("string")
+        return [l, d, s]
+
+    values = [x for i, n in enumerate(names) for x in (F.lit(i), *slots(n))]
+    cells = df.select(F.stack(F.lit(len(names)), *values).alias("position", "l", "d", "s"))
+    filled = F.col("l").isNotNull() | F.col("d").isNotNull() | F.col("s").isNotNull()
+    return cells.where(filled).groupBy("position", "l", "d", "s").agg(F.count("*").alias("n"))
 
 
 def _exact_quantiles(df: DataFrame, names: Sequence[str], probabilities: Sequence[float]) -> DataFrame:
-    """(position, quantiles) for the numeric columns among ``names``."""
-    numeric = [i for i, n in enumerate(names) if _is_number(df, n)]
-    counts = value_counts(df, [names[i] for i in numeric]).select(
-        "position", F.col("v").cast("double").alias("v"), "n"
-    )
-    found = quantiles(counts, "position", "v", "n", probabilities)
-    place = F.get(F.array(*[F.lit(i) for i in numeric]), F.col("position"))
-    return found.withColumn("position", place)
+    """(position, distinct_values, quantiles) of numeric columns."""
+    value = F.coalesce(F.col("l").cast("double"), "d", F.col("s").try_cast("double"))
+    counts = value_counts(df, names).select("position", value.alias("v"), "n")
+    return quantiles(counts, "position", "v", "n", probabilities)
+
+
+def _exact_ranks(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """(position, distinct_values, median) of columns of any type."""
+    numbers = [i for i, n in enumerate(names) if _is_number(df, n)]
+    others = [i for i in range(len(names)) if i not in numbers]
+    found = []
+    if numbers:
+        medians = _exact_quantiles(df, [names[i] for i in numbers], MEDIAN)
+        found.append(_renumbered(medians, numbers).select("position", "distinct_values", F.get("quantiles", F.lit(0)).alias("median")))
+    if others:
+        distinct = value_counts(df, [names[i] for i in others]).groupBy("position").agg(F.count("*").alias("distinct_values"))
+        found.append(_renumbered(distinct, others).withColumn("median", F.lit(None).cast("double")))
+    return reduce(DataFrame.unionByName, found)
+
+
+def _renumbered(df: DataFrame, places: Sequence[int]) -> DataFrame:
+    """Positions in a subset of the columns as positions in the whole."""
+    return df.withColumn("position", F.get(F.array(*[F.lit(i) for i in places]), F.col("position")))
 
 
 def profile_columns(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = False) -> DataFrame:
     """Statistics of each column: distinct, mean, median, min, max, deviation, missing.
 
-    Min, max and median are text, since a column may have any type.
+    Min, max and median are text, since a column may have any type. The quick
+    form estimates distinct values and medians; the exact one shuffles each
+    distinct value once.
     """
     names = list(columns or df.columns)
     aggregates = [a for i, n in enumerate(names) for a in _moments(df, i, n)]
     if exact:
         moments = _one_row_per_column(df.agg(*aggregates), names, MOMENTS)
-        distinct = value_counts(df, names).groupBy("position").agg(F.count("*").alias("distinct_values"))
-        result = moments.join(distinct, "position", "left").withColumn(
+        result = moments.join(_exact_ranks(df, names), "position", "left").withColumn(
             "distinct_values", F.coalesce("distinct_values", F.lit(0))
         )
-        if any(_is_number(df, n) for n in names):
-            median = _exact_quantiles(df, names, MEDIAN)
-            result = result.join(median, "position", "left")
-        else:
-            result = result.withColumn("quantiles", F.lit(None).cast("array<double>"))
-        result = result.withColumn("median", F.get("quantiles", F.lit(0))).drop("quantiles")
     else:
         nothing = F.max(F.lit(None).cast("double"))
         for i, n in enumerate(names):

@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Part numbers are listed in blocks, so that no row holds a file's whole list.
-BLOCK = 10_000
-
+from dataquay.operators.positions import explode_range
 
 def upload_completeness(parts: DataFrame, file: str, part: str, total: str) -> DataFrame:
     """One row per file: parts present, parts expected, and whether all are there.
@@ -29,12 +27,7 @@ def missing_parts(parts: DataFrame, file: str, part: str, total: str) -> DataFra
     """One row (file, part) per part that incomplete files still wait for."""
     status = upload_completeness(parts, file, part, total)
     open_files = status.where(~F.col("complete")).select(file, "parts_expected")
-    blocks = open_files.withColumn(
-        "_block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(parts_expected - 1) div {BLOCK}")))
-    )
-    first = F.col("_block") * BLOCK + 1
-    last = F.least(first + (BLOCK - 1), F.col("parts_expected"))
-    expected = blocks.select(file, F.explode(F.sequence(first, last)).alias(part))
+    expected = explode_range(open_files, part, F.col("parts_expected"), first=1).select(file, part)
     present = parts.select(file, F.col(part).cast("long").alias(part)).distinct()
     return expected.join(present, [file, part], "left_anti")
 

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from dataquay.functions.cells import missing_tokens
 from dataquay.functions.convert import Attribute, convert_columns
-from dataquay.functions.text import default_names, header_names
+from dataquay.functions.text import default_names, header_names, without_nul
 from dataquay.functions.typemaps import schema_attributes
 from dataquay.operators import infer
 from dataquay.operators.catalog import sample_head
@@ -295,7 +295,7 @@ def infer_csv(spark: SparkSession, spec: SourceSpec, lines: int | None = INFER_L
     # Header cells may repeat; columns are told apart by position here.
     read = read_csv_text(spark, spec, [f"_{i}" for i in range(len(names))])
     read = read if lines is None else read.limit(lines - int(spec.is_first_line_header))
-    cells = [F.coalesce(infer.without_nul(F.col(f"_{i}")), F.lit("")).alias(f"_{i}") for i in range(len(names))]
+    cells = [F.coalesce(without_nul(F.col(f"_{i}")), F.lit("")).alias(f"_{i}") for i in range(len(names))]
     width = _cells_in_record(F.col(BAD_RECORD), spec)
     rows = read.select(*cells, BAD_RECORD)
     inferred = infer.infer_columns(

@@ -37,11 +37,27 @@ class UploadTracker:
     def _read(self, kind: str) -> DataFrame:
         return self.spark.read.schema(self.stored).parquet(self._folder(kind))
 
-    def start(self, arrivals: DataFrame, part: str, total: str, **trigger) -> StreamingQuery:
-        """Follow a stream of (file, part, total) rows."""
-        new = arrivals.select(
-            self.file, part, F.col(total).cast("long").alias("parts_expected")
-        ).dropDuplicates([self.file, part])
+    def start(
+        self,
+        arrivals: DataFrame,
+        part: str,
+        total: str,
+        time: str | None = None,
+        resend_within: str = "7 days",
+        **trigger,
+    ) -> StreamingQuery:
+        """Follow a stream of (file, part, total) rows.
+
+        Every part ever seen is remembered, unless ``time`` names an arrival
+        time: parts are then forgotten after ``resend_within``, which bounds
+        the state, and a part must not be sent again later than that.
+        """
+        columns = [self.file, part, F.col(total).cast("long").alias("parts_expected")]
+        if time is None:
+            new = arrivals.select(*columns).dropDuplicates([self.file, part])
+        else:
+            timed = arrivals.select(*columns, F.col(time).cast("timestamp").alias("_time"))
+            new = timed.withWatermark("_time", resend_within).dropDuplicatesWithinWatermark([self.file, part])
         return (
             new.writeStream.outputMode("append")
             .foreachBatch(self._take)
