@@ -85,7 +85,7 @@ def without_nul(c: Column) -> Column:
 
 def clean_path(c: Column) -> Column:
     """Drop trailing slashes, and fold doubled slashes outside the scheme."""
-    return F.regexp_replace(F.regexp_replace(c, "(?<!:)/{2,}", "/"), "(?<!/)/$", "")
+    return F.regexp_replace(F.regexp_replace(c, "(?<![:/])/{2,}", "/"), "(?<!/)/$", "")
 
 
 def export_name(name: Column, format_: Column, as_csv: Column | None = None) -> Column:
