@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 MISSING, CHAR, TEXT = "MISSING", "CHAR", "TEXT"
 DATETIME, DECIMAL, INT32, INT64 = "DATETIME", "DECIMAL", "INT32", "INT64"
 
-_DIGITS = r"\d+(?:_\d+)*"
 # What counts as a number: single underscores between digits are allowed,
-# named values (nan, inf) and type suffixes are not.
+# named values (nan, inf) and type suffixes are not. Digits never backtrack.
+_DIGITS = r"\d++(?:_\d++)*+"
 NUMBER = rf"^\s*[+-]?(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?\s*$"
 
 # Month-and-day texts. Feb 29 is in; only it depends on the year.
@@ -67,7 +67,7 @@ def blank_to_null(v: Column, tokens: Sequence[str] = ()) -> Column:
 
 def numeric_value(v: Column) -> Column:
     """The cell as a double, NULL when it is not a number; it may be infinite."""
-    plain = F.replace(v, F.lit("_"), F.lit(""))
+    plain = F.when(v.contains("_"), F.replace(v, F.lit("_"), F.lit(""))).otherwise(v)
     return F.when(v.rlike(NUMBER), plain.try_cast("double"))
 
 
@@ -105,7 +105,7 @@ def classify(v: Column, number: Column, pattern: Column, tokens: Sequence[str] =
     A number too large for a double is text, like a named infinity.
     """
     # A leading zero marks a code, not a number, unless a fraction follows.
-    code = v.rlike("(?s)^0[^.]")
+    code = v.startswith("0") & (F.length(v) > 1) & (F.substring(v, 2, 1) != ".")
     whole = F.rint(number) == number
     # Both bounds are outside the 32-bit class.
     small = (number > -2147483648) & (number < 2147483647)

@@ -50,6 +50,12 @@ def strip_accents(c: Column) -> Column:
     return F.translate(c, found, plain)
 
 
+@cache
+def _blanks() -> str:
+    """All characters that count as blank, control and no-break blanks included."""
+    return "".join(c for c in map(chr, range(0xD800)) if c.isspace())
+
+
 @F.pandas_udf(T.StringType())
 def strip_accents_full(values: pd.Series) -> pd.Series:
     """Full decomposition for any script, in Arrow batches."""
@@ -72,9 +78,7 @@ def default_names(count: int) -> list[str]:
 
 def normalise_header(c: Column) -> Column:
     """:func:`header_name` for a column of header cells."""
-    # Python's strip() also takes the control blanks and the no-break blanks.
-    blank = r"[\s\p{Z}\x1c-\x1f\x85]+"
-    trimmed = F.regexp_replace(c, f"^{blank}|{blank}$", "")
+    trimmed = F.btrim(c, F.lit(_blanks()))
     short = F.lower(F.left(strip_accents(trimmed), F.lit(HEADER_CHARS)))
     return F.regexp_replace(short, r"[^\p{L}\p{N}]", "_")
 

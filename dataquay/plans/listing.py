@@ -175,7 +175,7 @@ def shared_sources(t: Tables) -> DataFrame:
 @query("sources_with_attributes", f"""
 WITH {S.SOURCES}, {S.ATTRIBUTES}
 SELECT s.id, s.name, CAST(0 AS BIGINT) AS part, count(a.name) AS n_attributes,
-       coalesce(string_agg(a.name || ':' || a.type, ',' ORDER BY a.name), '') AS attributes
+       coalesce(string_agg(a.name || ':' || a.type, ',' ORDER BY a.name, a.type), '') AS attributes
 FROM sources s LEFT JOIN attributes a ON a.data_source_id = s.id GROUP BY s.id, s.name""")
 def sources_with_attributes(t: Tables) -> DataFrame:
     documents = N.nest_children(

@@ -188,6 +188,8 @@ def jdbc_options(spec: SourceSpec) -> dict[str, str]:
     """Options for Spark's JDBC reader; credentials come from the URL.
 
     The user and password stand before the host, or else in the query string.
+    A read that ``use_options`` partitions takes the command as a derived
+    table, which is the form Spark can split.
     """
     from urllib.parse import parse_qs, urlsplit
 
@@ -196,9 +198,12 @@ def jdbc_options(spec: SourceSpec) -> dict[str, str]:
     port = f":{url.port}" if url.port else (":3306" if url.scheme == "mysql" else "")
     options = {
         "url": f"jdbc:{url.scheme}://{url.hostname}{port}{url.path}",
-        "query": spec.command or "",
         **spec.use_options,
     }
+    if "partitionColumn" in options:
+        options["dbtable"] = f"({spec.command}) AS source"
+    else:
+        options["query"] = spec.command or ""
     user = url.username or asked.get("user", [None])[0]
     password = url.password or asked.get("password", [None])[0]
     if user:

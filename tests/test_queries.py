@@ -24,7 +24,7 @@ def test_quick_profile_is_near_the_exact_one(tables):
     for exact in QUERIES["profile_columns"].run(tables).collect():
         near = quick[exact["name"]]
         assert near["distinct_values"] == pytest.approx(exact["distinct_values"], rel=0.1)
-        assert float(near["median_value"]) == pytest.approx(exact["median_value"], rel=0.05)
+        assert float(near["median_value"]) == pytest.approx(exact["median_value"], rel=0.05, abs=1)
         assert near["missing_total"] == exact["missing_total"]
 
 

@@ -166,6 +166,9 @@ def test_jdbc_options_take_credentials_from_either_place():
     assert R.jdbc_options(spec) == {"url": "jdbc:mysql://db:3306/shop", "query": "SELECT 1", "user": "ann", "password": "s3"}
     spec = R.SourceSpec("JDBC", "mysql://db:3307/shop?user=bo&password=x", scheme="mysql", command="SELECT 1")
     assert R.jdbc_options(spec) == {"url": "jdbc:mysql://db:3307/shop", "query": "SELECT 1", "user": "bo", "password": "x"}
+    split = {"partitionColumn": "id", "lowerBound": "0", "upperBound": "9", "numPartitions": "3"}
+    spec = R.SourceSpec("JDBC", "mysql://db/shop", scheme="mysql", command="SELECT * FROM t", use_options=split)
+    assert R.jdbc_options(spec) == {"url": "jdbc:mysql://db:3306/shop", "dbtable": "(SELECT * FROM t) AS source", **split}
 
 
 def test_sample_has_a_maximum(spark, tmp_path):
