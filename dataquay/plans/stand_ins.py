@@ -40,13 +40,16 @@ SOURCES = """sources AS (
   FROM orders)"""
 
 
-def grants(t: Tables) -> DataFrame:
+def _level():
     flag = F.col("l_returnflag")
-    level = F.when(flag == "R", "READ").when(flag == "A", "WRITE").otherwise("MANAGE")
+    return F.when(flag == "R", "READ").when(flag == "A", "WRITE").otherwise("MANAGE")
+
+
+def grants(t: Tables) -> DataFrame:
     return t.lineitem.select(
         F.col("l_orderkey").alias("data_source_id"),
         F.col("l_suppkey").alias("user_id"),
-        level.alias("permission"),
+        _level().alias("permission"),
     )
 
 
@@ -57,8 +60,16 @@ GRANTS = """grants AS (
 
 
 def unique_grants(t: Tables) -> DataFrame:
-    """One permission per (source, user): the strongest by name order."""
-    return grants(t).groupBy("data_source_id", "user_id").agg(F.min("permission").alias("permission"))
+    """One permission per (source, user): the first by name.
+
+    The minimum is taken over numbers, which Spark aggregates by hash; for text
+    it would sort.
+    """
+    names = ("MANAGE", "READ", "WRITE")
+    listed = F.array(*[F.lit(n) for n in names])
+    place = F.array_position(listed, F.col("permission"))
+    first = grants(t).groupBy("data_source_id", "user_id").agg(F.min(place).alias("place"))
+    return first.select("data_source_id", "user_id", F.element_at(listed, F.col("place").cast("int")).alias("permission"))
 
 
 UNIQUE_GRANTS = f"""{GRANTS}, unique_grants AS (
@@ -67,11 +78,12 @@ UNIQUE_GRANTS = f"""{GRANTS}, unique_grants AS (
 
 def attributes(t: Tables) -> DataFrame:
     """Line items as attributes; equal rows count once."""
-    return t.lineitem.select(
+    lines = t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_linestatus").distinct()
+    return lines.select(
         F.col("l_orderkey").alias("data_source_id"),
         F.concat_ws("_", F.lit("a"), "l_partkey", "l_suppkey", "l_linenumber").alias("name"),
         F.col("l_linestatus").alias("type"),
-    ).distinct()
+    )
 
 
 ATTRIBUTES = """attributes AS (
@@ -139,12 +151,10 @@ MODELS = """models AS (
 
 def model_grants(t: Tables) -> DataFrame:
     """Each supplier is shared with the owners of the parts it ships."""
-    flag = F.col("l_returnflag")
-    level = F.when(flag == "R", "READ").when(flag == "A", "WRITE").otherwise("MANAGE")
     return t.lineitem.select(
         F.col("l_suppkey").alias("model_id"),
         F.col("l_linenumber").cast("long").alias("user_id"),
-        level.alias("permission"),
+        _level().alias("permission"),
     )
 
 

@@ -20,7 +20,8 @@ WITH {UPLOAD_PARTS}
 SELECT file, count(DISTINCT part) AS parts_present, max(total) AS parts_expected
 FROM parts GROUP BY file HAVING count(DISTINCT part) = {len(EVENT_KINDS)}""")
 def stream_upload_completeness(t: Tables) -> DataFrame:
-    events = t.spark.readStream.schema(t.events.schema).parquet(t.path("events"))
+    # A glob, since a stream takes a folder or a pattern, and a table may be one file.
+    events = t.spark.readStream.schema(t.events.schema).parquet(f"{t.folder}/event[s].parquet")
     arrivals = upload_parts(events)
     tracker = UploadTracker(t.spark, scratch_dir(t.spark, "uploads"), arrivals.schema["file"])
     tracker.start(arrivals, "part", "total").awaitTermination()

@@ -38,17 +38,14 @@ def checkpoint_root(spark: SparkSession) -> str:
     ``spark.checkpoint.dir`` names it on a cluster. Only a local session may
     fall back to a folder of its own, since there every task sees the same disk.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
     context = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None)
     existing = context.getCheckpointDir()
-    if existing:
-        return existing
-    if not context.master.startswith("local"):
+    if not configured and not existing and not context.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-    folder = tempfile.mkdtemp(prefix="dataquay-")
-    context.setCheckpointDir(folder)
+    folder = configured or existing or tempfile.mkdtemp(prefix="dataquay-")
+    if not existing:
+        context.setCheckpointDir(folder)
     return folder
 
 

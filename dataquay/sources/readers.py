@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import codecs
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -231,12 +231,17 @@ def parquet_attributes(spark: SparkSession, path: str) -> DataFrame:
 Reader = Callable[[SparkSession, SourceSpec], DataFrame]
 
 
-def _read_csv_source(spark: SparkSession, spec: SourceSpec) -> DataFrame:
+def _read_local_csv(spark: SparkSession, spec: SourceSpec) -> DataFrame:
+    """Rows of a wrong width are kept; without declared columns there is one."""
     return read_csv(spark, spec) if spec.attributes else read_csv_unschematised(spark, spec)
 
 
+def _read_cluster_csv(spark: SparkSession, spec: SourceSpec) -> DataFrame:
+    """Rows of a wrong width are skipped; undeclared columns come from the header."""
+    return read_csv(spark, spec if spec.attributes else inferred_spec(spark, spec), skip_malformed=True)
+
+
 FILE_READERS: dict[str, Reader] = {
-    "CSV": _read_csv_source,
     "JSON": read_json_lines,
     "PARQUET": read_parquet,
     "TEXT": read_text,
@@ -244,6 +249,8 @@ FILE_READERS: dict[str, Reader] = {
 FILE_SCHEMES = ("file", "hdfs")
 READERS: dict[tuple[str, str], Reader] = {
     **{(scheme, f): reader for scheme in FILE_SCHEMES for f, reader in FILE_READERS.items()},
+    ("file", "CSV"): _read_local_csv,
+    ("hdfs", "CSV"): _read_cluster_csv,
     ("mysql", "JDBC"): read_jdbc,
     ("hive", "HIVE"): read_command,
     ("hive2", "HIVE"): read_command,
@@ -310,6 +317,14 @@ def infer_csv(spark: SparkSession, spec: SourceSpec, lines: int | None = INFER_L
     return inferred.withColumn("name", shown)
 
 
+def inferred_spec(spark: SparkSession, spec: SourceSpec) -> SourceSpec:
+    """The source with columns named by its header and typed by its first records."""
+    headed = replace(spec, is_first_line_header=True)
+    found = infer_csv(spark, headed).orderBy("position").collect()
+    attributes = tuple(Attribute(r["name"], r["type"], r["precision"], r["scale"], r["format"]) for r in found)
+    return replace(headed, attributes=attributes)
+
+
 INFERRED = (
     "position int, name string, type string, size int, precision int, scale int, "
     "format string, nullable boolean"

@@ -1,6 +1,7 @@
 """Readers, schema inference of files, exports."""
 
 import gzip
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -73,7 +74,7 @@ def test_quoted_records_may_span_lines(spark, tmp_path):
     spec = R.SourceSpec("CSV", write(tmp_path, text), is_first_line_header=True, is_multiline=True)
     size = R.infer_csv(spark, spec).where("name = 'note'").first()["size"]
     assert size == len('two\nlines, "quoted"')
-    read = R.SourceSpec(**{**spec.__dict__, "attributes": (Attribute("id", "INTEGER"), Attribute("note", "TEXT"))})
+    read = replace(spec, attributes=(Attribute("id", "INTEGER"), Attribute("note", "TEXT")))
     assert [r["note"] for r in R.read_source(spark, read).orderBy("id").collect()] == ['two\nlines, "quoted"', "plain"]
 
 
@@ -107,6 +108,17 @@ def test_malformed_rows(spark, tmp_path):
     assert [(r["id"], r["name"]) for r in kept] == [(1, "a"), (2, None), (3, "c")]
 
 
+def test_cluster_files_skip_malformed_rows_and_name_their_columns(spark, tmp_path):
+    path = write(tmp_path, "id,When\n1,2020-01-02\n2\n3,31/01/2020\n")
+    declared = R.SourceSpec("CSV", path, scheme="hdfs", attributes=PEOPLE_ATTRIBUTES[:2], is_first_line_header=True)
+    assert [r["id"] for r in R.read_source(spark, declared).collect()] == [1, 3]
+    rows = R.read_source(spark, R.SourceSpec("CSV", path, scheme="hdfs")).collect()
+    # The last pattern seen is the column's; the other date is reported.
+    assert [(r["id"], str(r["when"]), r[ERRORS]) for r in rows] == [
+        (1, "None", ["when: <Invalid data>: `2020-01-02`"]), (3, "2020-01-31 00:00:00", [])
+    ]
+
+
 def test_header_only_and_empty_files(spark, tmp_path):
     header = R.SourceSpec("CSV", write(tmp_path, "a,b\n"), is_first_line_header=True)
     assert facts(R.infer_csv(spark, header)) == [("a", "CHARACTER", False), ("b", "CHARACTER", False)]
