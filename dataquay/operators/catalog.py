@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from dataquay.operators.positions import rows_between
 from dataquay.vocabulary import PAGE_SIZE, PERMISSIONS, SAMPLE_MAX, SAMPLE_ROWS, SYSTEM_USERS
 
+# The columns of the preset lists.
 SIMPLE_SOURCE_FIELDS = (
     "id", "name", "description", "created", "tags", "format", "user_name",
     "permissions", "user_id", "privacy_aware", "download_token",

@@ -92,6 +92,27 @@ def upsert(t: Tables) -> DataFrame:
     return M.upsert(old, new, "url", ["updated", "id"])
 
 
+@query("upsert_models", """
+WITH old AS (SELECT s_suppkey AS id, 'task-' || CAST(s_suppkey AS VARCHAR) AS task_id, s_name AS name, s_acctbal AS score FROM supplier),
+new AS (SELECT l_suppkey + l_linenumber * 40 AS number, max(l_shipdate) AS made, max(l_orderkey) AS id FROM lineitem GROUP BY 1)
+SELECT coalesce(old.id, new.id) AS id, coalesce(old.task_id, 'task-' || CAST(number AS VARCHAR)) AS task_id,
+       CASE WHEN number IS NOT NULL THEN strftime(made, '%Y-%m-%d') ELSE name END AS name, score
+FROM old FULL JOIN new ON task_id = 'task-' || CAST(number AS VARCHAR)""")
+def upsert_models(t: Tables) -> DataFrame:
+    """Models are replaced by the task that made them, and keep their id."""
+    old = t.supplier.select(
+        F.col("s_suppkey").alias("id"), F.concat(F.lit("task-"), F.col("s_suppkey").cast("string")).alias("task_id"),
+        F.col("s_name").alias("name"), F.col("s_acctbal").alias("score"),
+    )
+    number = F.col("l_suppkey") + F.col("l_linenumber") * 40
+    made = t.lineitem.groupBy(number.alias("number")).agg(F.max("l_shipdate").alias("at"), F.max("l_orderkey").alias("id"))
+    new = made.select(
+        "id", F.concat(F.lit("task-"), F.col("number").cast("string")).alias("task_id"),
+        F.date_format("at", "yyyy-MM-dd").alias("name"), "at",
+    )
+    return M.upsert(old, new, "task_id", ["at"])
+
+
 @query("partial_update", """
 SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'P' THEN 7 ELSE o_custkey END AS user_id,
        CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderpriority END AS format,

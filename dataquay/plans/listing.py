@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from dataquay.functions.text import iso_datetime
 from dataquay.operators import catalog as K
+from dataquay.operators import listing as Q
 from dataquay.operators import nested as N
 from dataquay.operators import relations as R
 from dataquay.plans import stand_ins as S
@@ -425,3 +426,71 @@ def sample_head(t: Tables) -> DataFrame:
     known = t.orders.select(F.col("o_orderkey").alias("_key"), F.lit(True).alias("_known"))
     joined = sample.join(known, sample["o_orderkey"] == known["_key"], "left")
     return joined.agg(F.count("*").alias("sampled"), F.count("_known").alias("known"))
+
+
+# --- whole requests --------------------------------------------------------
+
+_VISIBLE = f"""visible AS (
+  SELECT * FROM sources
+  WHERE enabled AND name ILIKE '%order 1%' AND (user_id = {S.USER} OR is_public
+     OR id IN (SELECT data_source_id FROM grants WHERE user_id = {S.USER})))"""
+
+
+def _request(**more) -> Q.Request:
+    return Q.Request(S.USER, text="ORDER 1", enabled="true", sort="user_id", ascending=False, **more)
+
+
+@query("list_sources", f"""
+WITH {S.SOURCES}, {S.GRANTS}, {S.ATTRIBUTES}, {_VISIBLE},
+ranked AS (SELECT row_number() OVER (ORDER BY user_id DESC, id) AS rank, id, name, user_id FROM visible),
+att AS (SELECT data_source_id, string_agg(name || ':' || type, ',' ORDER BY name, type) AS listed FROM attributes GROUP BY 1)
+SELECT rank, id, name, user_id, coalesce(listed, '') AS attributes
+FROM ranked LEFT JOIN att ON data_source_id = id WHERE rank BETWEEN 51 AND 100""")
+def list_sources(t: Tables) -> DataFrame:
+    rows, _ = Q.list_sources(S.sources(t), S.grants(t), S.attributes(t), _request(page=2, size=50))
+    text = F.transform("attributes", lambda a: F.concat_ws(":", a["name"], a["type"]))
+    return rows.select("rank", "id", "name", "user_id", F.array_join(text, ",").alias("attributes"))
+
+
+@query("list_sources_summary", f"""
+WITH {S.SOURCES}, {S.GRANTS}, {_VISIBLE}
+SELECT count(*) AS total, CAST(ceil(count(*) / 50.0) AS BIGINT) AS pages FROM visible""")
+def list_sources_summary(t: Tables) -> DataFrame:
+    return Q.list_sources(S.sources(t), S.grants(t), S.attributes(t), _request(size=50, simple=True))[1]
+
+
+@query("list_models", f"""
+WITH {S.MODELS}, {S.MODEL_GRANTS}, {S.STORAGES}, ranked AS (
+  SELECT row_number() OVER (ORDER BY name, id) AS rank, * FROM models
+  WHERE enabled AND name LIKE '%Supplier%' AND (user_id = 5 OR id IN (SELECT model_id FROM model_grants WHERE user_id = 5)))
+SELECT rank, r.id, r.name, st.name AS storage_name FROM ranked r JOIN storages st ON st.id = r.user_id WHERE rank <= 20""")
+def list_models(t: Tables) -> DataFrame:
+    models = S.models(t).withColumns({"type": F.lit("KERAS"), "storage_id": F.col("user_id")})
+    rows, _ = Q.list_models(models, S.model_grants(t), S.storages(t), Q.Request(5, text="Supplier", types="KERAS"))
+    return rows.select("rank", "id", "name", F.col("storage.name").alias("storage_name"))
+
+
+@query("list_storages", f"""
+WITH {S.STORAGES}, ranked AS (SELECT row_number() OVER (ORDER BY name DESC, id) AS rank, id, name FROM storages WHERE name ILIKE '%nation_1%')
+SELECT * FROM ranked WHERE rank BETWEEN 6 AND 10""")
+def list_storages(t: Tables) -> DataFrame:
+    typed = S.storages(t).withColumn("type", F.lit("HDFS"))
+    request = Q.Request(S.USER, text="nation_1", sort="name", ascending=False, page=2, size=5)
+    return Q.list_storages(typed, request)[0].drop("type")
+
+
+@query("source_by_id", f"""
+WITH {S.STORED_SOURCES}, {S.STORAGES}, {S.ATTRIBUTES}, {S.GRANTS}
+SELECT s.id, s.name, st.name AS storage_name, CASE WHEN s.user_id = {S.USER} THEN st.url END AS storage_url,
+       (SELECT coalesce(string_agg(a.name, ',' ORDER BY a.name), '') FROM attributes a WHERE a.data_source_id = s.id) AS attributes
+FROM stored_sources s JOIN storages st ON st.id = s.storage_id
+WHERE s.id = 77 AND (s.user_id = {S.USER} OR is_public OR s.id IN (SELECT data_source_id FROM grants WHERE user_id = {S.USER}))""")
+def source_by_id(t: Tables) -> DataFrame:
+    document = Q.source_by_id(
+        S.stored_sources(t), S.grants(t), S.storages(t), {"attributes": S.attributes(t)}, 77, S.USER
+    )
+    names = F.array_join(F.transform("attributes", lambda a: a["name"]), ",")
+    return document.select(
+        "id", "name", F.col("storage.name").alias("storage_name"), F.col("storage.url").alias("storage_url"),
+        names.alias("attributes"),
+    )

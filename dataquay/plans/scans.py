@@ -491,3 +491,21 @@ def json_extract(t: Tables) -> DataFrame:
         "event_id", parsed["user"].alias("user"), parsed["use_hostname"].alias("use_hostname"),
         F.array_join(parsed["resources"], ",").alias("resources"),
     )
+
+
+# --- encodings -------------------------------------------------------------
+
+@query("csv_encoded", """
+SELECT c_custkey, 'Açores ' || c_name AS c_name, c_mktsegment || chr(9) || '"' AS c_mktsegment FROM customer""")
+def csv_encoded(t: Tables) -> DataFrame:
+    """Latin-1, gzip, a named delimiter and quotes in cells."""
+    path = scratch_dir(t.spark, "latin1")
+    rows = t.customer.select(
+        "c_custkey", F.concat(F.lit("Açores "), "c_name").alias("c_name"),
+        F.concat("c_mktsegment", F.lit('\t"')).alias("c_mktsegment"),
+    )
+    options = {"encoding": "ISO-8859-1", "compression": "gzip", "sep": "\t", "escape": '"', "quote": '"'}
+    rows.write.options(**options).csv(path)
+    attributes = (Attribute("c_custkey", "LONG"), Attribute("c_name", "CHARACTER"), Attribute("c_mktsegment", "CHARACTER"))
+    spec = R.SourceSpec("CSV", path, attributes=attributes, attribute_delimiter="{tab}", encoding="latin1")
+    return R.read_source(t.spark, spec).drop(ERRORS)
