@@ -29,6 +29,7 @@ HEADLINES = (
     "visible_sources",
     "sources_with_attributes",
     "source_document",
+    "list_sources",
     "sort_page",
     "page_deep",
     "fk_join",

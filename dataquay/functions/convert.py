@@ -67,29 +67,41 @@ def convert_columns(
     that cell becomes NULL.
     """
     present = set(df.columns)
-    columns, errors = [], []
-    for attribute in attributes:
-        name = attribute.name
-        if name not in present:
-            target = spark_type(attribute.type, attribute.precision, attribute.scale)
-            columns.append(F.lit(None).cast(target).alias(name))
-            continue
-        cell = blank_to_null(F.col(f"`{name}`").cast("string"), tokens)
-        value = convert(cell, attribute)
-        columns.append(value.alias(name))
-        message = F.concat(F.lit(f"{name}: <Invalid data>: `"), cell, F.lit("`"))
-        errors.append(F.when(cell.isNotNull() & value.isNull(), message))
+    read = [a for a in attributes if a.name in present]
+    # Three steps, so that no cell is cleaned or converted twice.
+    cells = df.select(
+        *keep,
+        *[
+            blank_to_null(F.col(f"`{a.name}`").cast("string"), tokens).alias(f"_cell{i}")
+            for i, a in enumerate(read)
+        ],
+    )
+    values = cells.withColumns({f"_value{i}": convert(F.col(f"_cell{i}"), a) for i, a in enumerate(read)})
+    errors = [
+        F.when(
+            F.col(f"_cell{i}").isNotNull() & F.col(f"_value{i}").isNull(),
+            F.concat(F.lit(f"{a.name}: <Invalid data>: `"), F.col(f"_cell{i}"), F.lit("`")),
+        )
+        for i, a in enumerate(read)
+    ]
     listed = F.array_compact(F.array(*errors)) if errors else F.array().cast("array<string>")
-    return df.select(*columns, *keep, listed.alias(ERRORS))
+    place = {a.name: i for i, a in enumerate(read)}
+    typed = [
+        F.col(f"_value{place[a.name]}").alias(a.name)
+        if a.name in place
+        else F.lit(None).cast(spark_type(a.type, a.precision, a.scale)).alias(a.name)
+        for a in attributes
+    ]
+    return values.select(*typed, *keep, listed.alias(ERRORS))
 
 
 def columns_with_errors(df: DataFrame, attributes: Sequence[Attribute], tokens: Sequence[str] = ()) -> DataFrame:
     """One row per declared column: how many cells do not fit its type."""
     counts = []
-    for attribute in attributes:
+    for i, attribute in enumerate(attributes):
         cell = blank_to_null(F.col(f"`{attribute.name}`").cast("string"), tokens)
-        counts.append(F.count_if(cell.isNotNull() & convert(cell, attribute).isNull()).alias(attribute.name))
-    totals = df.agg(*counts)
-    return totals.select(
-        F.explode(F.array(*[F.struct(F.lit(a.name).alias("name"), F.col(f"`{a.name}`").alias("bad_cells")) for a in attributes]))
-    ).select("col.*")
+        counts.append(F.count_if(cell.isNotNull() & convert(cell, attribute).isNull()).alias(f"_{i}"))
+    rows = F.array(*[
+        F.struct(F.lit(a.name).alias("name"), F.col(f"_{i}").alias("bad_cells")) for i, a in enumerate(attributes)
+    ])
+    return df.agg(*counts).select(F.explode(rows).alias("r")).select("r.*")

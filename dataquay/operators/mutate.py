@@ -6,7 +6,6 @@ A snapshot is never changed in place: write each result to a new location.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -221,7 +220,3 @@ def lookup_violations(sources: DataFrame, attributes: DataFrame) -> DataFrame:
     joined = sources.where("is_lookup").join(counts, "id", "left")
     filled = joined.withColumn("attributes", F.coalesce("attributes", F.lit(0)))
     return filled.where(F.col("attributes") != 2)
-
-
-def union_all(frames: Sequence[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

@@ -23,11 +23,13 @@ def ingest_csv(spark: SparkSession, spec: SourceSpec, root: str, **trigger) -> S
     raw = spark.readStream.schema(T.StructType(fields)).options(**csv_options(spec)).csv(spec.path)
 
     def take(batch: DataFrame, batch_id: int) -> None:
-        checked = convert_columns(batch, spec.attributes, spec.tokens, keep=[BAD_RECORD])
+        # Both sides come from one parse of the files.
+        checked = convert_columns(batch, spec.attributes, spec.tokens, keep=[BAD_RECORD]).persist()
         good = F.col(BAD_RECORD).isNull() & (F.size(ERRORS) == 0)
         rows = checked.where(good).drop(BAD_RECORD, ERRORS)
         rows.write.mode("overwrite").parquet(f"{root}/rows/batch={batch_id}")
         checked.where(~good).write.mode("overwrite").parquet(f"{root}/rejected/batch={batch_id}")
+        checked.unpersist()
 
     return (
         raw.writeStream.foreachBatch(take)
