@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dataquay.session import checkpoint_root
+from dataquay.session import scratch_dir
 
 
 # Long ranges are exploded in two steps, so that no row holds a whole range.
@@ -24,30 +24,36 @@ def explode_range(df: DataFrame, name: str, length: Column, first: int = 0) -> D
     return blocked.withColumn(name, F.explode(F.sequence(start + first, stop + first))).drop("_size", "_block")
 
 
+def _sorted_table(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
+    """The relation sorted by range and written, each row with its ``_part`` of the sort.
+
+    The written table fixes the layout against lost executors, and a filter on
+    ``_part`` skips the files of other parts.
+    """
+    path = scratch_dir(df.sparkSession, "sorted")
+    numbered = df.orderBy(*order).withColumn("_part", F.spark_partition_id())
+    numbered.write.parquet(path)
+    return df.sparkSession.read.schema(numbered.schema).parquet(path)
+
+
 def rows_between(df: DataFrame, order: Sequence[Column], start: int, stop: int) -> DataFrame:
     """Rows ``start`` to ``stop`` (0-based, end excluded) of a total order, with ``rank`` from 1.
 
-    The relation is sorted by range and checkpointed, which fixes the layout
-    against lost executors. Row counts per partition (one number each) then
-    tell which partitions the wanted rows are in; only those are numbered.
+    Row counts per part of a distributed sort (one number each) tell which
+    parts the wanted rows are in; only those are read again and numbered.
     """
-    spark = df.sparkSession
-    checkpoint_root(spark)
-    laid_out = (
-        df.orderBy(*order)
-        .withColumn("_part", F.spark_partition_id())
-        .checkpoint()
-    )
+    laid_out = _sorted_table(df, order)
     counts = sorted(laid_out.groupBy("_part").count().collect())
     offsets, before = [], 0
     for part, n in counts:
         if before < stop and before + n > start:
             offsets.append((part, before))
         before += n
-    # One row per partition of the sort at most.
-    wanted = F.broadcast(spark.createDataFrame(offsets, "_part int, _before long"))
+    # One row per part of the sort at most.
+    wanted = F.broadcast(df.sparkSession.createDataFrame(offsets, "_part int, _before long"))
+    inside = laid_out.where(F.col("_part").isin([part for part, _ in offsets])).join(wanted, "_part")
     number = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    ranked = laid_out.join(wanted, "_part").withColumn("rank", number.cast("long") + F.col("_before"))
+    ranked = inside.withColumn("rank", number.cast("long") + F.col("_before"))
     return ranked.where((F.col("rank") > start) & (F.col("rank") <= stop)).drop("_part", "_before")
 
 
@@ -56,23 +62,19 @@ def quantiles(
 ) -> DataFrame:
     """Exact interpolated quantiles per group, from one (group, value, weight) row per value.
 
-    The rows are range-sorted by (group, value) and checkpointed. Weights per
-    partition give the position each partition starts at; running sums are
-    then taken only in the partitions that hold a wanted position. No group has
-    to fit in one task.
+    Meant for few groups, such as the columns of a relation, of any size.
+    Weights per part of a distributed sort by (group, value) give the position
+    each part starts at; only the parts that hold a wanted position are read
+    again, for running sums. No group has to fit in one task.
 
     Result: the group, its number of distinct values, and ``quantiles``.
     """
-    checkpoint_root(counts.sparkSession)
-    laid_out = (
-        counts.select(
-            F.col(group).alias("_group"), F.col(value).alias("_value"), F.col(weight).alias("_weight")
-        )
-        .orderBy("_group", "_value")
-        .withColumn("_part", F.spark_partition_id())
-        .checkpoint()
+    named = counts.select(
+        F.col(group).alias("_group"), F.col(value).alias("_value"), F.col(weight).alias("_weight")
     )
+    laid_out = _sorted_table(named, ["_group", "_value"])
     by_part = Window.partitionBy("_group").orderBy("_part")
+    whole = Window.partitionBy("_group")
     spans = laid_out.groupBy("_group", "_part").agg(
         F.sum("_weight").alias("_in_part"), F.count("*").alias("_values")
     )
@@ -81,8 +83,8 @@ def quantiles(
         "_part",
         (F.sum("_in_part").over(by_part) - F.col("_in_part")).alias("_before"),
         F.sum("_in_part").over(by_part).alias("_after"),
-        F.sum("_in_part").over(Window.partitionBy("_group")).alias("_total"),
-        F.sum("_values").over(Window.partitionBy("_group")).alias("distinct_values"),
+        F.sum("_in_part").over(whole).alias("_total"),
+        F.sum("_values").over(whole).alias("distinct_values"),
     )
 
     def wanted(p: float) -> Column:
@@ -90,11 +92,15 @@ def quantiles(
 
     ranks = F.array(*[f(wanted(p)).cast("long") for p in probabilities for f in (F.floor, F.ceil)])
     hit = F.exists("_ranks", lambda r: (r >= F.col("_before")) & (r < F.col("_after")))
-    spans = spans.withColumn("_ranks", ranks).where(hit)
+    spans = spans.withColumn("_ranks", ranks).where(hit).drop("_after")
+    # At most two parts per group and probability.
+    known = spans.collect()
+    few = F.broadcast(counts.sparkSession.createDataFrame(known, spans.schema))
     running = F.sum("_weight").over(
         Window.partitionBy("_group", "_part").orderBy("_value").rowsBetween(Window.unboundedPreceding, 0)
     )
-    inside = laid_out.join(spans, ["_group", "_part"]).withColumn("_after", F.col("_before") + running)
+    inside = laid_out.where(F.col("_part").isin([r["_part"] for r in known])).join(few, ["_group", "_part"])
+    inside = inside.withColumn("_after", F.col("_before") + running)
     inside = inside.withColumn("_before", F.col("_after") - F.col("_weight")).where(hit)
     # At most two rows per probability are left in a group.
     found = inside.groupBy("_group", "_total", "distinct_values").agg(
@@ -110,5 +116,7 @@ def quantiles(
         return low + (high - low) * (wanted(p) - F.floor(wanted(p)))
 
     return found.select(
-        F.col("_group").alias(group), "distinct_values", F.array(*[interpolated(p) for p in probabilities]).alias("quantiles")
+        F.col("_group").alias(group),
+        "distinct_values",
+        F.array(*[interpolated(p) for p in probabilities]).alias("quantiles"),
     )

@@ -20,7 +20,8 @@ from dataquay.operators.positions import quantiles
 
 DECILES = tuple(i / 10 for i in range(1, 10))
 MEDIAN = (0.5,)
-DISTINCT_ERROR = 0.02
+# 2^12 registers: distinct counts are off by about 1.6 %.
+DISTINCT_LOG_SIZE = 12
 QUANTILE_ACCURACY = 10_000
 
 
@@ -58,6 +59,11 @@ def _moments(df: DataFrame, i: int, name: str) -> list[Column]:
     ]
 
 
+def _approximate_distinct(c: Column) -> Column:
+    hashed = F.when(c.isNotNull(), F.xxhash64(c))
+    return F.coalesce(F.hll_sketch_estimate(F.hll_sketch_agg(hashed, F.lit(DISTINCT_LOG_SIZE))), F.lit(0))
+
+
 MOMENTS = ("mean_value", "std_deviation", "min_value", "max_value", "missing_total")
 
 
@@ -129,7 +135,7 @@ def profile_columns(df: DataFrame, columns: Sequence[str] | None = None, exact:
         for i, n in enumerate(names):
             sketch = F.approx_percentile(_ref(n).cast("double"), MEDIAN[0], QUANTILE_ACCURACY)
             aggregates += [
-                F.approx_count_distinct(_ref(n), DISTINCT_ERROR).alias(f"{i}_distinct_values"),
+                _approximate_distinct(_ref(n)).alias(f"{i}_distinct_values"),
                 (sketch if _is_number(df, n) else nothing).alias(f"{i}_median"),
             ]
         result = _one_row_per_column(df.agg(*aggregates), names, (*MOMENTS, "distinct_values", "median"))
