@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from typing import NamedTuple
 
@@ -24,18 +25,27 @@ class Attribute(NamedTuple):
     format: str | None = None
 
 
-def reading_pattern(label: str) -> str:
-    """The pattern that reads what a stored date pattern stands for.
+# Stored patterns show two-digit fields; cells may have one digit, and one to
+# six digits of a second's fraction.
+_FIELDS = {"yyyy": r"(?<y>\d{4})", "MM": r"(?<m>\d{1,2})", "dd": r"(?<d>\d{1,2})"}
+_CLOCK = r"(?<t>\d{1,2}:\d{1,2}:\d{1,2})"
+_CLOCK_FRACTION = r"[Tt](?<t>\d{1,2}:\d{1,2}:\d{1,2}\.\d{1,6})[Zz]"
 
-    Stored patterns show two-digit fields; cells may have one digit, and one to
-    six digits of a second's fraction.
+
+def read_datetime(c: Column, label: str) -> Column:
+    """Wall-clock time of a cell that follows a stored date pattern, else NULL.
+
+    The cell is put in ISO order and cast, so that no time zone is involved:
+    hours that the session's zone skips are read like all others.
     """
-    date, zulu, _ = label.partition("THH:mm:ss.Z")
-    loose = date.replace("MM", "M").replace("dd", "d").replace("HH:mm:ss", "H:m:s")
-    if zulu:
-        fraction = "".join(f"[{'S' * n}]" for n in range(6, 0, -1))
-        loose += f"'T'H:m:s.{fraction}'Z'"
-    return loose
+    pattern = re.escape(label)
+    for name, digits in _FIELDS.items():
+        pattern = pattern.replace(name, digits)
+    clock = r"\ HH:mm:ss" in pattern or "THH:mm:ss" in pattern
+    pattern = pattern.replace(r"THH:mm:ss\.Z", _CLOCK_FRACTION).replace(r"\ HH:mm:ss", rf"\s+{_CLOCK}")
+    iso = "${y}-${m}-${d}" + (" ${t}" if clock else "")
+    ordered = F.regexp_replace(c, f"^{pattern}$", iso)
+    return F.when(c.rlike(f"^{pattern}$"), ordered.try_cast("timestamp_ntz"))
 
 
 def convert(c: Column, attribute: Attribute) -> Column:
@@ -50,7 +60,7 @@ def convert(c: Column, attribute: Attribute) -> Column:
     if kind in ("array", "struct"):
         return F.from_json(trimmed, target.simpleString(), {"mode": "PERMISSIVE"})
     if attribute.format and kind in ("timestamp_ntz", "date"):
-        return F.try_to_timestamp(trimmed, F.lit(reading_pattern(attribute.format))).cast(target)
+        return read_datetime(trimmed, attribute.format).cast(target)
     return trimmed.try_cast(target)
 
 

@@ -122,7 +122,7 @@ def format_from_name(name: Column) -> Column:
 
 
 def iso_datetime(c: Column) -> Column:
-    """ISO-8601 text; microseconds only when there are any."""
-    whole = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
-    micros = F.date_format(c, "SSSSSS")
-    return F.concat(whole, F.when(micros != "000000", F.concat(F.lit("."), micros)).otherwise(""))
+    """ISO-8601 text of a wall-clock time; microseconds only when there are any."""
+    text = F.replace(c.cast("timestamp_ntz").cast("string"), F.lit(" "), F.lit("T"))
+    micros = F.rpad(F.substring_index(text, ".", -1), 6, "0")
+    return F.when(text.contains("."), F.concat(F.substring_index(text, ".", 1), F.lit("."), micros)).otherwise(text)

@@ -52,7 +52,18 @@ def band(c: Column, width: float) -> Column:
 
 
 def calendar_unit(c: Column, unit: str) -> Column:
-    return F.date_trunc(unit, c).cast("timestamp_ntz")
+    """Start of the calendar unit a wall-clock time is in, without any time zone."""
+    day = c.cast("date")
+    if unit in ("year", "quarter", "month", "week"):
+        return F.trunc(day, unit).cast("timestamp_ntz")
+    zero = F.lit(0)
+    clock = {
+        "day": (zero, zero, zero),
+        "hour": (F.hour(c), zero, zero),
+        "minute": (F.hour(c), F.minute(c), zero),
+        "second": (F.hour(c), F.minute(c), F.second(c)),
+    }
+    return day.cast("timestamp_ntz") + F.make_dt_interval(zero, *clock[unit])
 
 
 def category(c: Column, categories: dict[str, str]) -> Column:

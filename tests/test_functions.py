@@ -12,6 +12,7 @@ from dataquay.functions import locations as L
 from dataquay.functions import text as X
 from dataquay.functions import typemaps as M
 from dataquay.functions.convert import Attribute, convert
+from dataquay.operators.privacy import calendar_unit
 
 
 def column(spark, values, fn):
@@ -89,7 +90,35 @@ def test_iso_datetime(spark):
     assert found == ["2020-01-02T03:04:05", "2020-01-02T03:04:05.500000"]
 
 
+def test_skipped_hours_are_read_and_written(spark):
+    """A wall-clock time that the session's zone leaves out is a time like others."""
+    spark.conf.set("spark.sql.session.timeZone", "America/Sao_Paulo")
+    try:
+        attribute = Attribute("c", "DATETIME", format="dd/MM/yyyy HH:mm:ss")
+        read = column(spark, ["15/10/1995 00:30:00"], lambda v: convert(v, attribute).cast("string"))
+        assert read == ["1995-10-15 00:30:00"]
+        assert column(spark, ["1995-10-15 00:30:00"], lambda v: X.iso_datetime(v.cast("timestamp_ntz"))) == ["1995-10-15T00:30:00"]
+        hour = column(spark, ["1995-10-15 00:30:00"], lambda v: calendar_unit(v.cast("timestamp_ntz"), "hour").cast("string"))
+        assert hour == ["1995-10-15 00:00:00"]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+@pytest.mark.parametrize("unit, start", [
+    ("year", "2020-01-01 00:00:00"), ("quarter", "2020-04-01 00:00:00"), ("month", "2020-05-01 00:00:00"),
+    ("week", "2020-05-04 00:00:00"), ("day", "2020-05-06 00:00:00"), ("hour", "2020-05-06 07:00:00"),
+    ("minute", "2020-05-06 07:08:00"), ("second", "2020-05-06 07:08:09"),
+])
+def test_calendar_units(spark, unit, start):
+    found = column(spark, ["2020-05-06 07:08:09.5"], lambda v: calendar_unit(v.cast("timestamp_ntz"), unit).cast("string"))
+    assert found == [start]
+
+
 @pytest.mark.parametrize("text, attribute, value", [
+    ("31/2/2020", Attribute("c", "DATE", format="dd/MM/yyyy"), None),
+    ("3.4.2020", Attribute("c", "DATE", format="dd.MM.yyyy"), "2020-04-03"),
+    ("3x4x2020", Attribute("c", "DATE", format="dd.MM.yyyy"), None),
+    ("2020-01-02 25:00:00", Attribute("c", "DATETIME", format="yyyy-MM-dd HH:mm:ss"), None),
     (" 12 ", Attribute("c", "INTEGER"), "12"), ("1.5", Attribute("c", "INTEGER"), None),
     ("1.239", Attribute("c", "DECIMAL", 5, 2), "1.24"), ("3", Attribute("c", "DECIMAL"), "3.0000"),
     ("3/4/2020 1:2:3", Attribute("c", "DATETIME", format="dd/MM/yyyy HH:mm:ss"), "2020-04-03 01:02:03"),
