@@ -183,6 +183,7 @@ def page(df: DataFrame, order: Sequence[Column], number: int = 1, size: int = PA
     if start + size > SHALLOW_ROWS:
         return rows_between(df, order, start, start + size)
     rows = df.orderBy(*order).offset(start).limit(size)
+    # No more rows than one page get here.
     rank = F.row_number().over(Window.orderBy(*order)).cast("long") + F.lit(start)
     return rows.withColumn("rank", rank)
 

@@ -16,9 +16,9 @@ RANGE_BLOCK = 10_000
 
 def explode_range(df: DataFrame, name: str, length: Column, first: int = 0) -> DataFrame:
     """Repeat each row ``length`` times, numbered in column ``name`` from ``first``."""
-    size = length.cast("long")
-    blocks = F.sequence(F.lit(0).cast("long"), F.floor((size - 1) / RANGE_BLOCK))
-    blocked = df.withColumns({"_size": size, "_block": F.explode(blocks)})
+    sized = df.withColumn("_size", length.cast("long")).where("_size > 0")
+    blocks = F.sequence(F.lit(0).cast("long"), F.floor((F.col("_size") - 1) / RANGE_BLOCK))
+    blocked = sized.withColumn("_block", F.explode(blocks))
     start = F.col("_block") * RANGE_BLOCK
     stop = F.least(start + RANGE_BLOCK, F.col("_size")) - 1
     return blocked.withColumn(name, F.explode(F.sequence(start + first, stop + first))).drop("_size", "_block")

@@ -261,6 +261,15 @@ def export_csv(t: Tables) -> DataFrame:
     return R.read_source(t.spark, spec).drop(ERRORS)
 
 
+@query("export_csv_download", """
+SELECT 'c_custkey,c_name,c_nationkey,c_acctbal' AS value
+UNION ALL SELECT concat_ws(',', c_custkey, c_name, c_nationkey, CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS VARCHAR)) FROM customer""")
+def export_csv_download(t: Tables) -> DataFrame:
+    path = scratch_dir(t.spark, "download")
+    W.export_csv_download(t.customer.select("c_custkey", "c_name", "c_nationkey", _money("c_acctbal")), path)
+    return t.spark.read.text(path)
+
+
 @query("compact_parquet", "SELECT * FROM customer")
 def compact_parquet(t: Tables) -> DataFrame:
     parts, whole = scratch_dir(t.spark, "parts"), scratch_dir(t.spark, "whole")

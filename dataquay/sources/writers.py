@@ -6,22 +6,38 @@ import math
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Files of a compacted source are about this large.
 FILE_BYTES = 512 * 1024 * 1024
 
 
-def export_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
-    """Write a source as CSV with a header.
+CSV_OPTIONS = {
+    # Empty text is quoted, which tells it from NULL when it is read back.
+    "emptyValue": '""',
+    "escape": '"',
+    "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss[.SSSSSS]",
+}
+
+
+def export_csv(df: DataFrame, path: str) -> None:
+    """Write a source as CSV files, each with a header, that readers take as one."""
+    df.write.options(header=True, **CSV_OPTIONS).csv(path)
 
-    Every file has the header line. ``single_file`` writes one file in one
-    task; it is for downloads of a size one machine can take.
+
+def export_csv_download(df: DataFrame, path: str) -> None:
+    """Write a source as parts of one CSV file with a single header.
+
+    The parts, put together in the order of their names, are the file; the
+    header is a part of its own, the first. Every part is written by its own
+    task, so the source may be of any size.
     """
-    out = df.coalesce(1) if single_file else df
-    # Empty text is quoted, which tells it from NULL when it is read back.
-    out.write.option("header", True).option("emptyValue", '""').option(
-        "timestampNTZFormat", "yyyy-MM-dd HH:mm:ss[.SSSSSS]"
-    ).option("escape", '"').csv(path)
+    names = df.sparkSession.createDataFrame([tuple(df.columns)], T.StructType(
+        [T.StructField(f"_{i}", T.StringType()) for i in range(len(df.columns))]
+    ))
+    header = names.coalesce(1).select(F.to_csv(F.struct("*"), CSV_OPTIONS).alias("value"))
+    rows = df.select(F.to_csv(F.struct("*"), CSV_OPTIONS).alias("value"))
+    header.unionAll(rows).write.text(path)
 
 
 def compact_parquet(spark: SparkSession, path: str, out: str, file_bytes: int = FILE_BYTES) -> int:

@@ -103,6 +103,12 @@ def test_deep_rows_agree_with_a_sort(spark):
     assert P.rows_between(df, [F.col("id")], 5000, 6000).count() == 0
 
 
+def test_other_parts_of_the_sort_are_not_read_again(spark):
+    got = P.rows_between(spark.range(1000).repartition(5), [F.col("id")], 10, 20)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [" in plan and "(_part" in plan.split("PushedFilters: [")[1]
+
+
 def test_deep_pages_use_the_distributed_way(spark, monkeypatch):
     monkeypatch.setattr(K, "SHALLOW_ROWS", 50)
     df = spark.range(1000).repartition(5)
@@ -123,7 +129,7 @@ def test_quantiles_agree_with_numpy(spark):
 
 def test_ranges_longer_than_a_block(spark, monkeypatch):
     monkeypatch.setattr(P, "RANGE_BLOCK", 4)
-    df = spark.createDataFrame([("a", 9), ("b", 1), ("c", 8)], "k string, n int")
+    df = spark.createDataFrame([("a", 9), ("b", 1), ("c", 8), ("d", 0), ("e", None)], "k string, n int")
     got = sorted((r["k"], r["i"]) for r in P.explode_range(df, "i", F.col("n"), first=1).collect())
     assert got == [(k, i) for k, n in (("a", 9), ("b", 1), ("c", 8)) for i in range(1, n + 1)]
 

@@ -1,6 +1,8 @@
 """Readers, schema inference of files, exports."""
 
+import csv
 import gzip
+import io
 from dataclasses import replace
 
 import pytest
@@ -190,12 +192,16 @@ def test_sample_has_a_maximum(spark, tmp_path):
         R.sample_source(spark, spec, 1001)
 
 
-def test_export_is_one_file_with_one_header(spark, tmp_path):
-    out = str(tmp_path / "out")
-    W.export_csv(spark.range(100).repartition(4), out, single_file=True)
-    files = list((tmp_path / "out").glob("*.csv"))
-    assert len(files) == 1 and files[0].read_text().splitlines()[0] == "id"
-    assert len(files[0].read_text().splitlines()) == 101
+def test_download_has_one_header(spark, tmp_path):
+    rows = spark.range(100).repartition(4).select("id", F.lit('say "hi", you').alias("a, b"), F.lit("").alias("e"), F.lit(None).cast("int").alias("n"))
+    W.export_csv_download(rows, str(tmp_path / "out"))
+    files = sorted((tmp_path / "out").glob("part-*"))
+    assert len(files) == 5
+    whole = "".join(f.read_text() for f in files)
+    assert whole.splitlines()[0] == 'id,"a, b",e,n' and len(whole.splitlines()) == 101
+    read = list(csv.DictReader(io.StringIO(whole)))
+    assert sorted(int(r["id"]) for r in read) == list(range(100))
+    assert {(r["a, b"], r["e"], r["n"]) for r in read} == {('say "hi", you', "", "")}
 
 
 def test_compaction(spark, tmp_path):
