@@ -41,19 +41,27 @@ class Request:
     use_in_workflow: str | None = None
     sort: str | None = None
     ascending: bool = True
-    page: int = 1
+    page: int | None = 1  # None asks for the whole list, which has no ranks
     size: int = PAGE_SIZE
     fields: str | None = None
     simple: bool = False
+    names_only: bool = False
 
 
 def _shaped(df: DataFrame, request: Request, preset: tuple[str, ...]) -> DataFrame:
-    """The asked columns, and the rank that orders the page."""
+    """The asked columns, and the rank that orders a page."""
     if request.fields:
-        return K.project_fields(df, f"{request.fields}, rank")
+        return K.project_fields(df, request.fields + (", rank" if "rank" in df.columns else ""))
     return K.project_preset(df, (*preset, "rank")) if request.simple else df
 
 
+def _paged(df: DataFrame, order: list[Column], request: Request, first_if_short: bool = False) -> DataFrame:
+    if request.page is None:
+        return df.orderBy(*order)
+    turn = K.page_or_first if first_if_short else K.page
+    return turn(df, order, request.page, request.size)
+
+
 def _enabled(df: DataFrame, request: Request) -> DataFrame:
     if request.enabled is None or not request.enabled.strip():
         return df
@@ -74,9 +82,9 @@ def matching_sources(sources: DataFrame, grants: DataFrame, request: Request) ->
     return K.filter_in(rows, "format", request.formats, DATA_SOURCE_FORMATS)
 
 
-def of_parents(children: DataFrame, foreign_key: str, parents: DataFrame, size: int) -> DataFrame:
-    """The children of a page of parents."""
-    if size > FILTER_IDS:
+def of_parents(children: DataFrame, foreign_key: str, parents: DataFrame, size: int | None) -> DataFrame:
+    """The children of a page of at most ``size`` parents; None is no bound."""
+    if size is None or size > FILTER_IDS:
         return children.join(parents.select(F.col("id").alias(foreign_key)), foreign_key, "left_semi")
     return children.where(F.col(foreign_key).isin([r["id"] for r in parents.select("id").collect()]))
 
@@ -86,12 +94,15 @@ def list_sources(
 ) -> tuple[DataFrame, DataFrame]:
     """One page of sources with their attributes, and the summary of the whole list."""
     rows = matching_sources(sources, grants, request)
-    shown = K.page_or_first(rows, _order(request, SOURCE_SORTS, "name"), request.page, request.size)
+    order = _order(request, SOURCE_SORTS, "name")
     summary = K.page_summary(rows, request.size)
+    if request.names_only:
+        return K.project_preset(rows.orderBy(*order), K.LIST_FIELDS), summary
+    shown = _paged(rows, order, request, first_if_short=True)
     if request.simple or request.fields:
         return _shaped(shown, request, K.SIMPLE_SOURCE_FIELDS), summary
     fields = [c for c in attributes.columns if c != "data_source_id"]
-    mine = of_parents(attributes, "data_source_id", shown, request.size)
+    mine = of_parents(attributes, "data_source_id", shown, None if request.page is None else request.size)
     return nest_children(shown, "id", {"attributes": Children(mine, "data_source_id", fields)}), summary
 
 
@@ -104,7 +115,7 @@ def list_models(
     if request.text:
         rows = K.search_like(rows, request.text, MODEL_TEXTS)
     rows = K.filter_in(rows, "type", request.types)
-    shown = K.page(rows, _order(request, MODEL_SORTS, "name"), request.page, request.size)
+    shown = _paged(rows, _order(request, MODEL_SORTS, "name"), request)
     if not (request.simple or request.fields):
         shown = with_storage(shown, storages)
     return _shaped(shown, request, K.SIMPLE_MODEL_FIELDS), K.page_summary(rows, request.size)
@@ -115,9 +126,9 @@ def list_storages(storages: DataFrame, request: Request) -> tuple[DataFrame, Dat
     rows = _enabled(storages, request)
     if request.text:
         rows = K.search_text(rows, request.text, STORAGE_TEXTS)
-    shown = K.page(rows, _order(request, STORAGE_SORTS, "id"), request.page, request.size)
-    hidden = () if request.user in SYSTEM_USERS else ("url", "client_url", "extra_params")
-    shown = shown.drop(*hidden)
+    shown = _paged(rows, _order(request, STORAGE_SORTS, "id"), request)
+    if request.user not in SYSTEM_USERS:
+        shown = shown.drop("url")
     return _shaped(shown, request, K.SIMPLE_STORAGE_FIELDS), K.page_summary(rows, request.size)
 
 

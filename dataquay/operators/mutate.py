@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dataquay.operators.catalog import visible_sources
-from dataquay.vocabulary import INITIALIZATION_STATUSES, SHARE_LEVELS
+from dataquay.operators.catalog import owner_or_admin, visible_models, visible_sources
+from dataquay.vocabulary import INITIALIZATION_STATUSES, SHARE_LEVELS, WRITE_LEVELS
 
 # What a new source gets for the fields it leaves out.
 SOURCE_DEFAULTS = {
@@ -137,6 +137,49 @@ def soft_delete(rows: DataFrame, doomed: DataFrame, key: str = "id") -> DataFram
     return joined.withColumn("enabled", F.col("enabled") & F.col("_doomed").isNull()).select(*rows.columns)
 
 
+def change_outcomes(
+    asked: DataFrame, sources: DataFrame, grants: DataFrame, user: int, is_admin: bool = False
+) -> DataFrame:
+    """One row (id, outcome) per source a caller wants to change or delete.
+
+    ``OK`` for the owner or an administrator, ``Not authorized`` for others who
+    see it with write access, ``Not found`` for the rest.
+    """
+    seen = visible_sources(sources, grants, user, WRITE_LEVELS).select(
+        "id", owner_or_admin(F.col("user_id"), user, is_admin).alias("_may"), F.lit(True).alias("_seen")
+    )
+    outcome = F.when(F.col("_seen").isNull(), "Not found").when(F.col("_may"), "OK").otherwise("Not authorized")
+    return asked.select("id").distinct().join(seen, "id", "left").select("id", outcome.alias("outcome"))
+
+
+def delete_sources(
+    sources: DataFrame, grants: DataFrame, asked: DataFrame, user: int, is_admin: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """Disable the listed sources that the caller may delete; also the outcomes."""
+    outcomes = change_outcomes(asked, sources, grants, user, is_admin)
+    return soft_delete(sources, outcomes.where("outcome = 'OK'")), outcomes
+
+
+def patch_sources(
+    sources: DataFrame,
+    grants: DataFrame,
+    patches: DataFrame,
+    user: int,
+    is_admin: bool = False,
+    order: Sequence[str] = (),
+) -> tuple[DataFrame, DataFrame]:
+    """Apply the patches the caller may make; also the outcomes."""
+    outcomes = change_outcomes(patches, sources, grants, user, is_admin)
+    allowed = patches.join(outcomes.where("outcome = 'OK'"), "id", "left_semi")
+    return partial_update(sources, allowed, "id", order), outcomes
+
+
+def delete_models(models: DataFrame, grants: DataFrame, asked: DataFrame, user: int) -> DataFrame:
+    """Disable the listed models that the caller owns or may write."""
+    allowed = visible_models(models, grants, user, WRITE_LEVELS).join(asked.select("id"), "id", "left_semi")
+    return soft_delete(models, allowed)
+
+
 def replace_attributes(
     attributes: DataFrame, privacy: DataFrame, new: DataFrame
 ) -> tuple[DataFrame, DataFrame]:

@@ -148,6 +148,53 @@ def soft_delete(t: Tables) -> DataFrame:
     return M.soft_delete(_catalog(t).select("id", "user_id", "format", "enabled"), doomed)
 
 
+# User 7 asks to change every source with a returned line.
+_ASKED = f"""asked AS (SELECT DISTINCT l_orderkey AS id FROM lineitem WHERE l_returnflag = 'R'),
+writable AS (SELECT id, user_id FROM sources WHERE user_id = {S.USER} OR is_public
+  OR id IN (SELECT data_source_id FROM grants WHERE user_id = {S.USER} AND permission IN ('MANAGE', 'WRITE')))"""
+
+
+def _asked(t: Tables) -> DataFrame:
+    return t.lineitem.where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("id"))
+
+
+@query("delete_sources", f"""
+WITH {S.SOURCES}, {S.GRANTS}, {_ASKED}
+SELECT id, user_id, name, enabled AND NOT (user_id = {S.USER} AND id IN (SELECT id FROM asked)) AS enabled FROM sources""")
+def delete_sources(t: Tables) -> DataFrame:
+    after, _ = M.delete_sources(S.sources(t), S.grants(t), _asked(t), S.USER)
+    return after.select("id", "user_id", "name", "enabled")
+
+
+@query("delete_outcomes", f"""
+WITH {S.SOURCES}, {S.GRANTS}, {_ASKED}
+SELECT a.id, CASE WHEN w.id IS NULL THEN 'Not found' WHEN user_id = {S.USER} THEN 'OK' ELSE 'Not authorized' END AS outcome
+FROM asked a LEFT JOIN writable w ON w.id = a.id""")
+def delete_outcomes(t: Tables) -> DataFrame:
+    return M.delete_sources(S.sources(t), S.grants(t), _asked(t), S.USER)[1]
+
+
+@query("patch_sources", f"""
+WITH {S.SOURCES}, {S.GRANTS}, {_ASKED}
+SELECT s.id, s.user_id, CASE WHEN w.id IS NOT NULL AND s.id IN (SELECT id FROM asked) THEN 'patched' ELSE s.name END AS name
+FROM sources s LEFT JOIN writable w ON w.id = s.id""")
+def patch_sources(t: Tables) -> DataFrame:
+    """An administrator may change what the user may write."""
+    patches = _asked(t).distinct().withColumn("changes", F.create_map(F.lit("name"), F.lit("patched")))
+    after, _ = M.patch_sources(S.sources(t).select("id", "user_id", "name", "is_public"), S.grants(t), patches, S.USER, is_admin=True)
+    return after.select("id", "user_id", "name")
+
+
+@query("delete_models", f"""
+WITH {S.MODELS}, {S.MODEL_GRANTS}
+SELECT id, name, enabled AND NOT (id IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 5000) AND (user_id = 5
+  OR id IN (SELECT model_id FROM model_grants WHERE user_id = 5 AND permission IN ('MANAGE', 'WRITE')))) AS enabled
+FROM models""")
+def delete_models(t: Tables) -> DataFrame:
+    asked = t.supplier.where("s_acctbal > 5000").select(F.col("s_suppkey").alias("id"))
+    return M.delete_models(S.models(t), S.model_grants(t), asked, 5).select("id", "name", "enabled")
+
+
 @query("lookup_violations", f"""
 WITH {S.SOURCES}, {S.ATTRIBUTES}
 SELECT s.id, s.name, count(a.name) AS attributes FROM sources s LEFT JOIN attributes a ON a.data_source_id = s.id

@@ -66,9 +66,21 @@ def test_presets(catalog):
     assert columns(fields="id, tags") == ["id", "tags", "rank"]
 
 
+def test_whole_lists(catalog):
+    def listed_ids(**asked):
+        request = L.Request(0, sort="id", **asked)
+        rows = L.list_sources(catalog["sources"], catalog["grants"], catalog["attributes"], request)[0]
+        return rows.columns, sorted(r["id"] for r in rows.collect())
+
+    columns, ids = listed_ids(page=None)
+    assert ids == [1, 2, 3] and "rank" not in columns and "attributes" in columns
+    assert listed_ids(names_only=True) == (["id", "name", "tags"], [1, 2, 3])
+    assert listed_ids(page=None, fields="id") == (["id"], [1, 2, 3])
+
+
 def test_storages(catalog):
     rows, summary = L.list_storages(catalog["storages"], L.Request(5, text="hive"))
-    assert rows.columns == ["id", "name", "type", "enabled", "rank"] and rows.first()["name"] == "warehouse"
+    assert rows.columns == ["id", "name", "type", "enabled", "client_url", "rank"] and rows.first()["name"] == "warehouse"
     assert "url" in L.list_storages(catalog["storages"], L.Request(1))[0].columns
     assert [r["id"] for r in L.list_storages(catalog["storages"], L.Request(1, ascending=False))[0].orderBy("rank").collect()] == [2, 1]
 

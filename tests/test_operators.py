@@ -216,6 +216,21 @@ def test_sharing_needs_manage(spark, sources, grants):
     assert ids(M.revoke(after, revoked, sources, 11), "data_source_id") == [3]
 
 
+def test_changes_need_owner_or_administrator(spark, sources, grants):
+    live = sources.withColumn("enabled", F.lit(True))
+    asked = spark.createDataFrame([(1,), (2,), (3,), (4,), (9,)], "id long")
+
+    def outcomes(user, **more):
+        after, rows = M.delete_sources(live, grants, asked, user, **more)
+        return {r["id"]: r["outcome"] for r in rows.collect()}, ids(after.where("not enabled"))
+
+    assert outcomes(10) == ({1: "OK", 2: "Not authorized", 3: "Not authorized", 4: "Not found", 9: "Not found"}, [1])
+    assert outcomes(10, is_admin=True) == ({1: "OK", 2: "OK", 3: "OK", 4: "Not found", 9: "Not found"}, [1, 2, 3])
+    patches = asked.withColumn("changes", F.create_map(F.lit("name"), F.lit("new")))
+    after, _ = M.patch_sources(live, grants, patches, 11)
+    assert ids(after.where("name = 'new'")) == [2, 3, 4]
+
+
 def test_statuses_are_checked(spark):
     df = spark.createDataFrame([(1, "INITIALIZED")], "id int, initialization string")
     assert M.set_initialization(df, 1, "INITIALIZING").first()["initialization"] == "INITIALIZING"
