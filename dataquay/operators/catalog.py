@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dataquay.operators.positions import rows_between
+from dataquay.operators.positions import Lead, rows_between
 from dataquay.vocabulary import PAGE_SIZE, PERMISSIONS, SAMPLE_MAX, SAMPLE_ROWS, SYSTEM_USERS
 
 # The columns of the preset lists.
@@ -163,25 +163,36 @@ def shared_sources(
 
 # --- sorting, paging, sampling ---------------------------------------------
 
+def sort_lead(sort: str, allowed: Sequence[str], ascending: bool = True, key: str = "id") -> Lead:
+    """The column a list is sorted by first: an allowed one, else the key."""
+    return Lead(sort if sort in allowed else key, ascending)
+
+
 def sort_columns(sort: str, allowed: Sequence[str], ascending: bool = True, key: str = "id") -> list[Column]:
     """Sort by an allowed column, else by the key; the key breaks ties."""
-    chosen = sort if sort in allowed else key
+    chosen = sort_lead(sort, allowed, ascending, key).name
     first = F.col(chosen).asc() if ascending else F.col(chosen).desc()
     return [first] if chosen == key else [first, F.col(key).asc()]
 
 
-def page(df: DataFrame, order: Sequence[Column], number: int = 1, size: int = PAGE_SIZE) -> DataFrame:
+def page(
+    df: DataFrame,
+    order: Sequence[Column],
+    number: int = 1,
+    size: int = PAGE_SIZE,
+    lead: Lead | None = None,
+) -> DataFrame:
     """Rows of one page in a total order, with their ``rank`` in the whole list.
 
     Early pages use Spark's top-k, which never sorts the relation. A page deep
-    in the list is cut out of a range-partitioned sort instead, so that the
-    rows before it are never gathered in one task.
+    in the list is cut out of a distributed sort instead, so that the rows
+    before it are never gathered in one task; ``lead`` makes that cheaper.
     """
     if number < 1 or size < 1:
         raise ValueError("page number and size start at 1")
     start = (number - 1) * size
     if start + size > SHALLOW_ROWS:
-        return rows_between(df, order, start, start + size)
+        return rows_between(df, order, start, start + size, lead)
     rows = df.orderBy(*order).offset(start).limit(size)
     # No more rows than one page get here.
     rank = F.row_number().over(Window.orderBy(*order)).cast("long") + F.lit(start)
@@ -195,11 +206,17 @@ def page_summary(df: DataFrame, size: int = PAGE_SIZE) -> DataFrame:
     )
 
 
-def page_or_first(df: DataFrame, order: Sequence[Column], number: int, size: int = PAGE_SIZE) -> DataFrame:
+def page_or_first(
+    df: DataFrame,
+    order: Sequence[Column],
+    number: int,
+    size: int = PAGE_SIZE,
+    lead: Lead | None = None,
+) -> DataFrame:
     """Like :func:`page`; a list shorter than one page always shows page 1."""
     if number > 1 and df.limit(size).count() < size:
         number = 1
-    return page(df, order, number, size)
+    return page(df, order, number, size, lead)
 
 
 def sample_head(df: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:

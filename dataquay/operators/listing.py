@@ -55,11 +55,15 @@ def _shaped(df: DataFrame, request: Request, preset: tuple[str, ...]) -> DataFra
     return K.project_preset(df, (*preset, "rank")) if request.simple else df
 
 
-def _paged(df: DataFrame, order: list[Column], request: Request, first_if_short: bool = False) -> DataFrame:
+def _paged(
+    df: DataFrame, request: Request, allowed: tuple[str, ...], default: str, first_if_short: bool = False
+) -> DataFrame:
+    order = _order(request, allowed, default)
     if request.page is None:
         return df.orderBy(*order)
+    lead = K.sort_lead(request.sort or default, allowed, request.ascending)
     turn = K.page_or_first if first_if_short else K.page
-    return turn(df, order, request.page, request.size)
+    return turn(df, order, request.page, request.size, lead)
 
 
 def _enabled(df: DataFrame, request: Request) -> DataFrame:
@@ -94,11 +98,10 @@ def list_sources(
 ) -> tuple[DataFrame, DataFrame]:
     """One page of sources with their attributes, and the summary of the whole list."""
     rows = matching_sources(sources, grants, request)
-    order = _order(request, SOURCE_SORTS, "name")
     summary = K.page_summary(rows, request.size)
     if request.names_only:
-        return K.project_preset(rows.orderBy(*order), K.LIST_FIELDS), summary
-    shown = _paged(rows, order, request, first_if_short=True)
+        return K.project_preset(rows.orderBy(*_order(request, SOURCE_SORTS, "name")), K.LIST_FIELDS), summary
+    shown = _paged(rows, request, SOURCE_SORTS, "name", first_if_short=True)
     if request.simple or request.fields:
         return _shaped(shown, request, K.SIMPLE_SOURCE_FIELDS), summary
     fields = [c for c in attributes.columns if c != "data_source_id"]
@@ -115,7 +118,7 @@ def list_models(
     if request.text:
         rows = K.search_like(rows, request.text, MODEL_TEXTS)
     rows = K.filter_in(rows, "type", request.types)
-    shown = _paged(rows, _order(request, MODEL_SORTS, "name"), request)
+    shown = _paged(rows, request, MODEL_SORTS, "name")
     if not (request.simple or request.fields):
         shown = with_storage(shown, storages)
     return _shaped(shown, request, K.SIMPLE_MODEL_FIELDS), K.page_summary(rows, request.size)
@@ -126,7 +129,7 @@ def list_storages(storages: DataFrame, request: Request) -> tuple[DataFrame, Dat
     rows = _enabled(storages, request)
     if request.text:
         rows = K.search_text(rows, request.text, STORAGE_TEXTS)
-    shown = _paged(rows, _order(request, STORAGE_SORTS, "id"), request)
+    shown = _paged(rows, request, STORAGE_SORTS, "id")
     if request.user not in SYSTEM_USERS:
         shown = shown.drop("url")
     return _shaped(shown, request, K.SIMPLE_STORAGE_FIELDS), K.page_summary(rows, request.size)

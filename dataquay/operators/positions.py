@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dataquay.session import scratch_dir
 
@@ -36,15 +38,58 @@ def _sorted_table(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
     return df.sparkSession.read.schema(numbered.schema).parquet(path)
 
 
-def rows_between(df: DataFrame, order: Sequence[Column], start: int, stop: int) -> DataFrame:
+QUANTILE_ACCURACY = 10_000
+BANDED_TYPES = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
+class Lead(NamedTuple):
+    """The column an order starts with."""
+
+    name: str
+    ascending: bool = True
+
+
+def _band(df: DataFrame, lead: Lead, start: int, stop: int) -> tuple[DataFrame, int]:
+    """The rows whose leading value can have a wanted position, and how many come before.
+
+    The bounds are approximate quantiles with a margin; counting the rows on
+    either side proves that they hold. When they do not, or there is nothing to
+    compare by, all rows stay.
+    """
+    c = F.col(f"`{lead.name}`")
+    if not isinstance(df.schema[lead.name].dataType, BANDED_TYPES):
+        return df, 0
+    rows, nulls = df.agg(F.count("*"), F.count_if(c.isNull())).first()
+    if nulls or rows == 0 or start >= rows:
+        return df, 0
+    margin = 2 / QUANTILE_ACCURACY
+    first, last = max(0.0, start / rows - margin), min(1.0, stop / rows + margin)
+    if not lead.ascending:
+        first, last = 1 - last, 1 - first
+    low, high = df.agg(F.approx_percentile(c, [first, last], QUANTILE_ACCURACY)).first()[0]
+    below, above = df.agg(F.count_if(c < F.lit(low)), F.count_if(c > F.lit(high))).first()
+    before, after = (below, above) if lead.ascending else (above, below)
+    if before > start or after > rows - min(stop, rows):
+        return df, 0
+    return df.where(c.between(F.lit(low), F.lit(high))), before
+
+
+def rows_between(
+    df: DataFrame, order: Sequence[Column], start: int, stop: int, lead: Lead | None = None
+) -> DataFrame:
     """Rows ``start`` to ``stop`` (0-based, end excluded) of a total order, with ``rank`` from 1.
 
-    Row counts per part of a distributed sort (one number each) tell which
-    parts the wanted rows are in; only those are read again and numbered.
+    With the order's leading column given, only a narrow band of rows around
+    the wanted ones is sorted. Row counts per part of the distributed sort (one
+    number each) tell which parts the wanted rows are in; only those are read
+    again and numbered.
     """
+    skipped = 0
+    if lead is not None:
+        df, skipped = _band(df, lead, start, stop)
     laid_out = _sorted_table(df, order)
     counts = sorted(laid_out.groupBy("_part").count().collect())
-    offsets, before = [], 0
+    offsets, before = [], skipped
     for part, n in counts:
         if before < stop and before + n > start:
             offsets.append((part, before))

@@ -407,7 +407,15 @@ def page_deep(t: Tables) -> DataFrame:
         S.sources(t).select("id", "created"), F.col("data_source_id") == F.col("id")
     )
     order = [F.col(c) for c in ("created", "id", "user_id", "permission")]
-    return K.rows_between(granted, order, 40_000, 50_000).select("rank", "id", "user_id", "permission")
+    return K.rows_between(granted, order, 40_000, 50_000, K.Lead("created")).select("rank", "id", "user_id", "permission")
+
+
+@query("page_deep_desc", """
+WITH r AS (SELECT row_number() OVER (ORDER BY value DESC, event_id) AS rank, event_id, user_id FROM events)
+SELECT * FROM r WHERE rank BETWEEN 3001 AND 5000""")
+def page_deep_desc(t: Tables) -> DataFrame:
+    order = [F.col("value").desc(), F.col("event_id")]
+    return K.rows_between(t.events, order, 3000, 5000, K.Lead("value", False)).select("rank", "event_id", "user_id")
 
 
 @query("page_fallback", f"""WITH {S.SOURCES}, r AS (

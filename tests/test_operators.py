@@ -103,6 +103,29 @@ def test_deep_rows_agree_with_a_sort(spark):
     assert P.rows_between(df, [F.col("id")], 5000, 6000).count() == 0
 
 
+@pytest.mark.parametrize("ascending", [True, False])
+@pytest.mark.parametrize("start, stop", [(0, 10), (990, 1010), (4990, 6000), (2500, 2600), (7000, 7100)])
+def test_a_band_holds_all_wanted_rows(spark, ascending, start, stop):
+    rng = random.Random(9)
+    rows = [(rng.choice([0.5, 0.5, rng.random() * 100]), i) for i in range(5000)]
+    df = spark.createDataFrame(rows, "a double, id long").repartition(3)
+    lead = F.col("a").asc() if ascending else F.col("a").desc()
+    got = P.rows_between(df, [lead, F.col("id")], start, stop, P.Lead("a", ascending)).orderBy("rank").collect()
+    expected = sorted(rows, key=lambda r: (r[0] if ascending else -r[0], r[1]))[start:stop]
+    assert [(r["a"], r["id"], r["rank"]) for r in got] == [(a, i, start + n + 1) for n, (a, i) in enumerate(expected)]
+
+
+def test_a_band_is_narrow_and_nulls_forbid_one(spark):
+    df = spark.range(100_000).withColumn("t", F.timestamp_seconds("id").cast("timestamp_ntz"))
+    for column in ("id", "t"):
+        band, before = P._band(df, P.Lead(column), 50_000, 50_100)
+        assert band.count() < 500 and 49_000 < before <= 50_000
+    gaps = df.withColumn("n", F.when(F.col("id") > 5, F.col("id")))
+    assert P._band(gaps, P.Lead("n"), 10, 20)[0] is gaps
+    text = df.select(F.col("id").cast("string").alias("s"))
+    assert P._band(text, P.Lead("s"), 10, 20)[0] is text
+
+
 def test_other_parts_of_the_sort_are_not_read_again(spark):
     got = P.rows_between(spark.range(1000).repartition(5), [F.col("id")], 10, 20)
     plan = got._jdf.queryExecution().executedPlan().toString()
