@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from typing import NamedTuple
 
@@ -38,6 +39,8 @@ def _sorted_table(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
     return df.sparkSession.read.schema(numbered.schema).parquet(path)
 
 
+# Bounds of a band are picked from this many approximate quantiles.
+GRID = 1000
 QUANTILE_ACCURACY = 10_000
 BANDED_TYPES = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
@@ -59,14 +62,15 @@ def _band(df: DataFrame, lead: Lead, start: int, stop: int) -> tuple[DataFrame,
     c = F.col(f"`{lead.name}`")
     if not isinstance(df.schema[lead.name].dataType, BANDED_TYPES):
         return df, 0
-    rows, nulls = df.agg(F.count("*"), F.count_if(c.isNull())).first()
+    grid = F.approx_percentile(c, [i / GRID for i in range(GRID + 1)], QUANTILE_ACCURACY)
+    rows, nulls, points = df.agg(F.count("*"), F.count_if(c.isNull()), grid).first()
     if nulls or rows == 0 or start >= rows:
         return df, 0
     margin = 2 / QUANTILE_ACCURACY
-    first, last = max(0.0, start / rows - margin), min(1.0, stop / rows + margin)
+    first, last = start / rows - margin, stop / rows + margin
     if not lead.ascending:
         first, last = 1 - last, 1 - first
-    low, high = df.agg(F.approx_percentile(c, [first, last], QUANTILE_ACCURACY)).first()[0]
+    low, high = points[max(0, math.floor(first * GRID))], points[min(GRID, math.ceil(last * GRID))]
     below, above = df.agg(F.count_if(c < F.lit(low)), F.count_if(c > F.lit(high))).first()
     before, after = (below, above) if lead.ascending else (above, below)
     if before > start or after > rows - min(stop, rows):
