@@ -62,20 +62,25 @@ def classify_cells(rows: DataFrame, missing: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def _last(*classes: str) -> Column:
-    """Last position of a cell of one of the classes, -1 when there is none."""
-    return F.coalesce(F.max(F.when(F.col("cell_class").isin(*classes), F.col("pos"))), F.lit(-1))
+def _last(cell_class: str) -> Column:
+    """Last position of a cell of a class, NULL when there is none."""
+    return F.max(F.when(F.col("cell_class") == cell_class, F.col("pos")))
 
 
 def _fold_type() -> Column:
     """The column type, from the last positions of the classes."""
+    # Dates, decimals and texts replace any type; integers hold from there on.
     override = F.greatest("last_datetime", "last_decimal", "last_text")
+
+    def later(last: Column) -> Column:
+        return last.isNotNull() & (override.isNull() | (last > override))
+
     return (
         F.when(F.col("first_char").isNotNull(), "CHARACTER")
-        .when((F.col("last_decimal") >= 0) & (F.col("last_decimal") == override), "DECIMAL")
-        .when(F.col("last_int64") > override, "LONG")
-        .when(F.col("last_int32") > override, "INTEGER")
-        .when(override < 0, "CHARACTER")
+        .when(F.col("last_decimal") == override, "DECIMAL")
+        .when(later(F.col("last_int64")), "LONG")
+        .when(later(F.col("last_int32")), "INTEGER")
+        .when(override.isNull(), "CHARACTER")
         .when(F.col("last_datetime") == override, "DATETIME")
         .otherwise("TEXT")
     )

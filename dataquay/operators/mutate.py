@@ -30,6 +30,12 @@ SOURCE_DEFAULTS = {
 }
 
 
+def _has_order(dtype: T.DataType) -> bool:
+    """Whether values of a type can be compared; maps and variants cannot."""
+    text = dtype.simpleString()
+    return "map<" not in text and "variant" not in text
+
+
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """One row per key: the last in the given order, other columns breaking ties.
 
@@ -37,7 +43,7 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
     reduced before they are shuffled.
     """
     rest = [c for c in df.columns if c not in keys]
-    rank = [*order, *[c for c in rest if c not in order]]
+    rank = [*order, *[c for c in rest if c not in order and _has_order(df.schema[c].dataType)]]
     best = F.max_by(F.struct(*rest), F.struct(*rank)).alias("_row")
     picked = df.groupBy(*keys).agg(best)
     return picked.select(*[c if c in keys else F.col("_row")[c].alias(c) for c in df.columns])

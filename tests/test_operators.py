@@ -268,6 +268,11 @@ def test_latest_rows_of_a_hot_key(spark):
     assert latest.count() == df.select("k").distinct().count()
 
 
+def test_latest_rows_may_hold_maps(spark):
+    df = spark.sql("SELECT * FROM VALUES (1, 1, map('a', 1)), (1, 2, map('b', 2)) AS t(k, v, m)")
+    assert [tuple(r) for r in M.latest_per_key(df, ["k"], ["v"]).collect()] == [(1, 2, {"b": 2})]
+
+
 # --- validation ------------------------------------------------------------
 
 def test_checks(spark):
