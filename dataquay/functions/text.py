@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import unicodedata
 from functools import cache
@@ -14,9 +15,16 @@ from pyspark.sql import types as T
 HEADER_CHARS = 100
 
 
+@cache
+def _marks() -> dict[int, None]:
+    """Every non-spacing mark, for deletion by ``str.translate``."""
+    codes = range(sys.maxunicode + 1)
+    return dict.fromkeys(code for code in codes if unicodedata.category(chr(code)) == "Mn")
+
+
 def plain_letters(text: str) -> str:
     """Canonical decomposition without the non-spacing marks."""
-    return "".join(c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c) != "Mn")
+    return unicodedata.normalize("NFD", text).translate(_marks())
 
 
 @cache
@@ -64,8 +72,8 @@ def strip_accents_full(values: pd.Series) -> pd.Series:
 
 def header_name(text: str) -> str:
     """A raw header cell as an attribute name."""
-    short = plain_letters(text.strip())[:HEADER_CHARS].lower()
-    return "".join(c if c.isalnum() else "_" for c in short)
+    plain = plain_letters(text.strip())
+    return re.sub(r"\W", "_", plain[:HEADER_CHARS].lower())
 
 
 def header_names(cells: list[str]) -> list[str]:
