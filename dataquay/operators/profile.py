@@ -1,7 +1,7 @@
 """Column statistics of a source.
 
-Two modes. The quick one is a single aggregate without a shuffle of the data:
-sketches for distinct values and quantiles. The exact one counts each distinct
+Two modes. The quick one aggregates without a shuffle of the data: sketches
+give distinct values and quantiles. The exact one counts each distinct
 value once (partial aggregation absorbs hot values) and finds quantiles by
 position in a distributed sort of those counts.
 """
@@ -97,23 +97,46 @@ def _exact_quantiles(df: DataFrame, names: Sequence[str], probabilities: Sequenc
     return quantiles(counts, "position", "v", "n", probabilities)
 
 
-def _exact_ranks(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """(position, distinct_values, median) of columns of any type."""
-    numbers = [i for i, n in enumerate(names) if _is_number(df, n)]
-    others = [i for i in range(len(names)) if i not in numbers]
+def _renumbered(df: DataFrame, places: Sequence[int]) -> DataFrame:
+    """Positions in a subset of the columns as positions in the whole."""
+    return df.withColumn("position", F.get(F.array(*[F.lit(i) for i in places]), F.col("position")))
+
+
+def _by_kind(df: DataFrame, names: Sequence[str], numbers, others) -> DataFrame:
+    """Rows about the numeric columns and rows about the others, by a function for each."""
     found = []
-    if numbers:
-        medians = _exact_quantiles(df, [names[i] for i in numbers], MEDIAN)
-        found.append(_renumbered(medians, numbers).select("position", "distinct_values", F.get("quantiles", F.lit(0)).alias("median")))
-    if others:
-        distinct = value_counts(df, [names[i] for i in others]).groupBy("position").agg(F.count("*").alias("distinct_values"))
-        found.append(_renumbered(distinct, others).withColumn("median", F.lit(None).cast("double")))
+    for numeric, about in ((True, numbers), (False, others)):
+        places = [i for i, n in enumerate(names) if _is_number(df, n) == numeric]
+        if places:
+            found.append(_renumbered(about(df, [names[i] for i in places]), places))
     return reduce(DataFrame.unionByName, found)
 
 
-def _renumbered(df: DataFrame, places: Sequence[int]) -> DataFrame:
-    """Positions in a subset of the columns as positions in the whole."""
-    return df.withColumn("position", F.get(F.array(*[F.lit(i) for i in places]), F.col("position")))
+def _all_moments(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    totals = df.agg(*[a for i, n in enumerate(names) for a in _moments(df, i, n)])
+    return _one_row_per_column(totals, names, MOMENTS)
+
+
+def _exact_number_ranks(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    found = _exact_quantiles(df, names, MEDIAN)
+    return found.select("position", "distinct_values", F.get("quantiles", F.lit(0)).alias("median"))
+
+
+def _exact_distinct(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    counted = value_counts(df, names).groupBy("position").agg(F.count("*").alias("distinct_values"))
+    return counted.withColumn("median", F.lit(None).cast("double"))
+
+
+def _sketched_ranks(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    nothing = F.max(F.lit(None).cast("double"))
+    sketches = []
+    for i, n in enumerate(names):
+        median = F.approx_percentile(_ref(n).cast("double"), MEDIAN[0], QUANTILE_ACCURACY)
+        sketches += [
+            _approximate_distinct(_ref(n)).alias(f"{i}_distinct_values"),
+            (median if _is_number(df, n) else nothing).alias(f"{i}_median"),
+        ]
+    return _one_row_per_column(df.agg(*sketches), names, ("distinct_values", "median")).drop("name")
 
 
 def profile_columns(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = False) -> DataFrame:
@@ -122,25 +145,19 @@ def profile_columns(df: DataFrame, columns: Sequence[str] | None = None, exact:
     Min, max and median are text, since a column may have any type. The quick
     form estimates distinct values and medians; the exact one shuffles each
     distinct value once.
+
+    Numeric moments are an aggregate of their own, which Spark compiles whole;
+    sketches and text in the same aggregate would make it interpret them all.
     """
     names = list(columns or df.columns)
-    aggregates = [a for i, n in enumerate(names) for a in _moments(df, i, n)]
+    moments = _by_kind(df, names, _all_moments, _all_moments)
     if exact:
-        moments = _one_row_per_column(df.agg(*aggregates), names, MOMENTS)
-        result = moments.join(_exact_ranks(df, names), "position", "left").withColumn(
-            "distinct_values", F.coalesce("distinct_values", F.lit(0))
-        )
+        ranks = _by_kind(df, names, _exact_number_ranks, _exact_distinct)
     else:
-        nothing = F.max(F.lit(None).cast("double"))
-        for i, n in enumerate(names):
-            sketch = F.approx_percentile(_ref(n).cast("double"), MEDIAN[0], QUANTILE_ACCURACY)
-            aggregates += [
-                _approximate_distinct(_ref(n)).alias(f"{i}_distinct_values"),
-                (sketch if _is_number(df, n) else nothing).alias(f"{i}_median"),
-            ]
-        result = _one_row_per_column(df.agg(*aggregates), names, (*MOMENTS, "distinct_values", "median"))
+        ranks = _sketched_ranks(df, names)
+    result = moments.join(ranks, "position", "left")
     return result.select(
-        "position", "name", "distinct_values", "mean_value",
+        "position", "name", F.coalesce("distinct_values", F.lit(0)).alias("distinct_values"), "mean_value",
         F.col("median").cast("string").alias("median_value"),
         "max_value", "min_value", "std_deviation", "missing_total",
     )
