@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dataquay.llm import chat, mixing, rules, secrets, sharding, sql, tries
+from dataquay.llm import chat, machine, mixing, near, pieces, recompression, rules, secrets, sharding, sql, tries
 from dataquay.llm.common import documents
 
 
@@ -59,11 +59,35 @@ def trie_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tries.membership(documents(spark, sf_dir))
 
 
+def factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    learned = machine.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return machine.score(docs, learned).select(
+        "row.doc_id", machine.held_out(F.col("row.doc_id")).alias("held_out"), "score", "predicted",
+    )
+
+
+def recompressed_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompression.without_repeats(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def setsketch_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_groups(documents(spark, sf_dir), words=4).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "op1_secret_ownership": Query(secret_ownership, sql.SECRETS),
+    "op2_factorisation_machine": Query(factorisation_machine),
     "op3_interleaved_shards": Query(shards),
     "op4_source_mixture": Query(mixture, sql.MIXTURE),
+    "op5_recompressed_repeats": Query(recompressed_repeats),
     "op6_chat_parts": Query(chat_parts),
+    "op7_setsketch_groups": Query(setsketch_groups),
+    "op8_sampled_pieces": Query(sampled_pieces),
     "op9_adaptive_rules": Query(adaptive_rules, sql.RULES),
     "op10_trie_owners": Query(trie_owners, sql.OWNERS),
 }
