@@ -32,8 +32,8 @@ SPREAD = 8
 #: (ratio, numerator, denominator, spread floor in bins, sides). Bins are 1000 * numerator div denominator.
 RULES = (
     ("symbols", "n_symbols", "n_words", 12, "high"),
-    ("repeats", "n_repeat_words", "n_words", 25, "high"),
-    ("dup_lines", "n_dup_lines", "n_lines", 25, "high"),
+    ("repeats", "n_repeat_words", "n_words", 45, "high"),
+    ("dup_lines", "n_dup_lines", "n_lines", 60, "high"),
     ("word_length", "word_chars", "n_words", 250, "both"),
     ("capitals", "n_capitals", "word_chars", 12, "high"),
 )
