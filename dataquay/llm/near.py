@@ -143,7 +143,7 @@ class _Links:
 
     def labelled(self, members: DataFrame) -> DataFrame:
         roots = self.roots.withColumnRenamed("node", "r_node")
-        return members.join(roots, F.col("node") == F.col("r_node"), "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+        return members.select("key", "node").join(roots, F.col("node") == F.col("r_node"), "left").select("key", "node", F.coalesce("root", "node").alias("root"))
 
 
 def _plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
