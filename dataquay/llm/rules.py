@@ -22,20 +22,18 @@ from dataquay.llm.common import same, small, staged, whole_text
 #: Base rules: least words, and most repeated words of a hundred.
 LEAST_WORDS = 50
 MOST_REPEATED = 50
-#: Bins per unit of a ratio.
-BINS = 1000
 #: Documents that a group needs for thresholds of its own.
 LEAST_GROUP = 100
 #: A threshold is the median plus SPREAD times the distance from it to the upper
 #: (lower) quartile, which counts as `floor` bins at least.
 SPREAD = 8
-#: (ratio, numerator, denominator, spread floor in bins, sides). Bins are 1000 * numerator div denominator.
+#: (ratio, numerator, denominator, bins per unit, spread floor in bins, sides). A bin is bins * numerator div denominator.
 RULES = (
-    ("symbols", "n_symbols", "n_words", 12, "high"),
-    ("repeats", "n_repeat_words", "n_words", 45, "high"),
-    ("dup_lines", "n_dup_lines", "n_lines", 60, "high"),
-    ("word_length", "word_chars", "n_words", 250, "both"),
-    ("capitals", "n_capitals", "word_chars", 12, "high"),
+    ("symbols", "n_symbols", "n_words", 1000, 12, "high"),
+    ("repeats", "n_repeat_words", "n_words", 200, 9, "high"),
+    ("dup_lines", "n_dup_lines", "n_lines", 200, 12, "high"),
+    ("word_length", "word_chars", "n_words", 100, 25, "both"),
+    ("capitals", "n_capitals", "word_chars", 1000, 12, "high"),
 )
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -83,14 +81,14 @@ def with_counts(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
     return slim.mapInArrow(_counted, schema)
 
 
-def _bin(top: str, bottom: str):
-    return F.expr(f"CASE WHEN {bottom} > 0 THEN {BINS} * {top} div {bottom} ELSE 0 END")
+def _bin(top: str, bottom: str, bins: int):
+    return F.expr(f"CASE WHEN {bottom} > 0 THEN {bins} * {top} div {bottom} ELSE 0 END")
 
 
 def sketches(counted: DataFrame) -> DataFrame:
     """The histogram sketch of each rule: level (2 language and source, 1 language, 0 all), lang, source, rule, bin, n."""
     bins = F.explode(F.map_from_arrays(
-        F.array(*[F.lit(r[0]) for r in RULES]), F.array(*[_bin(r[1], r[2]) for r in RULES]),
+        F.array(*[F.lit(r[0]) for r in RULES]), F.array(*[_bin(*r[1:4]) for r in RULES]),
     )).alias("rule", "bin")
     # One row per bin and group before any level is made from another: counts just add up.
     fine = counted.select("lang", "source", bins).groupBy("lang", "source", "rule", "bin").agg(F.count("*").alias("n"))
@@ -112,12 +110,12 @@ def thresholds(sketch: DataFrame, least_group: int = LEAST_GROUP) -> DataFrame:
     points = steps.where((F.col("total") >= least_group) | (F.col("level") == 0)).groupBy(*group).agg(
         quartile(1).alias("q1"), quartile(2).alias("q2"), quartile(3).alias("q3"),
     )
-    spread = F.create_map(*[x for r in RULES for x in (F.lit(r[0]), F.lit(r[3]))])[F.col("rule")]
+    spread = F.create_map(*[x for r in RULES for x in (F.lit(r[0]), F.lit(r[4]))])[F.col("rule")]
     fences = points.select(
         *group, (F.col("q2") + SPREAD * F.greatest(F.col("q3") - F.col("q2"), spread)).alias("high"),
         (F.col("q2") - SPREAD * F.greatest(F.col("q2") - F.col("q1"), spread)).alias("low"),
     )
-    sides = [(side, r[0]) for r in RULES for side in ("high", "low") if side == "high" or r[4] == "both"]
+    sides = [(side, r[0]) for r in RULES for side in ("high", "low") if side == "high" or r[5] == "both"]
     return fences.groupBy(*group[:-1]).agg(*[
         F.max(F.when(F.col("rule") == rule, F.col(side))).alias(f"{side}_{rule}") for side, rule in sides
     ])
@@ -137,10 +135,10 @@ def judged(counted: DataFrame, least_group: int = LEAST_GROUP) -> DataFrame:
     rest = F.struct(*[F.lit(overall[c] if overall else None).cast("long").alias(c) for c in cuts])
     joined = joined.withColumn("cuts", F.coalesce("cuts_2", "cuts_1", rest))
     broken = []
-    for rule, top, bottom, _, sides in RULES:
-        out = _bin(top, bottom) > F.col(f"cuts.high_{rule}")
+    for rule, top, bottom, bins, _, sides in RULES:
+        out = _bin(top, bottom, bins) > F.col(f"cuts.high_{rule}")
         if sides == "both":
-            out = out | (_bin(top, bottom) < F.col(f"cuts.low_{rule}"))
+            out = out | (_bin(top, bottom, bins) < F.col(f"cuts.low_{rule}"))
         broken.append(F.when(out, F.lit(rule)))
     joined = joined.withColumn("broken", F.array_compact(F.array(*broken))).withColumn(
         "base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")),

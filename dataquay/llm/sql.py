@@ -63,13 +63,13 @@ _RULES = {r[0]: r for r in rules.RULES}
 
 
 def _bin(rule: str) -> str:
-    _, top, bottom, _, _ = _RULES[rule]
-    return f"CASE WHEN {bottom} > 0 THEN {rules.BINS} * {top} // {bottom} ELSE 0 END"
+    _, top, bottom, bins, _, _ = _RULES[rule]
+    return f"CASE WHEN {bottom} > 0 THEN {bins} * {top} // {bottom} ELSE 0 END"
 
 
 def _broken(rule: str) -> str:
     out = f"{_bin(rule)} > coalesce({', '.join(f'{t}.cuts[1][{rule!r}]' for t in ('g2', 'g1', 'g0'))})"
-    if _RULES[rule][4] == "both":
+    if _RULES[rule][5] == "both":
         out += f" OR {_bin(rule)} < coalesce({', '.join(f'{t}.cuts[2][{rule!r}]' for t in ('g2', 'g1', 'g0'))})"
     return f"({out})"
 
@@ -93,7 +93,7 @@ levels AS (SELECT 0 AS level, NULL AS lang, NULL AS source, rule, bin FROM binne
 points AS (SELECT level, lang, source, rule, count(*) AS n, list_sort(list(bin)) AS b FROM levels GROUP BY ALL
            HAVING count(*) >= {rules.LEAST_GROUP} OR level = 0),
 quartiles AS (SELECT *, b[(n + 3) // 4] AS q1, b[(n + 1) // 2] AS q2, b[(3 * n + 3) // 4] AS q3,
-                     CASE rule {" ".join(f"WHEN '{r}' THEN {_RULES[r][3]}" for r in _RULES)} END AS least FROM points),
+                     CASE rule {" ".join(f"WHEN '{r}' THEN {_RULES[r][4]}" for r in _RULES)} END AS least FROM points),
 cuts AS (SELECT level, lang, source, [map(list(rule ORDER BY rule), list(q2 + {rules.SPREAD} * greatest(q3 - q2, least) ORDER BY rule)),
                 map(list(rule ORDER BY rule), list(q2 - {rules.SPREAD} * greatest(q2 - q1, least) ORDER BY rule))] AS cuts
          FROM quartiles GROUP BY level, lang, source)
