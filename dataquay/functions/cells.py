@@ -119,6 +119,21 @@ def classify(v: Column, number: Column, pattern: Column, tokens: Sequence[str] =
     )
 
 
+# Sign and digits before the dot, digits after it, and the exponent.
+_PARTS = r"^\s*([+-]?[\d_]*)(?:\.([\d_]*))?(?:[eE]([+-]?[\d_]+))?\s*$"
+
+
+def number_digits(v: Column) -> tuple[Column, Column]:
+    """Places before and after the dot that hold a number, written out; a sign counts as a place.
+
+    An exponent moves digits over the dot, but never makes either side shorter.
+    """
+    part = lambda i: F.replace(F.regexp_extract(v, _PARTS, i), F.lit("_"), F.lit(""))
+    before, after = F.length(part(1)), F.length(part(2))
+    moved = F.coalesce(part(3).try_cast("int"), F.lit(0))
+    return F.greatest(before, before + moved), F.greatest(after, after - moved)
+
+
 def decimal_digits(v: Column) -> tuple[Column, Column]:
     """(precision, scale) of a cell with one dot; a sign counts as a digit."""
     return F.length(v) - 1, F.length(v) - F.instr(v, ".")

@@ -9,7 +9,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dataquay.functions.cells import blank_to_null
+from dataquay.functions.cells import NUMBER, blank_to_null
 from dataquay.vocabulary import spark_type
 
 ERRORS = "_errors"
@@ -61,7 +61,26 @@ def convert(c: Column, attribute: Attribute) -> Column:
         return F.from_json(trimmed, target.simpleString(), {"mode": "PERMISSIVE"})
     if attribute.format and kind in ("timestamp_ntz", "date"):
         return read_datetime(trimmed, attribute.format).cast(target)
-    return trimmed.try_cast(target)
+    return (written_out(trimmed) if kind in NUMERIC else trimmed).try_cast(target)
+
+
+NUMERIC = ("integer", "long", "float", "double", "decimal")
+
+
+def written_out(c: Column) -> Column:
+    """A number without the underscores that may stand between its digits."""
+    return F.when(c.contains("_") & c.rlike(NUMBER), F.replace(c, F.lit("_"), F.lit(""))).otherwise(c)
+
+
+def is_rounded(cell: Column, attribute: Attribute) -> Column:
+    """Whether a decimal has digits, other than zeros, behind the places that its type keeps."""
+    target = spark_type(attribute.type, attribute.precision, attribute.scale)
+    if target.typeName() != "decimal":
+        return F.lit(False)
+    number = F.lower(F.trim(cell))
+    plain = F.rtrim(F.regexp_extract(number, r"\.([\d_]*)", 1), F.lit("0_"))
+    moved = F.coalesce(F.regexp_extract(number, r"e([+-]?\d+)", 1).try_cast("int"), F.lit(0))
+    return F.length(F.replace(plain, F.lit("_"), F.lit(""))) - moved > target.scale
 
 
 def convert_columns(
@@ -74,7 +93,8 @@ def convert_columns(
 
     Other columns are dropped, except those to ``keep``.
     ``_errors`` lists one message per cell that is present but does not fit;
-    that cell becomes NULL.
+    that cell becomes NULL. A decimal with more places than its type is
+    rounded and listed too.
     """
     present = set(df.columns)
     read = [a for a in attributes if a.name in present]
@@ -91,6 +111,9 @@ def convert_columns(
         F.when(
             F.col(f"_cell{i}").isNotNull() & F.col(f"_value{i}").isNull(),
             F.concat(F.lit(f"{a.name}: <Invalid data>: `"), F.col(f"_cell{i}"), F.lit("`")),
+        ).when(
+            F.col(f"_value{i}").isNotNull() & is_rounded(F.col(f"_cell{i}"), a),
+            F.concat(F.lit(f"{a.name}: <Rounded>: `"), F.col(f"_cell{i}"), F.lit("`")),
         )
         for i, a in enumerate(read)
     ]

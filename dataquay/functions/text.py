@@ -77,7 +77,14 @@ def header_name(text: str) -> str:
 
 
 def header_names(cells: list[str]) -> list[str]:
-    return [header_name(c) for c in cells]
+    """Attribute names of a header; a name that is taken gets a number."""
+    names: list[str] = []
+    for cell in cells:
+        name, nth = header_name(cell), 1
+        while (chosen := name if nth == 1 else f"{name}_{nth}") in names:
+            nth += 1
+        names.append(chosen)
+    return names
 
 
 def default_names(count: int) -> list[str]:

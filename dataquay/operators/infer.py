@@ -25,22 +25,25 @@ def cell_rows(
     columns: Sequence[str] | None = None,
     order_column: str | None = None,
     width: Column | None = None,
+    split: Column | None = None,
 ) -> DataFrame:
-    """One row (column_index, pos, v) per cell of the given text columns.
+    """One row (column_index, split, pos, v) per cell of the given text columns.
 
-    Without an order column, positions follow the scan, which is the file's
-    order for a source of one file. ``width`` tells how many cells a row really
-    has; cells beyond it do not exist.
+    Without an order column, positions follow the scan, which is the order of
+    rows within a split of a file. ``split`` says which one a row is in, as an
+    ordered value; rows are ordered by split, then position. ``width`` tells
+    how many cells a row really has; cells beyond it do not exist.
     """
     names = list(columns or [c for c in df.columns if c != order_column])
+    split = F.struct(F.lit(0)) if split is None else split
     pos = F.col(order_column).cast("long") if order_column else F.monotonically_increasing_id()
     kept = [F.col(f"`{n}`").cast("string").alias(f"_{i}") for i, n in enumerate(names)]
-    rows = df.select(pos.alias("pos"), (F.lit(None) if width is None else width).cast("int").alias("_width"), *kept)
+    rows = df.select(split.alias("split"), pos.alias("pos"), (F.lit(None) if width is None else width).cast("int").alias("_width"), *kept)
     pairs = [x for i in range(len(names)) for x in (F.lit(i), F.col(f"_{i}"))]
-    tall = rows.select("pos", "_width", F.stack(F.lit(len(names)), *pairs).alias("column_index", "v"))
+    tall = rows.select("split", "pos", "_width", F.stack(F.lit(len(names)), *pairs).alias("column_index", "v"))
     if width is not None:
         tall = tall.where(F.col("_width").isNull() | (F.col("column_index") < F.col("_width")))
-    return tall.select("column_index", "pos", "v")
+    return tall.select("column_index", "split", "pos", "v")
 
 
 def classify_cells(rows: DataFrame, missing: Sequence[str] = ()) -> DataFrame:
@@ -51,14 +54,19 @@ def classify_cells(rows: DataFrame, missing: Sequence[str] = ()) -> DataFrame:
     classed = dated.withColumn("cell_class", C.classify(v, F.col("_number"), F.col("_date"), missing))
     precision, scale = C.decimal_digits(v)
     is_decimal = F.col("cell_class") == C.DECIMAL
+    before, after = C.number_digits(v)
+    is_number = F.col("cell_class").isin(C.DECIMAL, C.INT32, C.INT64, C.TEXT)
     return classed.select(
         "column_index",
+        "split",
         "pos",
         "v",
         "cell_class",
         F.when(F.col("cell_class") == C.DATETIME, F.col("_date")).alias("format_index"),
         F.when(is_decimal, precision).alias("precision"),
         F.when(is_decimal, scale).alias("scale"),
+        F.when(is_number, before).alias("digits"),
+        F.when(is_number, after).alias("places"),
     )
 
 
@@ -94,8 +102,12 @@ def fold_cells(classed: DataFrame) -> DataFrame:
     last position it was seen at, so one scan is enough: a length counts when
     that position is not before the first CHARACTER cell. Date patterns are
     part of the first grouping too, which leaves only numbers to aggregate.
+    Splits are as well; a row of the first grouping is what one task found.
+
+    A DECIMAL column has room for the longest part of any of its numbers before
+    the dot and after it; one that needs more than 38 digits is CHARACTER.
     """
-    by_length = classed.groupBy("column_index", "format_index", F.length("v").alias("cell_length")).agg(
+    by_length = classed.groupBy("column_index", "format_index", "split", F.length("v").alias("cell_length")).agg(
         F.min(F.when(F.col("cell_class") == C.CHAR, F.col("pos"))).alias("first_char"),
         F.max(F.when(F.col("cell_class") != C.MISSING, F.col("pos"))).alias("last_filled"),
         _last(C.DATETIME).alias("last_datetime"),
@@ -103,11 +115,16 @@ def fold_cells(classed: DataFrame) -> DataFrame:
         _last(C.TEXT).alias("last_text"),
         _last(C.INT64).alias("last_int64"),
         _last(C.INT32).alias("last_int32"),
-        F.max("precision").alias("precision"),
-        F.max("scale").alias("scale"),
+        F.max("digits").alias("digits"),
+        F.max("places").alias("places"),
+        F.max(F.when(F.col("cell_class") != C.MISSING, F.length("v"))).alias("longest"),
         F.max(F.col("cell_class") == C.MISSING).alias("nullable"),
     )
-    # From here on there are at most as many rows as cell lengths and patterns.
+    # From here on there are at most as many rows as cell lengths and patterns, per split.
+    positions = ("first_char", "last_filled", "last_datetime", "last_decimal", "last_text", "last_int64", "last_int32")
+    by_length = by_length.withColumns({
+        p: F.when(F.col(p).isNotNull(), F.struct("split", F.col(p).alias("pos"))) for p in positions
+    })
     first = F.min("first_char").over(Window.partitionBy("column_index"))
     counted = F.when(F.col("last_filled") >= F.col("first_char"), F.col("cell_length"))
     merged = by_length.withColumn("first_char", first).groupBy("column_index").agg(
@@ -116,18 +133,21 @@ def fold_cells(classed: DataFrame) -> DataFrame:
         F.max_by("format_index", "last_datetime").alias("format_index"),
         *[F.max(c).alias(c) for c in (
             "last_datetime", "last_decimal", "last_text", "last_int64", "last_int32",
-            "precision", "scale", "nullable",
+            "digits", "places", "longest", "nullable",
         )],
     )
-    typed = merged.withColumn("type", _fold_type())
+    typed = merged.withColumn("type", _fold_type()).withColumn("precision", F.col("digits") + F.col("places"))
+    too_long = (F.col("type") == "DECIMAL") & (F.col("precision") > MAX_DIGITS)
+    typed = typed.withColumn("size", F.when(too_long, F.col("longest")).otherwise(F.col("size")))
+    typed = typed.withColumn("type", F.when(too_long, "CHARACTER").otherwise(F.col("type")))
     is_decimal = F.col("type") == "DECIMAL"
     return typed.select(
         "column_index",
         F.when((F.col("type") == "CHARACTER") & (F.col("size") > TEXT_ABOVE), "TEXT")
         .otherwise(F.col("type")).alias("type"),
         F.when(F.col("type") == "CHARACTER", F.col("size")).cast("int").alias("size"),
-        F.when(is_decimal, F.least("precision", F.lit(MAX_DIGITS))).cast("int").alias("precision"),
-        F.when(is_decimal, F.least("scale", F.lit(MAX_DIGITS))).cast("int").alias("scale"),
+        F.when(is_decimal, F.col("precision")).cast("int").alias("precision"),
+        F.when(is_decimal, F.col("places")).cast("int").alias("scale"),
         F.when(F.col("type") == "DATETIME", C.date_pattern(F.col("format_index"))).alias("format"),
         "nullable",
     )
@@ -139,13 +159,15 @@ def infer_columns(
     order_column: str | None = None,
     missing: Sequence[str] = (),
     width: Column | None = None,
+    split: Column | None = None,
 ) -> DataFrame:
     """Infer the attributes of text columns: one row per column.
 
+    ``order_column`` or ``split`` give the order of rows, as in :func:`cell_rows`.
     Result: position, name, type, size, precision, scale, format, nullable.
     """
     names = list(columns or [c for c in df.columns if c != order_column])
-    rows = cell_rows(df, names, order_column, width)
+    rows = cell_rows(df, names, order_column, width, split)
     folded = fold_cells(classify_cells(rows, missing))
     declared = df.sparkSession.createDataFrame(list(enumerate(names)), "position int, name string")
     # One row per column on either side.

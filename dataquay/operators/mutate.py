@@ -55,13 +55,27 @@ def create_sources(
     storages: DataFrame,
     owner: int,
     defaults: Mapping[str, object] = SOURCE_DEFAULTS,
+    login: str | None = None,
+    name_: str | None = None,
+    now: Column | None = None,
 ) -> DataFrame:
     """Append new sources, with defaults for what they leave out.
 
-    The caller becomes the owner, and a JDBC source takes its storage's URL.
+    The caller, with ``login`` and ``name_``, becomes the owner where none is
+    given; a JDBC source takes its storage's URL. A new source is never
+    initialized, whatever the caller says, and has no estimated rows; it is
+    created and updated ``now``.
     """
     filled = {"user_id": F.coalesce("user_id", F.lit(owner)) if "user_id" in new.columns else F.lit(owner)}
+    forced = {"initialization": F.lit("NO_INITIALIZED"), "estimated_rows": F.lit(0), "created": now, "updated": now}
+    filled |= {n: v for n, v in forced.items() if n in existing.columns and v is not None}
+    for column, value in (("user_login", login), ("user_name", name_)):
+        if column in existing.columns:
+            given = F.col(column) if column in new.columns else F.lit(None)
+            filled[column] = F.coalesce(given, F.lit(value))
     for name, value in defaults.items():
+        if name in filled:
+            continue
         if name in existing.columns:
             filled[name] = F.coalesce(F.col(name), F.lit(value)) if name in new.columns else F.lit(value)
     complete = new.withColumns(filled)
@@ -83,13 +97,22 @@ def upsert(
 ) -> DataFrame:
     """Replace rows by natural key, keeping their id; rows with a new key are added.
 
-    Several new rows for one key: the last in ``order`` wins. Columns the new
-    rows do not have keep their old value.
+    Several new rows for one key: the last in ``order`` wins. Of old rows that
+    share a key, the one with the smallest id is replaced and the others stay.
+    Columns the new rows do not have keep their old value.
+
+    The patch learns the id of the row it replaces, from old keys that are
+    reduced first; old rows are then matched by id, so that a key that many of
+    them share never meets in one task.
     """
-    patch = latest_per_key(new, [key], order)
+    firsts = old.groupBy(F.col(key).alias("_key")).agg(F.min(id_column).alias("_first"))
+    patch = latest_per_key(new, [key], order).select(F.struct(*new.columns).alias("n"))
+    placed = patch.join(firsts, F.col("n")[key] == F.col("_key"), "left").drop("_key")
     left = old.select(F.struct(*old.columns).alias("o"))
-    right = patch.select(F.struct(*patch.columns).alias("n"))
-    joined = left.join(right, F.col("o")[key] == F.col("n")[key], "full_outer")
+    known = placed.where(F.col("_first").isNotNull())
+    kept = left.join(known, F.col("o")[id_column] == F.col("_first"), "left").drop("_first")
+    added = placed.where(F.col("_first").isNull()).select(F.lit(None).cast(kept.schema["o"].dataType).alias("o"), "n")
+    joined = kept.unionByName(added)
     columns = []
     for name in old.columns:
         if name == id_column:
@@ -173,11 +196,30 @@ def patch_sources(
     user: int,
     is_admin: bool = False,
     order: Sequence[str] = (),
+    attributes: DataFrame | None = None,
+    now: Column | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Apply the patches the caller may make; also the outcomes."""
+    """Apply the patches the caller may make; also the outcomes.
+
+    With ``attributes``, a patch that would leave a lookup source without
+    exactly two attributes is refused as ``Invalid lookup``. With ``now``,
+    ``updated`` is raised on the sources that change. Attributes of sources
+    that become TEXT go by :func:`without_text_attributes`.
+    """
     outcomes = change_outcomes(patches, sources, grants, user, is_admin)
-    allowed = patches.join(outcomes.where("outcome = 'OK'"), "id", "left_semi")
-    return partial_update(sources, allowed, "id", order), outcomes
+    if attributes is not None:
+        allowed = patches.join(outcomes.where("outcome = 'OK'"), "id", "left_semi")
+        wrong = lookup_violations(partial_update(sources, allowed, "id", order), attributes).select(F.col("id").alias("_wrong")).distinct()
+        checked = outcomes.join(wrong, F.col("id") == F.col("_wrong"), "left")
+        refused = (F.col("outcome") == "OK") & F.col("_wrong").isNotNull()
+        outcomes = checked.select("id", F.when(refused, "Invalid lookup").otherwise(F.col("outcome")).alias("outcome"))
+    accepted = outcomes.where("outcome = 'OK'")
+    after = partial_update(sources, patches.join(accepted, "id", "left_semi"), "id", order)
+    if now is not None:
+        marks = accepted.select(F.col("id").alias("_id"))
+        after = after.join(marks, F.col("id") == F.col("_id"), "left")
+        after = after.withColumn("updated", F.when(F.col("_id").isNotNull(), now).otherwise(F.col("updated"))).select(*sources.columns)
+    return after, outcomes
 
 
 def delete_models(models: DataFrame, grants: DataFrame, asked: DataFrame, user: int) -> DataFrame:
@@ -209,7 +251,8 @@ def share(
 ) -> tuple[DataFrame, DataFrame]:
     """Grant or change permissions on the sources the caller may manage.
 
-    Returns the next grants, and one row per accepted request with the action
+    A new grant takes the person's name and login from its request; a changed
+    one takes those that the request has. Returns the next grants, and one row per accepted request with the action
     taken, ``Added`` or ``Updated``.
     """
     managed = visible_sources(sources, grants, caller, SHARE_LEVELS).select(
@@ -217,15 +260,19 @@ def share(
     )
     allowed = requests.join(managed, "data_source_id", "left_semi")
     wanted = latest_per_key(allowed, list(PERMISSION_KEY), order)
-    asked = wanted.select(*PERMISSION_KEY, F.col("permission").alias("_wanted"))
-    joined = grants.join(asked, list(PERMISSION_KEY), "full_outer")
-    merged = joined.withColumn("_permission", F.coalesce("_wanted", "permission"))
-    after = merged.withColumn("permission", F.col("_permission")).select(*grants.columns)
-    action = F.when(F.col("permission").isNull(), "Added").otherwise("Updated")
-    actions = joined.where(F.col("_wanted").isNotNull()).select(
-        *PERMISSION_KEY, F.col("_wanted").alias("permission"), action.alias("action")
-    )
-    return after, actions
+    rest = [c for c in wanted.columns if c not in PERMISSION_KEY]
+    asked = wanted.select(*PERMISSION_KEY, F.struct(*rest).alias("_asked"))
+    # Grants are matched from their side, which AQE can split where a source has very many.
+    changed = grants.join(asked, list(PERMISSION_KEY), "left")
+    updated = changed.select(*[
+        c if c in PERMISSION_KEY or c not in rest else F.coalesce(F.col("_asked")[c], F.col(c)).alias(c) for c in grants.columns
+    ])
+    held = grants.select(*PERMISSION_KEY).distinct().withColumn("_held", F.lit(True))
+    matched = wanted.join(held, list(PERMISSION_KEY), "left")
+    added = matched.where(F.col("_held").isNull()).drop("_held")
+    after = updated.unionByName(added.select(*[c for c in added.columns if c in grants.columns]), allowMissingColumns=True)
+    action = F.when(F.col("_held").isNull(), "Added").otherwise("Updated")
+    return after, matched.select(*PERMISSION_KEY, "permission", action.alias("action"))
 
 
 def revoke(grants: DataFrame, revoked: DataFrame, sources: DataFrame, caller: int) -> DataFrame:
@@ -237,12 +284,23 @@ def revoke(grants: DataFrame, revoked: DataFrame, sources: DataFrame, caller: in
     return grants.join(doomed, list(PERMISSION_KEY), "left_anti")
 
 
-def set_initialization(rows: DataFrame, key: object, status: str) -> DataFrame:
-    """Set the initialization status of one source; unknown statuses are an error."""
+def set_initialization(
+    rows: DataFrame, key: object, status: str, grants: DataFrame | None = None, user: int | None = None
+) -> DataFrame:
+    """Set the initialization status of one source; unknown statuses are an error.
+
+    With ``grants`` and ``user``, only a source that the user sees is changed.
+    """
     if status not in INITIALIZATION_STATUSES:
         raise ValueError(f"Unknown initialization status: {status}")
     changed = F.when(F.col("id") == F.lit(key), F.lit(status)).otherwise(F.col("initialization"))
-    return rows.withColumn("initialization", changed)
+    if grants is None:
+        return rows.withColumn("initialization", changed)
+    one = rows.where(F.col("id") == F.lit(key))
+    seen = visible_sources(one, grants, user).select("id").distinct().withColumn("_seen", F.lit(True))
+    joined = rows.join(seen, "id", "left")
+    value = F.when(F.col("_seen"), changed).otherwise(F.col("initialization"))
+    return joined.withColumn("initialization", value).select(*rows.columns)
 
 
 def touch_parents(parents: DataFrame, children: DataFrame, foreign_key: str) -> DataFrame:

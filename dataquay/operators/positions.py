@@ -90,7 +90,10 @@ def rows_between(
     """
     skipped = 0
     if lead is not None:
-        df, skipped = _band(df, lead, start, stop)
+        # Written once: counts, bounds and the band are all taken from the copy.
+        path = scratch_dir(df.sparkSession, "unsorted")
+        df.write.parquet(path)
+        df, skipped = _band(df.sparkSession.read.schema(df.schema).parquet(path), lead, start, stop)
     laid_out = _sorted_table(df, order)
     counts = sorted(laid_out.groupBy("_part").count().collect())
     offsets, before = [], skipped

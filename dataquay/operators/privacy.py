@@ -72,8 +72,11 @@ def category(c: Column, categories: dict[str, str]) -> Column:
     return F.try_element_at(F.create_map(*pairs), c.cast("string"))
 
 
-def hashed(c: Column, key: str | None = None) -> Column:
-    return F.sha2(F.concat(F.lit(key or ""), c.cast("string")), 256)
+def hashed(c: Column, key: str | None) -> Column:
+    """SHA-256 of key and value. Without a key anyone could try out values, so one must be set."""
+    if not key:
+        raise ValueError("ENCRYPTION needs a key")
+    return F.sha2(F.concat(F.lit(key), c.cast("string")), 256)
 
 
 def encrypted(c: Column, key: Column) -> Column:
@@ -99,10 +102,11 @@ def generalize(c: Column, hierarchy: str | None) -> Column:
 def generalize_by(df: DataFrame, column: str, hierarchy: DataFrame) -> DataFrame:
     """Replace a value by its category from a (value, category) relation.
 
+    A value that is listed twice has the first of its categories by name.
     A broadcast is left to Spark, which knows the size of the hierarchy.
     """
     value, cat = hierarchy.columns
-    steps = hierarchy.select(F.col(value).alias("_value"), F.col(cat).alias("_category"))
+    steps = hierarchy.groupBy(F.col(value).alias("_value")).agg(F.min(cat).alias("_category"))
     joined = df.join(steps, df[column] == steps["_value"], "left")
     return joined.withColumn(column, F.col("_category")).drop("_value", "_category")
 

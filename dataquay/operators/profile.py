@@ -168,8 +168,8 @@ def deciles(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = F
     names = [n for n in (columns or df.columns) if _is_number(df, n)]
     if exact:
         found = _exact_quantiles(df, names, DECILES)
-        named = F.get(F.array(*[F.lit(n) for n in names]), F.col("position"))
-        return found.select("position", named.alias("name"), F.col("quantiles").alias("deciles"))
+        listed = df.sparkSession.createDataFrame(list(enumerate(names)), "position int, name string")
+        return listed.join(found, "position", "left").select("position", "name", F.col("quantiles").alias("deciles"))
     sketches = [
         F.approx_percentile(_ref(n).cast("double"), list(DECILES), QUANTILE_ACCURACY).alias(f"{i}_deciles")
         for i, n in enumerate(names)

@@ -64,9 +64,13 @@ def count_orphans(name: str, child: DataFrame, parent: DataFrame, parts: Sequenc
 
 
 def decode(df: DataFrame, code: str, lookup: DataFrame, as_: str) -> DataFrame:
-    """Add the description of a code from a two-column lookup source."""
+    """Add the description of a code from a two-column lookup source.
+
+    A code that the lookup lists twice has the first of its descriptions by
+    name, so that rows never multiply.
+    """
     if len(lookup.columns) != 2:
         raise ValueError("A lookup source has exactly two attributes")
     key, description = lookup.columns
-    renamed = lookup.select(F.col(key).alias("_code"), F.col(description).alias(as_))
+    renamed = lookup.groupBy(F.col(key).alias("_code")).agg(F.min(description).alias(as_))
     return df.join(renamed, df[code] == renamed["_code"], "left").drop("_code")

@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dataquay.operators.positions import explode_range
+# Gaps are looked for among so many part numbers at a time.
+PART_BLOCK = 10_000
+
 
 def upload_completeness(parts: DataFrame, file: str, part: str, total: str) -> DataFrame:
     """One row per file: parts present, parts expected, and whether all are there.
 
-    A part sent twice counts once. The distinct count runs in two shuffles,
-    first by (file, part), so a file with very many parts is spread.
+    A part sent twice counts once; a number outside 1 to the total it was sent
+    with is no part of the file and counts as stray. The distinct count runs in
+    two shuffles, first by (file, part), so a file with very many parts is
+    spread.
     """
+    inside = F.col(part).between(1, F.col(total))
     counted = parts.groupBy(file).agg(
-        F.count_distinct(part).alias("parts_present"),
+        F.count_distinct(F.when(inside, F.col(part))).alias("parts_present"),
+        F.count_distinct(F.when(~inside, F.col(part))).alias("parts_stray"),
         F.max(total).cast("long").alias("parts_expected"),
     )
     return counted.withColumns({
@@ -24,12 +30,32 @@ def upload_completeness(parts: DataFrame, file: str, part: str, total: str) -> D
 
 
 def missing_parts(parts: DataFrame, file: str, part: str, total: str) -> DataFrame:
-    """One row (file, part) per part that incomplete files still wait for."""
-    status = upload_completeness(parts, file, part, total)
-    open_files = status.where(~F.col("complete")).select(file, "parts_expected")
-    expected = explode_range(open_files, part, F.col("parts_expected"), first=1).select(file, part)
-    present = parts.select(file, F.col(part).cast("long").alias(part)).distinct()
-    return expected.join(present, [file, part], "left_anti")
+    """One row (file, first_part, last_part) per range of parts that incomplete files still wait for.
+
+    Ranges, not parts, since a total is whatever a sender wrote. Gaps are found
+    within blocks of part numbers, and then between the blocks of a file, so a
+    file with very many parts is spread.
+    """
+    expected = parts.groupBy(F.col(file).alias("_file")).agg(F.max(total).cast("long").alias("_last"))
+    present = parts.where(F.col(part).between(1, F.col(total))).select(
+        F.col(file).alias("_file"), F.col(part).cast("long").alias("_part")
+    ).distinct().withColumn("_block", F.expr(f"_part div {PART_BLOCK}"))
+    inner = Window.partitionBy("_file", "_block").orderBy("_part")
+    gaps = present.withColumn("_next", F.lead("_part").over(inner)).select(
+        "_file", (F.col("_part") + 1).alias("first_part"), (F.col("_next") - 1).alias("last_part")
+    )
+    # From here on there is one row per block of a file.
+    blocks = present.groupBy("_file", "_block").agg(F.min("_part").alias("_min"), F.max("_part").alias("_max"))
+    outer = Window.partitionBy("_file").orderBy("_block")
+    between = blocks.select(
+        "_file", (F.coalesce(F.lag("_max").over(outer), F.lit(0)) + 1).alias("first_part"), (F.col("_min") - 1).alias("last_part")
+    )
+    ends = blocks.groupBy("_file").agg(F.max("_max").alias("_max"))
+    tails = expected.join(ends, "_file", "left").select(
+        "_file", (F.coalesce("_max", F.lit(0)) + 1).alias("first_part"), F.col("_last").alias("last_part")
+    )
+    found = gaps.unionAll(between).unionAll(tails).where("first_part <= last_part")
+    return found.withColumnRenamed("_file", file)
 
 
 def parts_in_order(parts: DataFrame, file: str, part: str) -> DataFrame:

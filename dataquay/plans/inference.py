@@ -114,7 +114,7 @@ classed AS (
 
 
 # The column fold, restated with the order-dependent parts spelled out.
-_FOLDED = """marks AS (
+_FOLDED = r"""marks AS (
   SELECT column_index,
     bool_or(cell_class = 'MISSING') AS nullable,
     min(pos) FILTER (cell_class = 'CHAR') AS first_char,
@@ -123,16 +123,21 @@ _FOLDED = """marks AS (
     coalesce(max(pos) FILTER (cell_class = 'INT64'), -1) AS i64,
     coalesce(max(pos) FILTER (cell_class = 'INT32'), -1) AS i32,
     arg_max(fmt, pos) FILTER (cell_class = 'DATETIME') AS fmt,
-    least(max(length(v) - 1) FILTER (cell_class = 'DECIMAL'), 18) AS prec,
-    least(max(length(v) - instr(v, '.')) FILTER (cell_class = 'DECIMAL'), 18) AS sc
-  FROM classed GROUP BY column_index),
+    max(greatest(a, a + e)) + max(greatest(f, f - e)) AS prec, max(greatest(f, f - e)) AS sc,
+    max(length(v)) FILTER (cell_class <> 'MISSING') AS longest
+  FROM (SELECT *, length(before) AS a, length(after) AS f,
+               CASE WHEN before IS NOT NULL THEN coalesce(try_cast(regexp_extract(n, '[eE](.*)$', 1) AS INTEGER), 0) END AS e
+        FROM (SELECT *, regexp_extract(n, '^[+-]?\d*', 0) AS before, regexp_extract(n, '\.(\d*)', 1) AS after
+              FROM (SELECT *, CASE WHEN cell_class IN ('DECIMAL', 'INT32', 'INT64', 'TEXT') THEN replace(trim(v), '_', '') END AS n
+                    FROM classed)))
+  GROUP BY column_index),
 sized AS (
   SELECT m.column_index, max(length(v)) FILTER (cell_class <> 'MISSING' AND pos >= first_char) AS size
   FROM marks m JOIN classed c ON c.column_index = m.column_index GROUP BY 1),
 folded AS (
   SELECT m.*, s.size,
     CASE WHEN first_char IS NOT NULL THEN CASE WHEN s.size > 1000 THEN 'TEXT' ELSE 'CHARACTER' END
-      WHEN o = 'DECIMAL' THEN 'DECIMAL' WHEN i64 > p THEN 'LONG' WHEN i32 > p THEN 'INTEGER'
+      WHEN o = 'DECIMAL' THEN CASE WHEN prec > 38 THEN 'CHARACTER' ELSE 'DECIMAL' END WHEN i64 > p THEN 'LONG' WHEN i32 > p THEN 'INTEGER'
       ELSE coalesce(o, 'CHARACTER') END AS type
   FROM marks m JOIN sized s ON s.column_index = m.column_index)"""
 
@@ -152,7 +157,8 @@ ORDER_CTE = """order_cells AS (
          CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS o_totalprice,
          strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate, o_orderpriority FROM orders)"""
 FULL = (
-    "column_index AS position, name, type, CASE WHEN first_char IS NOT NULL THEN CAST(size AS INTEGER) END AS size, "
+    "column_index AS position, name, type, CAST(CASE WHEN first_char IS NOT NULL THEN size "
+    "WHEN o = 'DECIMAL' AND prec > 38 THEN longest END AS INTEGER) AS size, "
     "CASE WHEN type = 'DECIMAL' THEN CAST(prec AS INTEGER) END AS precision, "
     "CASE WHEN type = 'DECIMAL' THEN CAST(sc AS INTEGER) END AS scale, "
     "CASE WHEN type = 'DATETIME' THEN fmt END AS format, nullable"
@@ -181,22 +187,25 @@ def infer_mixed_columns(t: Tables) -> DataFrame:
 
 _LINE_COLUMNS = (
     "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
-    "l_returnflag", "l_linestatus", "l_shipdate",
+    "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate",
 )
 
 
 @query("infer_lineitem", folded_sql("", cells_sql(
     """(SELECT *, CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR) AS price,
+        CAST(CAST(l_discount AS DECIMAL(18,2)) AS VARCHAR) AS discount, CAST(CAST(l_tax AS DECIMAL(18,2)) AS VARCHAR) AS tax,
         CAST(CAST(l_quantity AS DECIMAL(18,1)) AS VARCHAR) AS quantity, strftime(l_shipdate, '%Y-%m-%d') AS shipped FROM lineitem)""",
     "l_orderkey",
     ("CAST(l_orderkey AS VARCHAR)", "CAST(l_partkey AS VARCHAR)", "CAST(l_suppkey AS VARCHAR)",
-     "CAST(l_linenumber AS VARCHAR)", "quantity", "price", "l_returnflag", "l_linestatus", "shipped")),
+     "CAST(l_linenumber AS VARCHAR)", "quantity", "price", "discount", "tax", "l_returnflag", "l_linestatus", "shipped")),
     _LINE_COLUMNS, FULL))
 def infer_lineitem(t: Tables) -> DataFrame:
     """No column mixes dates with numbers here, so the scan's order will do."""
     cells = t.lineitem.select(*_LINE_COLUMNS).withColumns({
         "l_extendedprice": F.col("l_extendedprice").cast("decimal(18,2)"),
         "l_quantity": F.col("l_quantity").cast("decimal(18,1)"),
+        "l_discount": F.col("l_discount").cast("decimal(18,2)"),
+        "l_tax": F.col("l_tax").cast("decimal(18,2)"),
         "l_shipdate": F.date_format("l_shipdate", "yyyy-MM-dd"),
     })
     return I.infer_columns(cells)
@@ -210,16 +219,19 @@ def infer_nullable(t: Tables) -> DataFrame:
 
 @query("infer_decimal", folded_sql(
     "", cells_sql("customer", "c_custkey", ("CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS VARCHAR)",
-                                             "CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS VARCHAR) || '000000000000000000'")),
-    ("balance", "padded"),
-    "name, type, CAST(prec AS INTEGER) AS precision, CAST(sc AS INTEGER) AS scale"))
+                                             "CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS VARCHAR) || '000000000000000000'",
+                                             "CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS VARCHAR) || repeat('0', 36)")),
+    ("balance", "padded", "endless"),
+    "name, type, CASE WHEN type = 'DECIMAL' THEN CAST(prec AS INTEGER) END AS precision, "
+    "CASE WHEN type = 'DECIMAL' THEN CAST(sc AS INTEGER) END AS scale"))
 def infer_decimal(t: Tables) -> DataFrame:
-    """The second column has more digits than are kept."""
+    """The third column has more digits than a decimal keeps."""
     balance = F.col("c_acctbal").cast("decimal(18,2)").cast("string")
     cells = t.customer.select(
-        "c_custkey", balance.alias("balance"), F.concat(balance, F.lit("0" * 18)).alias("padded")
+        "c_custkey", balance.alias("balance"), F.concat(balance, F.lit("0" * 18)).alias("padded"),
+        F.concat(balance, F.lit("0" * 36)).alias("endless"),
     )
-    found = I.infer_columns(cells, ("balance", "padded"), "c_custkey")
+    found = I.infer_columns(cells, ("balance", "padded", "endless"), "c_custkey")
     return found.select("name", "type", "precision", "scale")
 
 
@@ -268,7 +280,7 @@ def infer_csv_source(t: Tables) -> DataFrame:
         F.col("n_chars").alias("N-chars "),
     ), path)
     spec = R.SourceSpec("CSV", path, is_first_line_header=True, is_multiline=True)
-    return R.infer_csv(t.spark, spec, lines=None).select("name", "type", "size", "nullable")
+    return R.infer_csv(t.spark, spec).select("name", "type", "size", "nullable")
 
 
 @query("infer_delimiter", """

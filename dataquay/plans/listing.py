@@ -492,10 +492,29 @@ WITH {S.STORED_SOURCES}, {S.STORAGES}, {S.ATTRIBUTES}, {S.GRANTS}
 SELECT s.id, s.name, st.name AS storage_name, CASE WHEN s.user_id = {S.USER} THEN st.url END AS storage_url,
        (SELECT coalesce(string_agg(a.name, ',' ORDER BY a.name), '') FROM attributes a WHERE a.data_source_id = s.id) AS attributes
 FROM stored_sources s JOIN storages st ON st.id = s.storage_id
-WHERE s.id = 77 AND (s.user_id = {S.USER} OR is_public OR s.id IN (SELECT data_source_id FROM grants WHERE user_id = {S.USER}))""")
+WHERE s.id = (SELECT min(id) FROM stored_sources WHERE user_id = {S.USER})""")
 def source_by_id(t: Tables) -> DataFrame:
+    """The user's own source: its locations show."""
+    return _document(t, S.sources(t).where(F.col("user_id") == S.USER).agg(F.min("id")).first()[0])
+
+
+@query("source_by_id_shared", f"""
+WITH {S.STORED_SOURCES}, {S.STORAGES}, {S.ATTRIBUTES}, {S.GRANTS}
+SELECT s.id, s.name, st.name AS storage_name, CAST(NULL AS VARCHAR) AS storage_url,
+       (SELECT coalesce(string_agg(a.name, ',' ORDER BY a.name), '') FROM attributes a WHERE a.data_source_id = s.id) AS attributes
+FROM stored_sources s JOIN storages st ON st.id = s.storage_id
+WHERE s.id = (SELECT min(g.data_source_id) FROM grants g JOIN stored_sources o ON o.id = g.data_source_id
+              WHERE g.user_id = {S.USER} AND o.user_id <> {S.USER})""")
+def source_by_id_shared(t: Tables) -> DataFrame:
+    """A source of someone else that the user may read: its locations are hidden."""
+    shared = S.grants(t).where(F.col("user_id") == S.USER).select(F.col("data_source_id").alias("id"))
+    others = S.sources(t).where(F.col("user_id") != S.USER).join(shared, "id", "left_semi")
+    return _document(t, others.agg(F.min("id")).first()[0])
+
+
+def _document(t: Tables, key: int) -> DataFrame:
     document = Q.source_by_id(
-        S.stored_sources(t), S.grants(t), S.storages(t), {"attributes": S.attributes(t)}, 77, S.USER
+        S.stored_sources(t), S.grants(t), S.storages(t), {"attributes": S.attributes(t)}, key, S.USER
     )
     names = F.array_join(F.transform("attributes", lambda a: a["name"]), ",")
     return document.select(

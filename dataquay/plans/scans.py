@@ -127,7 +127,7 @@ def csv_multiline(t: Tables) -> DataFrame:
 
 @query("csv_unschematised", """
 SELECT trim(split_part(line, ';', 1)) AS "row", count(*) AS n
-FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY 1""")
+FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) WHERE trim(line) <> '' GROUP BY 1""")
 def csv_unschematised(t: Tables) -> DataFrame:
     path = scratch_dir(t.spark, "lines")
     t.documents.select("text").write.text(path)
@@ -153,7 +153,7 @@ def jsonl_scan_declared(t: Tables) -> DataFrame:
         Attribute("event_id", "LONG"), Attribute("user_id", "LONG"),
         Attribute("event_type", "CHARACTER"), Attribute("value", "DOUBLE"),
     )
-    return R.read_source(t.spark, R.SourceSpec("JSON", path, attributes=attributes))
+    return R.read_source(t.spark, R.SourceSpec("JSON", path, attributes=attributes)).drop(ERRORS)
 
 
 @query("parquet_scan", "SELECT * FROM customer")
@@ -171,7 +171,7 @@ def parquet_scan_declared(t: Tables) -> DataFrame:
         Attribute("c_acctbal", "DECIMAL", 18, 2), Attribute("c_note", "TEXT"),
     )
     rows = R.read_source(t.spark, R.SourceSpec("PARQUET", t.path("customer"), attributes=attributes))
-    return rows.withColumn("c_acctbal", F.col("c_acctbal").cast("string"))
+    return rows.withColumn("c_acctbal", F.col("c_acctbal").cast("string")).drop(ERRORS)
 
 
 @query("text_scan", """
@@ -337,7 +337,7 @@ UPLOAD_PARTS = f"""parts AS (
 
 @query("upload_completeness", f"""
 WITH {UPLOAD_PARTS}
-SELECT file, count(DISTINCT part) AS parts_present, max(total) AS parts_expected,
+SELECT file, count(DISTINCT part) AS parts_present, CAST(0 AS BIGINT) AS parts_stray, max(total) AS parts_expected,
        max(total) - count(DISTINCT part) AS parts_missing, count(DISTINCT part) = max(total) AS complete
 FROM parts GROUP BY file""")
 def upload_completeness(t: Tables) -> DataFrame:
@@ -346,9 +346,10 @@ def upload_completeness(t: Tables) -> DataFrame:
 
 @query("upload_missing_parts", """
 WITH e AS (SELECT l_orderkey AS file, CAST(l_linenumber AS BIGINT) AS part FROM lineitem),
-f AS (SELECT file, max(part) AS total FROM e GROUP BY file)
-SELECT x.file, x.part FROM (SELECT file, unnest(range(1, total + 1)) AS part FROM f) x
-ANTI JOIN e ON e.file = x.file AND e.part = x.part""")
+f AS (SELECT file, max(part) AS total FROM e GROUP BY file),
+missing AS (SELECT x.file, x.part, x.part - row_number() OVER (PARTITION BY x.file ORDER BY x.part) AS run
+  FROM (SELECT file, unnest(range(1, total + 1)) AS part FROM f) x ANTI JOIN e ON e.file = x.file AND e.part = x.part)
+SELECT file, min(part) AS first_part, max(part) AS last_part FROM missing GROUP BY file, run""")
 def upload_missing_parts(t: Tables) -> DataFrame:
     """Line numbers as parts; an order's largest number is its total."""
     parts = t.lineitem.select(

@@ -7,6 +7,7 @@ can be told from a missing one. Gzip files are read by every reader here.
 from __future__ import annotations
 
 import codecs
+import re
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
@@ -16,12 +17,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dataquay.functions.cells import missing_tokens
-from dataquay.functions.convert import Attribute, convert_columns
+from dataquay.functions.convert import ERRORS, Attribute, convert_columns
 from dataquay.functions.text import default_names, header_names, without_nul
 from dataquay.functions.typemaps import schema_attributes
 from dataquay.operators import infer
 from dataquay.operators.catalog import sample_head
-from dataquay.vocabulary import INFER_LINES, NAMED_DELIMITERS, SAMPLE_ROWS, spark_type
+from dataquay.vocabulary import NAMED_DELIMITERS, SAMPLE_ROWS, spark_type
 
 BAD_RECORD = "_bad_record"
 
@@ -117,31 +118,57 @@ def read_csv(
 
 
 def read_csv_unschematised(spark: SparkSession, spec: SourceSpec) -> DataFrame:
-    """A CSV source without declared columns: the text before the first ``;``."""
-    lines = spark.read.option("encoding", _spark_charset(spec.encoding)).text(spec.path)
-    return lines.select(F.trim(F.substring_index("value", ";", 1)).alias("row"))
+    """A CSV source without declared columns: the first of its cells, which ``;`` ends.
+
+    A quoted cell may hold a ``;``. The header line is skipped, and so are empty lines.
+    """
+    options = csv_options(replace(spec, attribute_delimiter=";", text_delimiter='"'))
+    del options["columnNameOfCorruptRecord"]
+    rows = spark.read.schema("row string").options(**options).csv(spec.path)
+    return rows.select(F.trim(F.coalesce("row", F.lit(""))).alias("row"))
+
+
+def _lines(spark: SparkSession, spec: SourceSpec) -> DataFrame:
+    """The lines of a source, as ``value``. Its encoding must end lines as ASCII does."""
+    lines = spark.read.text(spec.path)
+    charset = _spark_charset(spec.encoding)
+    if charset in ("utf-8", "US-ASCII"):
+        return lines
+    if charset.startswith("utf-"):
+        raise UnsupportedSource(f"No line reader for encoding {spec.encoding}")
+    return lines.select(F.decode(F.col("value").cast("binary"), charset).alias("value"))
 
 
 def read_json_lines(spark: SparkSession, spec: SourceSpec) -> DataFrame:
     """One JSON object per line: in the declared columns, else as VARIANT.
 
-    VARIANT keeps the shape of every row; a line that is not JSON is NULL.
+    VARIANT keeps the shape of every row; a line that is not JSON is NULL. In
+    declared columns ``_errors`` lists the values that do not fit their type,
+    and a line that is not JSON.
     """
-    if spec.attributes:
-        fields = [
-            T.StructField(a.name, spark_type(a.type, a.precision, a.scale)) for a in spec.attributes
-        ]
-        return spark.read.schema(T.StructType(fields)).json(spec.path)
-    return spark.read.text(spec.path).select(F.try_parse_json("value").alias("value"))
+    lines = _lines(spark, spec)
+    if not spec.attributes:
+        return lines.select(F.try_parse_json("value").alias("value"))
+    fields = [T.StructField(n, T.StringType()) for n in [*(a.name for a in spec.attributes), BAD_RECORD]]
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD_RECORD}
+    parsed = lines.where(F.trim("value") != "").select(F.from_json("value", T.StructType(fields), options).alias("row"))
+    typed = convert_columns(parsed.select("row.*"), spec.attributes, keep=[BAD_RECORD])
+    broken = F.array(F.concat(F.lit("<Invalid row>: `"), F.col(BAD_RECORD), F.lit("`")))
+    errors = F.when(F.col(BAD_RECORD).isNull(), F.col(ERRORS)).otherwise(broken)
+    return typed.withColumn(ERRORS, errors).drop(BAD_RECORD)
 
 
 def read_parquet(spark: SparkSession, spec: SourceSpec) -> DataFrame:
-    """A Parquet file or folder, in its own schema or in declared columns."""
+    """A Parquet file or folder, in its own schema or in declared columns.
+
+    In declared columns ``_errors`` lists the values that do not fit their
+    type; they are NULL.
+    """
     df = spark.read.parquet(spec.path)
     if not spec.attributes:
         return df
     present = set(df.columns)
-    columns = []
+    columns, errors = [], []
     for a in spec.attributes:
         target = spark_type(a.type, a.precision, a.scale)
         if a.name not in present:
@@ -149,14 +176,18 @@ def read_parquet(spark: SparkSession, spec: SourceSpec) -> DataFrame:
         elif df.schema[a.name].dataType == target:
             value = F.col(f"`{a.name}`")
         else:
-            value = F.col(f"`{a.name}`").try_cast(target)
+            given = F.col(f"`{a.name}`")
+            value = given.try_cast(target)
+            shown = F.concat(F.lit(f"{a.name}: <Invalid data>: `"), F.coalesce(given.try_cast("string"), F.lit("")), F.lit("`"))
+            errors.append(F.when(given.isNotNull() & value.isNull(), shown))
         columns.append(value.alias(a.name))
-    return df.select(*columns)
+    listed = F.array_compact(F.array(*errors)) if errors else F.array().cast("array<string>")
+    return df.select(*columns, listed.alias(ERRORS))
 
 
 def read_text(spark: SparkSession, spec: SourceSpec) -> DataFrame:
     """Lines of text; a TEXT source never has attributes."""
-    return spark.read.text(spec.path)
+    return _lines(spark, spec)
 
 
 def run_command(
@@ -275,7 +306,7 @@ def sample_source(spark: SparkSession, spec: SourceSpec, rows: int = SAMPLE_ROWS
 def _cells_in_record(record: Column, spec: SourceSpec) -> Column:
     """How many cells a raw record has; delimiters in quoted text do not count."""
     quote = spec.text_delimiter or '"'
-    quoted = f"\\Q{quote}\\E[^{quote}]*\\Q{quote}\\E"
+    quoted = f"\\Q{quote}\\E[^{re.escape(quote)}]*\\Q{quote}\\E"
     bare = F.regexp_replace(record, quoted, "")
     parts = F.length(bare) - F.length(F.replace(bare, F.lit(spec.delimiter), F.lit("")))
     return F.when(record.isNotNull(), F.floor(parts / len(spec.delimiter)) + 1)
@@ -295,30 +326,34 @@ def csv_header(spark: SparkSession, spec: SourceSpec) -> list[str]:
 
 
 
-def infer_csv(spark: SparkSession, spec: SourceSpec, lines: int | None = INFER_LINES) -> DataFrame:
-    """Infer the attributes of a CSV source from its first records, or from all.
+def infer_csv(spark: SparkSession, spec: SourceSpec, lines: int | None = None) -> DataFrame:
+    """Infer the attributes of a CSV source from all of its records.
 
-    Quoted records may span lines when the source says so, and short rows say
-    nothing about the columns they lack.
+    ``lines`` asks for a preview of the first records; a type that a preview
+    finds need not hold the rest. Records are in order of file, place in the
+    file, and line. Quoted records may span lines when the source says so, and
+    short rows say nothing about the columns they lack.
     """
     names = csv_header(spark, spec)
     if not names:
         return spark.createDataFrame([], INFERRED)
     # Header cells may repeat; columns are told apart by position here.
-    read = read_csv_text(spark, spec, [f"_{i}" for i in range(len(names))])
+    read = read_csv_text(spark, spec, [f"_{i}" for i in range(len(names))]).withColumn(
+        "_split", F.struct("_metadata.file_path", "_metadata.file_block_start")
+    )
     read = read if lines is None else read.limit(lines - int(spec.is_first_line_header))
     cells = [F.coalesce(without_nul(F.col(f"_{i}")), F.lit("")).alias(f"_{i}") for i in range(len(names))]
     width = _cells_in_record(F.col(BAD_RECORD), spec)
-    rows = read.select(*cells, BAD_RECORD)
+    rows = read.select(*cells, BAD_RECORD, "_split")
     inferred = infer.infer_columns(
-        rows, [f"_{i}" for i in range(len(names))], missing=spec.tokens, width=width
+        rows, [f"_{i}" for i in range(len(names))], missing=spec.tokens, width=width, split=F.col("_split")
     )
     shown = F.get(F.array(*[F.lit(n) for n in names]), F.col("position"))
     return inferred.withColumn("name", shown)
 
 
 def inferred_spec(spark: SparkSession, spec: SourceSpec) -> SourceSpec:
-    """The source with columns named by its header and typed by its first records."""
+    """The source with columns named by its header and typed by its records."""
     headed = replace(spec, is_first_line_header=True)
     found = infer_csv(spark, headed).orderBy("position").collect()
     attributes = tuple(Attribute(r["name"], r["type"], r["precision"], r["scale"], r["format"]) for r in found)
@@ -338,7 +373,7 @@ def infer_csv_native(spark: SparkSession, spec: SourceSpec, ratio: float = 1.0)
     return schema_attributes(spark, df.schema)
 
 
-def infer_source(spark: SparkSession, spec: SourceSpec, lines: int | None = INFER_LINES) -> DataFrame:
+def infer_source(spark: SparkSession, spec: SourceSpec, lines: int | None = None) -> DataFrame:
     """Infer the attributes of a source, for the formats that allow it."""
     if spec.format == "CSV" and spec.scheme in FILE_SCHEMES:
         return infer_csv(spark, spec, lines)

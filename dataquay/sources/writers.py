@@ -43,12 +43,14 @@ def export_csv_download(df: DataFrame, path: str) -> None:
 def compact_parquet(spark: SparkSession, path: str, out: str, file_bytes: int = FILE_BYTES) -> int:
     """Rewrite a folder of Parquet files as files of about ``file_bytes``.
 
-    A source below that size becomes one file, as a download needs. Returns
-    the number of files asked for. Rows move between tasks only when there are
-    fewer files than before.
+    A source below that size becomes one file, as a download needs. Every file
+    that the Parquet reader takes counts, whatever its name ends with. Returns
+    the number of files asked for. Each output file has a task of its own, and
+    rows move between tasks only when there are fewer files than before.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    total = files.where(F.col("path").endswith(".parquet")).agg(F.sum("length")).first()[0] or 0
+    hidden = F.regexp_extract("path", "([^/]*)$", 1).rlike("^[_.]")
+    total = files.where(~hidden).agg(F.sum("length")).first()[0] or 0
     target = max(1, math.ceil(total / file_bytes))
     df = spark.read.parquet(path)
     df.coalesce(target).write.parquet(out)

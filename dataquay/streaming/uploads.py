@@ -7,6 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from dataquay.operators.uploads import upload_completeness
+
+
+# Batches after which counts are summed.
+COMPACT_EVERY = 20
+
 
 class UploadTracker:
     """Follows part arrivals, and lists each file once all its parts are there.
@@ -17,6 +23,10 @@ class UploadTracker:
     batches tells whether a file is complete. A batch overwrites the folders of
     its own number when it runs again, so a lost executor or a restart neither
     drops nor repeats a part.
+
+    Every ``COMPACT_EVERY`` batches the counts so far are summed per file, so
+    that a batch reads the last sums and few folders of counts, however long
+    the stream has run.
     """
 
     def __init__(self, spark: SparkSession, root: str, file: T.StructField):
@@ -50,8 +60,11 @@ class UploadTracker:
 
         Every part ever seen is remembered, unless ``time`` names an arrival
         time: parts are then forgotten after ``resend_within``, which bounds
-        the state, and a part must not be sent again later than that.
+        the state, and the stream ignores arrivals that are older than that,
+        re-sent or not. :meth:`reconcile` finds the files that such arrivals
+        complete, from the stored parts.
         """
+        arrivals = arrivals.where(F.col(part).between(1, F.col(total)))  # other numbers are strays
         columns = [self.file, part, F.col(total).cast("long").alias("parts_expected")]
         if time is None:
             new = arrivals.select(*columns).dropDuplicates([self.file, part])
@@ -72,16 +85,28 @@ class UploadTracker:
         )
         counts.write.mode("overwrite").parquet(self._folder("counts", batch_id))
         # A batch that runs again must not see later ones.
-        stored = self._read("counts").where(F.col("batch") <= batch_id)
-        touched = stored.where(F.col("batch") == batch_id).select(self.file)
-        status = (
-            stored.join(touched, self.file, "left_semi")
-            .groupBy(self.file)
-            .agg(F.sum("parts_present").alias("parts_present"), F.max("parts_expected").alias("parts_expected"))
-        )
+        summed = batch_id // COMPACT_EVERY * COMPACT_EVERY - 1  # the last batch in the sums
+        if batch_id % COMPACT_EVERY == 0 and batch_id:
+            self._sums(summed - COMPACT_EVERY, summed).write.mode("overwrite").parquet(self._folder("sums", summed))
+        counts = self._read("counts").where(F.col("batch") == batch_id)
+        status = self._sums(summed, batch_id).join(counts.select(self.file), self.file, "left_semi")
         done = status.where(F.col("parts_present") == F.col("parts_expected"))
         done.write.mode("overwrite").parquet(self._folder("complete", batch_id))
 
+    def _sums(self, summed: int, batch_id: int) -> DataFrame:
+        """Parts per file up to a batch, from the sums up to another and the counts since."""
+        since = self._read("counts").where((F.col("batch") > summed) & (F.col("batch") <= batch_id))
+        if summed >= 0:
+            since = since.unionByName(self._read("sums").where(F.col("batch") == summed))
+        return since.groupBy(self.file).agg(
+            F.sum("parts_present").alias("parts_present"), F.max("parts_expected").alias("parts_expected")
+        )
+
+    def reconcile(self, parts: DataFrame, part: str, total: str) -> DataFrame:
+        """Files whose stored parts are all there but which the stream has not listed."""
+        status = upload_completeness(parts, self.file, part, total).where("complete")
+        return status.join(self.complete_files().select(self.file), self.file, "left_anti")
+
     def complete_files(self) -> DataFrame:
         """The files that are complete so far."""
         return self._read("complete").drop("batch")

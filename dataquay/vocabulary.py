@@ -53,18 +53,19 @@ SYSTEM_USERS = (0, 1)
 PAGE_SIZE = 20
 SAMPLE_ROWS = 100
 SAMPLE_MAX = 1000
-INFER_LINES = 1000
 TEXT_ABOVE = 1000
-MAX_DIGITS = 18
-DEFAULT_DECIMAL = (10, 4)
+MAX_DIGITS = 38
+# Undeclared decimals: as many places as leave room for 64-bit numbers.
+DEFAULT_DECIMAL = (38, 18)
 
 
 def spark_type(logical: str, precision: int | None = None, scale: int | None = None) -> T.DataType:
     """The Spark type that holds a logical type."""
     if logical == "DECIMAL":
-        digits = min(precision or DEFAULT_DECIMAL[0], T.DecimalType(38).precision)
-        places = DEFAULT_DECIMAL[1] if scale is None else scale
-        return T.DecimalType(max(digits, places), places)
+        if precision is None and scale is None:
+            return T.DecimalType(*DEFAULT_DECIMAL)
+        places = min(scale or 0, MAX_DIGITS)
+        return T.DecimalType(max(min(precision or MAX_DIGITS, MAX_DIGITS), places), places)
     simple = {
         "BINARY": T.BinaryType(),
         "DATE": T.DateType(),

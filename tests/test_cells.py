@@ -3,11 +3,13 @@
 import datetime
 import itertools
 import random
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
 from dataquay.functions import cells as C
+from dataquay.functions.convert import Attribute, convert_columns
 from dataquay.operators import infer as I
 
 GOLDEN = [
@@ -36,7 +38,7 @@ GOLDEN = [
 
 
 def classified(spark, values, missing=("NA",)):
-    rows = spark.createDataFrame(list(enumerate(values)), "pos long, v string").withColumn("column_index", F.lit(0))
+    rows = spark.createDataFrame(list(enumerate(values)), "pos long, v string").withColumns({"column_index": F.lit(0), "split": F.struct(F.lit(0))})
     out = I.classify_cells(rows, missing).withColumn("format", C.date_pattern(F.col("format_index")))
     return sorted(out.collect(), key=lambda r: r["pos"])
 
@@ -133,6 +135,7 @@ def test_fold_agrees_with_a_walk(spark):
     # Positions need an order only; they may be negative and have gaps.
     rows = [(i, pos * 3 - 20, text) for i, pos, text in rows]
     df = spark.createDataFrame(rows, "column_index int, pos long, v string").repartition(5)
+    df = df.withColumn("split", F.struct(F.lit(0)))
     got = {r["column_index"]: r for r in I.fold_cells(I.classify_cells(df)).collect()}
     for i, column in enumerate(cells):
         kind, size = walk(column)
@@ -160,13 +163,31 @@ def test_facts_belong_to_their_type(spark):
     assert (b["type"], b["format"], b["precision"], b["scale"]) == ("DATETIME", "yyyy-MM-dd", None, None)
 
 
-def test_digits_are_capped(spark):
+def test_decimals_have_room_for_every_number(spark):
+    cells = ["123456.1", "1.12345", "98765432", "1e-7", "2.5e3", "-1_000.25"]
+    df = spark.createDataFrame(list(enumerate(cells)), "pos long, c string")
+    row = I.infer_columns(df, ["c"], "pos").first()
+    assert (row["type"], row["precision"], row["scale"]) == ("DECIMAL", 15, 7)
+    read = convert_columns(df.select("c"), [Attribute("c", "DECIMAL", row["precision"], row["scale"])]).collect()
+    assert [r["c"] for r in read] == [Decimal(c.replace("_", "")) for c in cells] and not any(r["_errors"] for r in read)
+
+
+def test_decimals_that_would_be_rounded_are_listed(spark):
+    df = spark.createDataFrame([("1.12345",), ("1.12300",), ("123e-3",), ("1234e-4",)], "c string")
+    read = convert_columns(df, [Attribute("c", "DECIMAL", 10, 3)]).collect()
+    assert [r["_errors"] for r in read] == [["c: <Rounded>: `1.12345`"], [], [], ["c: <Rounded>: `1234e-4`"]]
+    undeclared = convert_columns(df, [Attribute("c", "DECIMAL")]).collect()
+    assert str(undeclared[0]["c"]).startswith("1.12345") and not any(r["_errors"] for r in undeclared)
+
+
+def test_digits_beyond_a_decimal_are_characters(spark):
     df = spark.createDataFrame([(0, "123456789012345678.123456789012345678")], "pos long, c string")
     # So many digits are a whole number as a double; a short fraction is not.
     assert I.infer_columns(df, ["c"], "pos").first()["type"] == "LONG"
-    df = spark.createDataFrame([(0, "1.5" + "0" * 30)], "pos long, c string")
-    row = I.infer_columns(df, ["c"], "pos").first()
-    assert (row["type"], row["precision"], row["scale"]) == ("DECIMAL", 18, 18)
+    df = spark.createDataFrame([(0, "1.5" + "0" * 30, "1.5" + "0" * 40)], "pos long, c string, d string")
+    c, d = I.infer_columns(df, ["c", "d"], "pos").orderBy("position").collect()
+    assert (c["type"], c["precision"], c["scale"]) == ("DECIMAL", 32, 31)
+    assert (d["type"], d["size"], d["precision"]) == ("CHARACTER", 43, None)
 
 
 def test_columns_without_rows_are_characters(spark):

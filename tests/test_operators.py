@@ -219,6 +219,9 @@ def test_upsert_keeps_the_id(spark):
     new = spark.createDataFrame([(9, "u1", "x", 1), (8, "u1", "y", 2), (7, "u3", None, 1)], "id long, url string, name string, v int")
     rows = sorted(tuple(r) for r in M.upsert(old, new, "url", ["v"]).collect())
     assert rows == [(1, "u1", "y", 5), (2, "u2", "b", 6), (7, "u3", None, None)]
+    shared = spark.createDataFrame([(5, "u1", "b", 0), (3, "u1", "a", 0), (4, None, "c", 0)], old.schema)
+    rows = sorted(tuple(r) for r in M.upsert(shared, new, "url", ["v"]).collect())
+    assert rows == [(3, "u1", "y", 0), (4, None, "c", 0), (5, "u1", "b", 0), (7, "u3", None, None)]
 
 
 def test_partial_update_tells_absent_from_null(spark):
@@ -233,6 +236,10 @@ def test_sharing_needs_manage(spark, sources, grants):
     after, actions = M.share(kept, asked, sources, 12)
     assert sorted(tuple(r) for r in actions.collect()) == [(4, 12, "READ", "Updated"), (4, 77, "READ", "Added")]
     assert after.count() == kept.count() + 1
+    named = asked.withColumns({"user_name": F.lit("Bo"), "user_login": F.lit("bo")})
+    after_named, _ = M.share(kept.withColumns({"user_name": F.lit("old"), "user_login": F.lit("o")}), named, sources, 12)
+    held = {(r["data_source_id"], r["user_id"]): r["user_name"] for r in after_named.collect()}
+    assert (held[4, 77], held[4, 12]) == ("Bo", "Bo") and list(held.values()).count("old") == kept.count() - 1
     revoked = asked.select("data_source_id", "user_id")
     # The update took user 12's own right to manage away; the owner still has it.
     assert M.revoke(after, revoked, sources, 12).count() == after.count()
@@ -252,6 +259,12 @@ def test_changes_need_owner_or_administrator(spark, sources, grants):
     patches = asked.withColumn("changes", F.create_map(F.lit("name"), F.lit("new")))
     after, _ = M.patch_sources(live, grants, patches, 11)
     assert ids(after.where("name = 'new'")) == [2, 3, 4]
+    dated = live.withColumns({"updated": F.lit("old"), "is_lookup": F.lit(False)})
+    attributes = spark.createDataFrame([(2, "a"), (2, "b"), (3, "a")], "data_source_id long, name string")
+    patches = asked.withColumn("changes", F.create_map(F.lit("is_lookup"), F.lit("true")))
+    after, rows = M.patch_sources(dated, grants, patches, 11, attributes=attributes, now=F.lit("now"))
+    assert ids(after.where("is_lookup AND updated = 'now'")) == ids(after.where("updated = 'now'")) == [2]
+    assert {r["id"]: r["outcome"] for r in rows.collect()}[3] == "Invalid lookup"
 
 
 def test_statuses_are_checked(spark):
@@ -261,6 +274,30 @@ def test_statuses_are_checked(spark):
         M.set_initialization(df, 1, "DONE")
 
 
+def test_only_visible_sources_are_initialized(spark, sources, grants):
+    rows = sources.withColumns({"initialization": F.lit("NO_INITIALIZED"), "enabled": F.lit(True)})
+    seen = M.set_initialization(rows, 4, "INITIALIZED", grants, 10)
+    assert ids(seen.where("initialization = 'INITIALIZED'")) == []
+    assert ids(M.set_initialization(rows, 4, "INITIALIZED", grants, 11).where("initialization = 'INITIALIZED'")) == [4]
+
+
+def test_new_sources_belong_to_the_caller_and_are_never_initialized(spark):
+    columns = "id long, url string, format string, storage_id long, user_id long, user_login string, user_name string, initialization string, estimated_rows long, created string, updated string"
+    none = spark.createDataFrame([], columns)
+    new = spark.createDataFrame([(1, "u", "CSV", 1, "INITIALIZED", 5)], "id long, url string, format string, storage_id long, initialization string, estimated_rows long")
+    storages = spark.createDataFrame([(1, "hdfs://s")], "id long, url string")
+    row = M.create_sources(none, new, storages, 42, login="ann", name_="Ann", now=F.lit("now")).first()
+    assert tuple(row) == (1, "u", "CSV", 1, 42, "ann", "Ann", "NO_INITIALIZED", 0, "now", "now")
+
+
+def test_lookups_and_hierarchies_never_multiply_rows(spark):
+    rows, codes = spark.createDataFrame([(1, "a"), (2, "z")], "id int, c string"), spark.createDataFrame([("a", "y"), ("a", "x")], "c string, d string")
+    assert sorted(tuple(r) for r in R.decode(rows, "c", codes, "shown").collect()) == [(1, "a", "x"), (2, "z", None)]
+    assert sorted(r["id"] for r in X.generalize_by(rows, "c", codes).collect()) == [1, 2]
+    with pytest.raises(ValueError):
+        X.hashed(F.col("c"), None)
+
+
 def test_latest_rows_of_a_hot_key(spark):
     df = spark.range(10_000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
     latest = M.latest_per_key(df, ["k"], ["v"])
@@ -332,10 +369,20 @@ def test_uploads(spark):
     status = {r["file"]: (r["parts_present"], r["parts_missing"], r["complete"]) for r in U.upload_completeness(df, "file", "part", "total").collect()}
     assert status == {"f": (3, 0, True), "g": (1, 1, False), "h": (1, 3, False)}
     missing = sorted(tuple(r) for r in U.missing_parts(df, "file", "part", "total").collect())
-    assert missing == [("g", 2), ("h", 1), ("h", 3), ("h", 4)]
+    assert missing == [("g", 2, 2), ("h", 1, 1), ("h", 3, 4)]
     assert [r["part"] for r in U.parts_in_order(df.where("file = 'f'"), "file", "part").collect()] == [1, 2, 3]
 
 
+def test_part_numbers_outside_the_total_are_strays(spark, monkeypatch):
+    monkeypatch.setattr(U, "PART_BLOCK", 3)
+    rows = [("f", p, 5) for p in (1, 2, 3, 4, 9)] + [("g", p, 3) for p in (1, 2, 8, 9)] + [("h", p, 20) for p in (2, 7, 8, 15)] + [("i", 0, 2)]
+    df = spark.createDataFrame(rows, "file string, part long, total long")
+    status = {r["file"]: (r["parts_present"], r["parts_stray"], r["parts_missing"], r["complete"]) for r in U.upload_completeness(df, "file", "part", "total").collect()}
+    assert status == {"f": (4, 1, 1, False), "g": (2, 2, 1, False), "h": (4, 0, 16, False), "i": (0, 1, 2, False)}
+    missing = sorted(tuple(r) for r in U.missing_parts(df, "file", "part", "total").collect())
+    assert missing == [("f", 5, 5), ("g", 3, 3), ("h", 1, 1), ("h", 3, 6), ("h", 9, 14), ("h", 16, 20), ("i", 1, 2)]
+
+
 @pytest.mark.parametrize("time", [None, "at"])
 def test_stream_over_several_runs(spark, tmp_path, time):
     """Parts in three batches, some sent again later: as many complete files as in batch."""

@@ -55,14 +55,32 @@ def test_short_rows_say_nothing_about_their_missing_cells(spark, tmp_path):
 def test_infer_header_names_may_repeat(spark, tmp_path):
     text = " Ação Total (R$) ,x,X\n1,2,3\n"
     spec = R.SourceSpec("CSV", write(tmp_path, text), is_first_line_header=True)
-    assert [f[0] for f in facts(R.infer_csv(spark, spec))] == ["acao_total__r__", "x", "x"]
+    assert [f[0] for f in facts(R.infer_csv(spark, spec))] == ["acao_total__r__", "x", "x_2"]
+    read = replace(spec, attributes=tuple(Attribute(f[0], f[1]) for f in facts(R.infer_csv(spark, spec))))
+    assert R.read_source(spark, read).select("x", "x_2").first() == (2, 3)
 
 
-def test_infer_looks_at_the_first_lines_only(spark, tmp_path):
-    text = "n\n" + "1\n" * 999 + "late\n"
+def test_infer_looks_at_all_lines_unless_asked_for_a_preview(spark, tmp_path):
+    text = "n\n" + "1\n" * 1999 + "late\n"
     spec = R.SourceSpec("CSV", write(tmp_path, text), is_first_line_header=True)
-    assert facts(R.infer_csv(spark, spec)) == [("n", "INTEGER", False)]
-    assert facts(R.infer_csv(spark, spec, lines=None)) == [("n", "CHARACTER", False)]
+    assert facts(R.infer_csv(spark, spec, lines=1000)) == [("n", "INTEGER", False)]
+    assert facts(R.infer_source(spark, spec)) == [("n", "CHARACTER", False)]
+    undeclared = R.read_source(spark, replace(spec, scheme="hdfs"))
+    assert undeclared.where("n IS NOT NULL").count() == 2000
+
+
+@pytest.mark.parametrize("long_file", ["a.csv", "b.csv"])
+def test_infer_orders_a_folder_by_file_name(spark, tmp_path, long_file):
+    (tmp_path / "in").mkdir()
+    for name, cell in (("a.csv", "2018-01-01"), ("b.csv", "7")):
+        write(tmp_path / "in", f"{cell}\n" * (500 if name == long_file else 2), name)
+    assert facts(R.infer_csv(spark, R.SourceSpec("CSV", str(tmp_path / "in")))) == [("attr0", "INTEGER", False)]
+
+
+def test_quotes_that_mean_something_in_patterns(spark, tmp_path):
+    for quote in "^]\\-":
+        spec = R.SourceSpec("CSV", write(tmp_path, f"a,b\n1,2\n{quote}x,y{quote},7\n3\n"), is_first_line_header=True, text_delimiter=quote)
+        assert facts(R.infer_csv(spark, spec)) == [("a", "CHARACTER", False), ("b", "INTEGER", False)]
 
 
 def test_infer_drops_nul_and_honours_missing_tokens(spark, tmp_path):
@@ -130,11 +148,22 @@ def test_header_only_and_empty_files(spark, tmp_path):
 
 
 def test_unschematised_and_json_rows(spark, tmp_path):
-    lines = R.SourceSpec("CSV", write(tmp_path, " a b ;c\nplain\n"))
-    assert [r["row"] for r in R.read_source(spark, lines).collect()] == ["a b", "plain"]
+    lines = R.SourceSpec("CSV", write(tmp_path, ' a b ;c\nplain\n"a;b";c\n'))
+    assert [r["row"] for r in R.read_source(spark, lines).collect()] == ["a b", "plain", "a;b"]
+    headed = replace(lines, is_first_line_header=True)
+    assert [r["row"] for r in R.read_source(spark, headed).collect()] == ["plain", "a;b"]
     path = write(tmp_path, '{"a": 1}\n{"b": [1, 2]}\nbroken\n', "rows.json")
     rows = R.read_source(spark, R.SourceSpec("JSON", path)).select(F.to_json("value").alias("j")).collect()
     assert [r["j"] for r in rows] == ['{"a":1}', '{"b":[1,2]}', None]
+    declared = R.SourceSpec("JSON", write(tmp_path, '{"a": 1, "b": "é"}\n{"a": "x"}\nbroken\n{}\n', "l1.json", "latin1"),
+                            attributes=(Attribute("a", "INTEGER"), Attribute("b", "CHARACTER")), encoding="latin1")
+    assert [tuple(r) for r in R.read_source(spark, declared).collect()] == [
+        (1, "é", []), (None, None, ["a: <Invalid data>: `x`"]), (None, None, ["<Invalid row>: `broken`"]), (None, None, [])
+    ]
+    text = R.SourceSpec("TEXT", write(tmp_path, "né\n", "t.txt", "latin1"), encoding="latin1")
+    assert R.read_source(spark, text).first()["value"] == "né"
+    with pytest.raises(R.UnsupportedSource):
+        R.read_source(spark, replace(text, encoding="utf-16"))
 
 
 def test_parquet_in_declared_columns(spark, tmp_path):
@@ -142,7 +171,7 @@ def test_parquet_in_declared_columns(spark, tmp_path):
     spark.sql("SELECT 3000000000 AS big, '12' AS text, array(1, 2) AS list").write.parquet(path)
     attributes = (Attribute("text", "INTEGER"), Attribute("big", "INTEGER"), Attribute("none", "DATE"))
     row = R.read_source(spark, R.SourceSpec("PARQUET", path, attributes=attributes)).first()
-    assert tuple(row) == (12, None, None)
+    assert tuple(row) == (12, None, None, ["big: <Invalid data>: `3000000000`"])
     types = [r["type"] for r in R.infer_source(spark, R.SourceSpec("PARQUET", path)).orderBy("position").collect()]
     assert types == ["LONG", "CHARACTER", "VECTOR"]
 
@@ -213,6 +242,15 @@ def test_compaction(spark, tmp_path):
     assert spark.read.parquet(split).distinct().count() == 10_000
 
 
+def test_compaction_counts_files_of_any_name(spark, tmp_path):
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    spark.range(10_000).repartition(3).write.parquet(str(source))
+    for i, file in enumerate(sorted(source.glob("part-*.parquet"))):
+        file.rename(source / f"{i:06}_0")
+    assert W.compact_parquet(spark, str(source), out, file_bytes=20_000) > 1
+    assert spark.read.parquet(out).distinct().count() == 10_000
+
+
 def test_source_size(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     write(tmp_path, "x" * 1048576)
