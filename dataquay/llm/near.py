@@ -10,8 +10,12 @@ full sets.
 
 Texts with the same words are one node from the start. Within a bucket no pairs
 are made: members are compared with a centre, links are merged into components,
-and only members of different components are compared further, with other
-centres and at last with each other, so that no link between components is lost.
+and only members of different components are looked at further. Buckets whose
+members are alike but not similar, such as texts around one long passage, would
+still hold very many pairs. So the members left are put into new buckets by
+their rarest shingles: documents that are similar have one of these in common
+for certain, and texts that share a passage alone mostly have none. Members of
+different components in such a bucket are compared, so no link is lost.
 """
 
 from __future__ import annotations
@@ -30,14 +34,15 @@ from dataquay.llm.components import components
 from dataquay.llm.hashing import hashes_of, runs, words_of
 
 WORDS, PERCENT = 5, 80
-#: A pair at the threshold shares no band with a probability of (1 - 0.8**3)**32 = 1e-10.
-BANDS, ROWS = 32, 3
+#: A pair at the threshold shares no band with a probability of (1 - 0.8**4)**40 = 7e-10.
+BANDS, ROWS = 40, 4
 REGISTERS = BANDS * ROWS
 BASE, RATE, LIMIT = 1.001, 20.0, 65534
-#: A candidate is dropped if its registers are e**22 times likelier at its best similarity than at any accepted one.
-UNLIKELY = 22.0
-#: Rounds with new centres, and pairs per member from which another round is due before the rest is compared pairwise.
-ROUNDS, PAIRS_PER_MEMBER = 8, 8
+#: A candidate is dropped if its registers are e**18 times likelier at its best similarity than at any accepted one.
+UNLIKELY = 18.0
+#: Rounds with new centres over buckets of bands; over buckets of rare shingles, the most rounds, and the
+#: pairs per member from which another one is due.
+BAND_ROUNDS, RARE_ROUNDS, PAIRS_PER_MEMBER = 1, 4, 8
 
 _odd = np.random.default_rng(20)
 _FACTORS = _odd.integers(0, 1 << 63, REGISTERS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -210,28 +215,57 @@ def _linked(docs: DataFrame, rows: DataFrame, groups: DataFrame, id_col: str, te
     found = _Links(nodes, _sets(docs, nodes, id_col, text_col, length), percent)
     centres = members.groupBy("key").agg(F.min("node").alias("centre"))
     found.test(members.join(centres, "key").select(F.col("centre").alias("a"), F.col("node").alias("b")))
-    for round_ in range(ROUNDS):
+    for round_ in range(BAND_ROUNDS):
         members = _unsettled(found.labelled(members))
-        sizes = members.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(
-            F.sum("n").alias("n"), F.sum(F.col("n").cast("double") * F.col("n")).alias("squares"),
-        ).agg(F.sum("n").alias("members"), F.sum((F.col("n").cast("double") * F.col("n") - F.col("squares")) / 2).alias("pairs")).first()
-        if not sizes["members"]:
-            return found.roots
-        if sizes["pairs"] <= PAIRS_PER_MEMBER * sizes["members"]:
+        found.test(_to_centres(members, round_))
+    members = _unsettled(found.labelled(members))
+    rare = _rare_members(found.sets, members.select("node").distinct(), percent)
+    for round_ in range(RARE_ROUNDS):
+        rare = _unsettled(found.labelled(rare))
+        sizes = rare.groupBy("key", "root").agg(F.count("*").cast("double").alias("n")).groupBy("key").agg(
+            F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"),
+        ).agg(F.sum("n").alias("members"), F.sum((F.col("n") * F.col("n") - F.col("squares")) / 2).alias("pairs")).first()
+        if not sizes["members"] or sizes["pairs"] <= PAIRS_PER_MEMBER * sizes["members"]:
             break
-        by_hash = F.struct(F.xxhash64(F.lit(round_), "key", "node").alias("h"), F.col("node"), F.col("root"))
-        centres = members.groupBy("key").agg(F.min(by_hash).alias("c"))
-        pairs = members.join(centres, "key").where(F.col("root") != F.col("c.root"))
-        found.test(pairs.select(F.col("c.node").alias("a"), F.col("node").alias("b")))
-    else:
-        members = _unsettled(found.labelled(members))
-    # What is left in buckets with several components: each with those of other components.
-    other = members.select("key", F.col("node").alias("o_node"), F.col("root").alias("o_root"))
-    rest = members.join(other, "key").where((F.col("root") < F.col("o_root")))
+        found.test(_to_centres(rare, BAND_ROUNDS + round_))
+    rare = _unsettled(found.labelled(rare))
+    other = rare.select("key", F.col("node").alias("o_node"), F.col("root").alias("o_root"))
+    rest = rare.join(other, "key").where(F.col("root") < F.col("o_root"))
     found.test(rest.select(F.col("node").alias("a"), F.col("o_node").alias("b")))
     return found.roots
 
 
+def _to_centres(members: DataFrame, round_: int) -> DataFrame:
+    """Each member with a centre of its bucket, picked by hash, where that is in another component."""
+    by_hash = F.struct(F.xxhash64(F.lit(round_), "key", "node").alias("h"), F.col("node"), F.col("root"))
+    centres = members.groupBy("key").agg(F.min(by_hash).alias("c"))
+    pairs = members.join(centres, "key").where(F.col("root") != F.col("c.root"))
+    return pairs.select(F.col("c.node").alias("a"), F.col("node").alias("b"))
+
+
+def _rare_members(sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(key, node): the rarest shingles of each node, by how many of the nodes have them.
+
+    Of n shingles a similar document has percent * n / 100 in common at least.
+    So in any one order of all shingles, the first n less that, and one more,
+    include one that both have among theirs. Shingles of one node alone come
+    first in the order, take their places, and need no bucket.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, raw in zip(batch.column("node").to_pylist(), batch.column("shingles").to_pylist()):
+                found = np.frombuffer(raw, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(found), node)), pa.array(np.full(len(found), len(found)))], names=["key", "node", "n"])
+
+    rows = sets.join(nodes, "node", "left_semi").select("node", "shingles").mapInArrow(run, "key long, node long, n long")
+    shared = staged(rows.groupBy("key").agg(F.count("*").alias("holders")).where("holders > 1"), "near-shingles")
+    lists = rows.join(shared, "key").groupBy("node").agg(F.max("n").alias("n"), F.collect_list(F.struct("holders", "key")).alias("some"))
+    places = F.expr(f"int(greatest(0, n - (({percent} * n + 99) div 100) + 1 - (n - size(some))))")
+    first = lists.select("node", F.slice(F.array_sort("some"), F.lit(1), places).alias("first"))
+    return staged(first.select(F.explode("first.key").alias("key"), "node"), "near-rare")
+
+
 def _unsettled(labelled: DataFrame) -> DataFrame:
     """Members of buckets with more than one component."""
     open_ = labelled.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("key")
