@@ -14,8 +14,9 @@ and only members of different components are looked at further. Buckets whose
 members are alike but not similar, such as texts around one long passage, would
 still hold very many pairs. So the members left are put into new buckets by
 their rarest shingles: documents that are similar have one of these in common
-for certain, and texts that share a passage alone mostly have none. Members of
-different components in such a bucket are compared, so no link is lost.
+for certain, and texts that share a passage alone mostly have none. Such a bucket
+goes through a task as blocks of bounded size, which counts what all members have
+in common at once and gives out the links between components, so none is lost.
 """
 
 from __future__ import annotations
@@ -40,9 +41,10 @@ REGISTERS = BANDS * ROWS
 BASE, RATE, LIMIT = 1.001, 20.0, 65534
 #: A candidate is dropped if its registers are e**18 times likelier at its best similarity than at any accepted one.
 UNLIKELY = 18.0
-#: Rounds with new centres over buckets of bands; over buckets of rare shingles, the most rounds, and the
-#: pairs per member from which another one is due.
-BAND_ROUNDS, RARE_ROUNDS, PAIRS_PER_MEMBER = 1, 4, 8
+#: Rounds with new centres.
+ROUNDS = 1
+#: Bytes of shingles in a block, and shingles that are counted at a time.
+BLOCK_BYTES, COUNTED = 4 << 20, 4096
 
 _odd = np.random.default_rng(20)
 _FACTORS = _odd.integers(0, 1 << 63, REGISTERS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -142,7 +144,10 @@ class _Links:
             pairs = pairs.join(self.tried, ["a", "b"], "left_anti")
         pairs = staged(pairs, "near-pairs")
         self.tried = pairs if self.tried is None else self.tried.unionAll(pairs)
-        links = staged(_verified(_plausible(pairs, self.nodes, self.percent), self.sets, self.percent), "near-links")
+        self.add(_verified(_plausible(pairs, self.nodes, self.percent), self.sets, self.percent))
+
+    def add(self, links: DataFrame) -> None:
+        links = staged(links, "near-links")
         self.links = links if self.links is None else self.links.unionAll(links)
         self.roots = components(self.links, "near-components")
 
@@ -215,23 +220,11 @@ def _linked(docs: DataFrame, rows: DataFrame, groups: DataFrame, id_col: str, te
     found = _Links(nodes, _sets(docs, nodes, id_col, text_col, length), percent)
     centres = members.groupBy("key").agg(F.min("node").alias("centre"))
     found.test(members.join(centres, "key").select(F.col("centre").alias("a"), F.col("node").alias("b")))
-    for round_ in range(BAND_ROUNDS):
-        members = _unsettled(found.labelled(members))
-        found.test(_to_centres(members, round_))
+    for round_ in range(ROUNDS):
+        found.test(_to_centres(_unsettled(found.labelled(members)), round_))
     members = _unsettled(found.labelled(members))
     rare = _rare_members(found.sets, members.select("node").distinct(), percent)
-    for round_ in range(RARE_ROUNDS):
-        rare = _unsettled(found.labelled(rare))
-        sizes = rare.groupBy("key", "root").agg(F.count("*").cast("double").alias("n")).groupBy("key").agg(
-            F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"),
-        ).agg(F.sum("n").alias("members"), F.sum((F.col("n") * F.col("n") - F.col("squares")) / 2).alias("pairs")).first()
-        if not sizes["members"] or sizes["pairs"] <= PAIRS_PER_MEMBER * sizes["members"]:
-            break
-        found.test(_to_centres(rare, BAND_ROUNDS + round_))
-    rare = _unsettled(found.labelled(rare))
-    other = rare.select("key", F.col("node").alias("o_node"), F.col("root").alias("o_root"))
-    rest = rare.join(other, "key").where(F.col("root") < F.col("o_root"))
-    found.test(rest.select(F.col("node").alias("a"), F.col("o_node").alias("b")))
+    found.add(_links_in_blocks(_unsettled(found.labelled(rare)), found.sets, percent))
     return found.roots
 
 
@@ -266,6 +259,79 @@ def _rare_members(sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return staged(first.select(F.explode("first.key").alias("key"), "node"), "near-rare")
 
 
+def similar_pairs(sets: list[np.ndarray], blocks: list[int], roots: list[int], percent: int) -> list[tuple[int, int]]:
+    """Indices of similar sets that join sets of different roots: enough of them to connect what is connected.
+
+    Sets of two blocks are compared across them; of one block, all. Only
+    shingles that several sets have are counted, by a product of matrices.
+    """
+    parent: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    n = np.array([len(x) for x in sets], np.float32)
+    values, column, holders = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), n.astype(np.int64))
+    place = np.cumsum(holders > 1) - 1
+    some = holders[column] > 1
+    row, column = row[some], place[column[some]]
+    one, two = np.flatnonzero(np.array(blocks) == min(blocks)), np.flatnonzero(np.array(blocks) == max(blocks))
+    shared = np.zeros((len(one), len(two)), np.float32)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, COUNTED):
+        a, b = np.searchsorted(column, (start, start + COUNTED))
+        has = np.zeros((len(sets), COUNTED), np.float32)
+        has[row[a:b], column[a:b] - start] = 1
+        shared += has[one] @ has[two].T
+    similar = 100 * shared >= percent * (n[one][:, None] + n[two][None, :] - shared)
+    links = []
+    for i, j in zip(*(x.tolist() for x in np.nonzero(similar))):
+        i, j = int(one[i]), int(two[j])
+        a, b = top(roots[i]), top(roots[j])
+        if a != b:
+            parent[a] = b
+            links.append((i, j))
+    return links
+
+
+def _links_in_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between members of different components of a bucket.
+
+    A bucket has as many blocks as its shingles need; a cell is a pair of
+    blocks, or one alone, and each member goes to the cells of its block.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, rows = None, []
+
+        def links() -> pa.RecordBatch:
+            found = similar_pairs([np.frombuffer(r[4], np.uint64) for r in rows], [r[2] for r in rows], [r[3] for r in rows], percent) if rows else []
+            ends = [pa.array([rows[pair[side]][1] for pair in found], pa.int64()) for side in (0, 1)]
+            return pa.RecordBatch.from_arrays(ends, names=["a", "b"])
+
+        for batch in batches:
+            for r in zip(*(batch.column(c).to_pylist() for c in ("cell", "node", "block", "root", "shingles"))):
+                if r[0] != cell:
+                    yield links()
+                    cell, rows = r[0], []
+                rows.append(r)
+        yield links()
+
+    sized = members.join(sets, "node").withColumn("bytes", F.octet_length("shingles"))
+    blocks = sized.groupBy("key").agg(F.ceil(F.sum("bytes") / BLOCK_BYTES).cast("int").alias("blocks"))
+    placed = members.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    cells = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = cells.select(
+        "node", "root", "block", F.struct("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).alias("cell"),
+    )
+    dealt = cells.join(sets, "node").repartition("cell").sortWithinPartitions("cell").select("cell", "node", "block", "root", "shingles")
+    return dealt.mapInArrow(run, "a long, b long")
+
+
 def _unsettled(labelled: DataFrame) -> DataFrame:
     """Members of buckets with more than one component."""
     open_ = labelled.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("key")
