@@ -7,8 +7,8 @@ stand for, so they are the same in the whole corpus without a table. Equal
 passages get equal symbols but near their ends, and every symbol knows the
 words that its making depends on.
 
-A window of words is anchored at the longest symbol that depends on words
-inside the window alone. Anchors of two documents are equal wherever their
+A window of words is anchored at the symbol with the most text, of those that
+depend on words inside the window alone. Anchors of two documents are equal wherever their
 windows are; so a window without a shared anchor occurs once, and only
 windows with one are compared, by 128 bits of all their words.
 """
@@ -27,7 +27,10 @@ from pyspark.sql import functions as F
 from dataquay.llm.common import same, staged, whole_text
 from dataquay.llm.hashing import hashes_of, mixed, runs, words_of
 
-WINDOW, LEVELS = 13, 5
+#: More rounds give longer symbols, of which fewer lie inside a window, and more anchors in a text.
+WINDOW, LEVELS = 13, 2
+#: Bytes of words from which a symbol is as rare as another.
+RARE_BYTES = 24
 #: Bits of an anchor's name: enough to filter by; windows are compared by 128.
 ANCHOR_BITS = 48
 #: Words that a task lays end to end at a time; a longer text is laid alone.
@@ -51,6 +54,7 @@ class Laid(NamedTuple):
     """Words of several texts end to end, a wall before and after each; where each text begins, and its words."""
 
     hashes: np.ndarray
+    upto: np.ndarray  # bytes of all words before a place
     wall: np.ndarray
     begin: np.ndarray
     count: np.ndarray
@@ -59,11 +63,13 @@ class Laid(NamedTuple):
 def lay(texts: list[list[bytes]]) -> Laid:
     count = np.fromiter(map(len, texts), np.int64, len(texts))
     begin = np.cumsum(count + 1) - count
-    hashes, wall = np.zeros(int(count.sum()) + len(texts) + 1, np.uint64), np.ones(int(count.sum()) + len(texts) + 1, bool)
+    places = int(count.sum()) + len(texts) + 1
+    hashes, size, wall = np.zeros(places, np.uint64), np.zeros(places, np.int64), np.ones(places, bool)
     for at, words in zip(begin.tolist(), texts):
         hashes[at:at + len(words)] = hashes_of(words)
+        size[at:at + len(words)] = np.fromiter(map(len, words), np.int64, len(words))
         wall[at:at + len(words)] = False
-    return Laid(hashes, wall, begin, count)
+    return Laid(hashes, np.append(0, np.cumsum(size)), wall, begin, count)
 
 
 def words_as_symbols(laid: Laid) -> Symbols:
@@ -113,8 +119,9 @@ def compress(s: Symbols, round_: int) -> tuple[Symbols, np.ndarray]:
 def anchors(laid: Laid, window: int = WINDOW, levels: int = LEVELS) -> np.ndarray:
     """For each place the name of the anchor of the window that starts there; of windows over a wall, any number.
 
-    The anchor is the longest symbol that depends on words of the window alone,
-    of those the one with the largest name; failing all others, it is a word.
+    The anchor is the symbol with the most bytes of those that depend on words of
+    the window alone, for which RARE_BYTES are enough, and of equals the one with
+    the largest name. Every window has one, as words are symbols too.
     """
     n = len(laid.hashes)
     s = words_as_symbols(laid)
@@ -124,8 +131,7 @@ def anchors(laid: Laid, window: int = WINDOW, levels: int = LEVELS) -> np.ndarra
         inside = new & (s.high - s.low <= window)
         made.append(Symbols(*(x[inside] for x in s)))
     name, start, end, low, high, wall = (np.concatenate([m[i] for m in made]) for i in range(6))
-    words = end - start
-    order = np.lexsort((name, words))
+    order = np.lexsort((name, np.minimum(laid.upto[end] - laid.upto[start], RARE_BYTES)))
     name, low, high, wall = name[order], low[order], high[order], wall[order]
     # A symbol serves the windows from high - window to low. Each such stretch is covered by two
     # blocks of 2**k places; a block's best is then handed down to its halves.
@@ -179,21 +185,8 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
 
 
-def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        n, sha = [], []
-        for text in batch.column("text").to_pylist():
-            words = words_of(text)
-            n.append(len(words))
-            sha.append(hashlib.sha256(b" ".join(words)).digest())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("text_hash"), pa.array(n, pa.int64()), pa.array(sha, pa.binary())],
-            names=["doc_id", "text_hash", "n_words", "sha"],
-        )
-
-
-def _anchored(window: int, levels: int):
-    """The anchors of each document, each once."""
+def _measured(window: int, levels: int):
+    """Per text its words, their digest, and its anchors, each once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in _portions(batches):
@@ -207,8 +200,12 @@ def _anchored(window: int, levels: int):
             name, text = name[order], text[order]
             once = np.ones(len(name), bool)
             once[1:] = (name[1:] != name[:-1]) | (text[1:] != text[:-1])
-            ids = rows.column("doc_id").to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(name[once]), pa.array(ids[text[once]])], names=["anchor", "doc_id"])
+            ends = np.append(0, np.cumsum(np.bincount(text[once], minlength=len(texts)))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([
+                rows.column("doc_id"), rows.column("text_hash"), pa.array(laid.count),
+                pa.array([hashlib.sha256(b" ".join(words)).digest() for words in texts], pa.binary()),
+                pa.ListArray.from_arrays(pa.array(ends), pa.array(name[once])),
+            ], names=["doc_id", "text_hash", "n_words", "sha", "anchors"])
 
     return run
 
@@ -217,23 +214,26 @@ def _anchored(window: int, levels: int):
 _LOOKED_UP, _FOUND = 1, 2
 
 
-def _windows(role: int, window: int, levels: int):
-    """Windows of candidates whose anchor has the role: two names, doc_id, candidate, place."""
+def _windows(window: int, levels: int):
+    """Windows of candidates whose anchor is shared: two names, doc_id, candidate, place, role."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in _portions(batches):
             laid = lay(texts)
             names = anchors(laid, window, levels).astype(np.int64)
-            taken, of = [], []
+            taken, of, may = [], [], []
             for i, (listed, roles) in enumerate(zip(rows.column("anchors"), rows.column("roles"))):
                 listed, roles = (x.values.to_numpy(zero_copy_only=False) for x in (listed, roles))
-                wanted = np.sort(listed[roles & role > 0])
+                order = np.argsort(listed)
+                wanted, roles = listed[order], roles[order]
                 begin = laid.begin[i]
                 own = names[begin:begin + max(0, laid.count[i] - window + 1)]
                 if len(wanted) and len(own):
                     near = np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)
-                    taken.append(begin + np.flatnonzero(wanted[near] == own))
-                    of.append(np.full(len(taken[-1]), i))
+                    hits = np.flatnonzero(wanted[near] == own)
+                    taken.append(begin + hits)
+                    of.append(np.full(len(hits), i))
+                    may.append(roles[near[hits]])
             if not taken:
                 continue
             places, text = np.concatenate(taken), np.concatenate(of)
@@ -241,8 +241,8 @@ def _windows(role: int, window: int, levels: int):
             ids, candidates = (rows.column(c).to_numpy(zero_copy_only=False)[text] for c in ("doc_id", "candidate"))
             yield pa.RecordBatch.from_arrays([
                 pa.array(one[places]), pa.array(two[places]), pa.array(ids), pa.array(candidates),
-                pa.array((places - laid.begin[text]).astype(np.int32)),
-            ], names=["one", "two", "doc_id", "candidate", "place"])
+                pa.array((places - laid.begin[text]).astype(np.int32)), pa.array(np.concatenate(may).astype(np.int32)),
+            ], names=["one", "two", "doc_id", "candidate", "place", "role"])
 
     return run
 
@@ -285,23 +285,27 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     document; null texts and texts shorter than a window lose nothing.
     """
     texts = _texts(docs, id_col, text_col)
-    rows = staged(texts.mapInArrow(_measured, "doc_id long, text_hash long, n_words long, sha binary"), "repeat-rows")
+    measured = staged(texts.mapInArrow(
+        _measured(window, levels), "doc_id long, text_hash long, n_words long, sha binary, anchors array<long>",
+    ), "repeat-anchors")
+    rows = measured.drop("anchors")
     least = rows.where("doc_id IS NOT NULL").groupBy("sha").agg(F.min("doc_id").alias("least"))
     rows = staged(rows.join(least, "sha", "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False))).drop("least"), "repeat-copies")
-    whole = texts.where("doc_id IS NOT NULL")
-    named = whole.select("doc_id", "text").mapInArrow(_anchored(window, levels), "anchor long, doc_id long")
-    shared = staged(named.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most"), "repeat-anchors")
+    named = measured.where("doc_id IS NOT NULL").select("doc_id", F.explode("anchors").alias("anchor"))
+    shared = staged(named.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most"), "repeat-shared")
     roles = F.when(F.col("doc_id") > F.col("least"), _LOOKED_UP).otherwise(0) + F.when(F.col("doc_id") < F.col("most"), _FOUND).otherwise(0)
     lists = named.join(shared, "anchor").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", roles.cast("int").alias("role"))).alias("found"))
     originals = rows.where("NOT copy AND doc_id IS NOT NULL").select("doc_id").distinct()
     lists = staged(lists.join(originals, "doc_id", "left_semi").select(
         F.col("doc_id").alias("l_id"), F.col("found.anchor").alias("anchors"), F.col("found.role").alias("roles"),
     ), "repeat-lists")
-    candidates = whole.join(lists, F.col("doc_id") == F.col("l_id")).select("doc_id", "text_hash", "text", "anchors", "roles")
+    candidates = texts.join(lists, F.col("doc_id") == F.col("l_id")).select("doc_id", "text_hash", "text", "anchors", "roles")
     candidates = staged(candidates.withColumn("candidate", F.monotonically_increasing_id()), "repeat-candidates")
-    shape = "one long, two long, doc_id long, candidate long, place int"
-    found = candidates.mapInArrow(_windows(_FOUND, window, levels), shape).groupBy("one", "two").agg(F.min("doc_id").alias("least"))
-    looked_up = candidates.mapInArrow(_windows(_LOOKED_UP, window, levels), shape)
+    windows = staged(candidates.mapInArrow(
+        _windows(window, levels), "one long, two long, doc_id long, candidate long, place int, role int",
+    ), "repeat-windows")
+    found = windows.where(F.col("role").bitwiseAND(_FOUND) > 0).groupBy("one", "two").agg(F.min("doc_id").alias("least"))
+    looked_up = windows.where(F.col("role").bitwiseAND(_LOOKED_UP) > 0).drop("role")
     gone = looked_up.join(found, ["one", "two"]).where("least < doc_id")
     places = staged(gone.groupBy("candidate").agg(F.collect_list("place").alias("places")), "repeat-places")
     changed = candidates.select("candidate", "doc_id", "text_hash", "text").join(places, "candidate")
