@@ -82,11 +82,11 @@ def sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_secret_ownership": Query(secret_ownership, sql.SECRETS),
     "op2_factorisation_machine": Query(factorisation_machine),
-    "op3_interleaved_shards": Query(shards),
+    "op3_interleaved_shards": Query(shards, sql.SHARDS),
     "op4_source_mixture": Query(mixture, sql.MIXTURE),
-    "op5_recompressed_repeats": Query(recompressed_repeats),
-    "op6_chat_parts": Query(chat_parts),
-    "op7_setsketch_groups": Query(setsketch_groups),
+    "op5_recompressed_repeats": Query(recompressed_repeats, sql.REPEATS),
+    "op6_chat_parts": Query(chat_parts, sql.CHATS),
+    "op7_setsketch_groups": Query(setsketch_groups, sql.NEAR),
     "op8_sampled_pieces": Query(sampled_pieces),
     "op9_adaptive_rules": Query(adaptive_rules, sql.RULES),
     "op10_trie_owners": Query(trie_owners, sql.OWNERS),

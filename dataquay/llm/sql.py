@@ -1,6 +1,6 @@
 """SQL that gives the rows of the numbered queries, for DuckDB."""
 
-from dataquay.llm import mixing, rules, secrets
+from dataquay.llm import mixing, recompression, rules, secrets
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -110,3 +110,70 @@ WITH normal AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\
 SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
        doc_id IS NOT DISTINCT FROM min(doc_id) OVER g AS kept, text_sha256
 FROM normal WINDOW g AS (PARTITION BY text_sha256)"""
+
+SHARDS = f"""
+WITH RECURSIVE bits AS (
+  SELECT n, n AS c, 0 AS k FROM range(256) r(n)
+  UNION ALL SELECT n, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY n) AS t FROM bits WHERE k = 8),
+sized AS (
+  SELECT doc_id, source, CAST(octet_length(encode(coalesce(text, ''))) + 8 AS BIGINT) AS size,
+         CAST(xor(list_reduce([4294967295] || list_transform(
+           string_split(regexp_replace(hex(encode(coalesce(text, ''))), '(..)', '\\1,', 'g'), ',')[:-2],
+           lambda x: CAST('0x' || x AS BIGINT)), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) AS BIGINT) AS text_crc32,
+         md5('shard:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS shuffled
+  FROM documents, crc),
+ranked AS (
+  SELECT *, (CAST(row_number() OVER (PARTITION BY source ORDER BY shuffled, doc_id, text_crc32, size) - 1 AS DOUBLE) + CAST(0.5 AS DOUBLE))
+            / CAST(count(*) OVER (PARTITION BY source) AS DOUBLE) AS fraction FROM sized),
+line AS (
+  SELECT *, row_number() OVER (ORDER BY fraction, source NULLS FIRST, shuffled, doc_id, text_crc32, size) - 1 AS place,
+         count(*) OVER () AS total FROM ranked)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(place * 24 // total AS INTEGER) AS shard,
+       place - (place * 24 // total * total + 23) // 24 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM line"""
+
+_W = recompression.WINDOW
+REPEATS = f"""
+WITH split AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+windows AS (SELECT doc_id, p, md5(array_to_string(w[p:p + {_W - 1}], ' ')) AS name
+            FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {_W - 2}, 1))) AS p FROM split)),
+gone AS (SELECT DISTINCT doc_id, p + k AS p
+         FROM (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY name) AS least FROM windows), range({_W}) r(k) WHERE least < doc_id),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM split),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS text FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id),
+removed AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT s.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(r.n, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM split s LEFT JOIN kept k ON k.doc_id = s.doc_id LEFT JOIN removed r ON r.doc_id = s.doc_id"""
+
+_ESCAPED = r"""regexp_replace(replace({}, '\', '\\'),
+  '(<)(s>|/s>|<SYS>>|</SYS>>|\|text\|>|\|image\|>|\|audio\|>|\|document\|>)|(\[)(INST\]|/INST\])', '\1\3\\\2\4', 'g')"""
+CHATS = f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, turn, role, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(turn, role))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+       sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
+       CAST(3 + sum(length({_ESCAPED.format("text")}) + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 5
+                    ELSE 23 + length({_ESCAPED.format("role")}) END) AS BIGINT) AS formatted_chars,
+       CAST(sum(len(regexp_extract_all(text, '{_WORD}'))) AS BIGINT) AS tokens, CAST(0 AS BIGINT) AS n_attachments
+FROM turns GROUP BY conv_id"""
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+NEAR = f"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_WORD}') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < 4 THEN array_to_string(w, ' ') ELSE array_to_string(w[p:p + 3], ' ') END AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS p FROM split WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id
+  JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (SELECT a AS doc_id, a AS other FROM both_ways UNION SELECT r.doc_id, l.b FROM reached r JOIN both_ways l ON l.a = r.other),
+least AS (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, d.doc_id) AS component_id,
+       coalesce(component_id, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN sizes ON sizes.doc_id = d.doc_id LEFT JOIN least ON least.doc_id = d.doc_id"""
