@@ -10,7 +10,7 @@ words that its making depends on.
 A window of words is anchored at the symbol with the most text, of those that
 depend on words inside the window alone. Anchors of two documents are equal wherever their
 windows are; so a window without a shared anchor occurs once, and only
-windows with one are compared, by 128 bits of all their words.
+windows with one are compared, by 96 bits of all their words.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from dataquay.llm.hashing import hashes_of, mixed, runs, words_of
 WINDOW, LEVELS = 13, 2
 #: Bytes of words from which a symbol is as rare as another.
 RARE_BYTES = 24
-#: Bits of an anchor's name: enough to filter by; windows are compared by 128.
+#: Bits of an anchor's name: enough to filter by; windows are compared by 96.
 ANCHOR_BITS = 48
 #: Words that a task lays end to end at a time; a longer text is laid alone.
 PORTION = 200_000
@@ -161,8 +161,8 @@ def window_places(laid: Laid, window: int = WINDOW) -> tuple[np.ndarray, np.ndar
 
 
 def window_names(laid: Laid, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits of the words of the window at each place, as two numbers."""
-    return runs(laid.hashes, window, 1).view(np.int64), runs(laid.hashes, window, 2).view(np.int64)
+    """96 bits of the words of the window at each place, as two numbers."""
+    return runs(laid.hashes, window, 1).view(np.int64), (runs(laid.hashes, window, 2) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
@@ -302,7 +302,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     candidates = texts.join(lists, F.col("doc_id") == F.col("l_id")).select("doc_id", "text_hash", "text", "anchors", "roles")
     candidates = staged(candidates.withColumn("candidate", F.monotonically_increasing_id()), "repeat-candidates")
     windows = staged(candidates.mapInArrow(
-        _windows(window, levels), "one long, two long, doc_id long, candidate long, place int, role int",
+        _windows(window, levels), "one long, two int, doc_id long, candidate long, place int, role int",
     ), "repeat-windows")
     found = windows.where(F.col("role").bitwiseAND(_FOUND) > 0).groupBy("one", "two").agg(F.min("doc_id").alias("least"))
     looked_up = windows.where(F.col("role").bitwiseAND(_LOOKED_UP) > 0).drop("role")
