@@ -14,9 +14,10 @@ and only members of different components are looked at further. Buckets whose
 members are alike but not similar, such as texts around one long passage, would
 still hold very many pairs. So the members left are put into new buckets by
 their rarest shingles: documents that are similar have one of these in common
-for certain, and texts that share a passage alone mostly have none. Such a bucket
-goes through a task as blocks of bounded size, which counts what all members have
-in common at once and gives out the links between components, so none is lost.
+for certain, and texts that share a passage alone mostly have none. Members of
+different components in such a bucket are compared in pairs where it is small. A
+large one goes through tasks as blocks of bounded size, which count what all
+members have in common at once, and give out the links between components.
 """
 
 from __future__ import annotations
@@ -43,8 +44,9 @@ BASE, RATE, LIMIT = 1.001, 20.0, 65534
 UNLIKELY = 18.0
 #: Rounds with new centres.
 ROUNDS = 1
-#: Bytes of shingles in a block, and shingles that are counted at a time.
-BLOCK_BYTES, COUNTED = 4 << 20, 4096
+#: Members of a bucket of rare shingles from which it goes through a task in blocks, shingles in a
+#: block, and shingles that are counted at a time.
+MANY, BLOCK_SHINGLES, COUNTED = 64, 500_000, 4096
 
 _odd = np.random.default_rng(20)
 _FACTORS = _odd.integers(0, 1 << 63, REGISTERS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -224,7 +226,14 @@ def _linked(docs: DataFrame, rows: DataFrame, groups: DataFrame, id_col: str, te
         found.test(_to_centres(_unsettled(found.labelled(members)), round_))
     members = _unsettled(found.labelled(members))
     rare = _rare_members(found.sets, members.select("node").distinct(), percent)
-    found.add(_links_in_blocks(_unsettled(found.labelled(rare)), found.sets, percent))
+    rare = _unsettled(found.labelled(rare))
+    size = F.count("*").alias("size")
+    small = staged(rare.join(rare.groupBy("key").agg(size).where(F.col("size") <= MANY), "key"), "near-small")
+    other = small.select("key", F.col("node").alias("o_node"), F.col("root").alias("o_root"))
+    pairs = small.join(other, "key").where(F.col("root") < F.col("o_root"))
+    found.test(pairs.select(F.col("node").alias("a"), F.col("o_node").alias("b")))
+    large = staged(rare.join(rare.groupBy("key").agg(size).where(F.col("size") > MANY), "key"), "near-large")
+    found.add(_links_in_blocks(_unsettled(found.labelled(large)), found.nodes, found.sets, percent))
     return found.roots
 
 
@@ -256,7 +265,12 @@ def _rare_members(sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     lists = rows.join(shared, "key").groupBy("node").agg(F.max("n").alias("n"), F.collect_list(F.struct("holders", "key")).alias("some"))
     places = F.expr(f"int(greatest(0, n - (({percent} * n + 99) div 100) + 1 - (n - size(some))))")
     first = lists.select("node", F.slice(F.array_sort("some"), F.lit(1), places).alias("first"))
-    return staged(first.select(F.explode("first.key").alias("key"), "node"), "near-rare")
+    members = staged(first.select(F.explode("first.key").alias("key"), "node"), "near-rare")
+    # Near copies share many rare shingles: of buckets with the same members one is enough.
+    same_members = members.groupBy("key").agg(
+        F.count("*").alias("n"), F.min("node").alias("least"), F.max("node").alias("most"), F.bit_xor(F.xxhash64("node")).alias("all"),
+    ).groupBy("n", "least", "most", "all").agg(F.min("key").alias("key"))
+    return members.join(same_members.where("n > 1").select("key"), "key").select("key", "node")
 
 
 def similar_pairs(sets: list[np.ndarray], blocks: list[int], roots: list[int], percent: int) -> list[tuple[int, int]]:
@@ -298,7 +312,7 @@ def similar_pairs(sets: list[np.ndarray], blocks: list[int], roots: list[int], p
     return links
 
 
-def _links_in_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _links_in_blocks(members: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between members of different components of a bucket.
 
     A bucket has as many blocks as its shingles need; a cell is a pair of
@@ -321,8 +335,8 @@ def _links_in_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataF
                 rows.append(r)
         yield links()
 
-    sized = members.join(sets, "node").withColumn("bytes", F.octet_length("shingles"))
-    blocks = sized.groupBy("key").agg(F.ceil(F.sum("bytes") / BLOCK_BYTES).cast("int").alias("blocks"))
+    sized = members.join(nodes.select("node", "n"), "node")
+    blocks = sized.groupBy("key").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
     placed = members.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     cells = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = cells.select(
