@@ -120,7 +120,7 @@ def test_calendar_units(spark, unit, start):
     ("3x4x2020", Attribute("c", "DATE", format="dd.MM.yyyy"), None),
     ("2020-01-02 25:00:00", Attribute("c", "DATETIME", format="yyyy-MM-dd HH:mm:ss"), None),
     (" 12 ", Attribute("c", "INTEGER"), "12"), ("1.5", Attribute("c", "INTEGER"), None),
-    ("1.239", Attribute("c", "DECIMAL", 5, 2), "1.24"), ("3", Attribute("c", "DECIMAL"), "3.0000"),
+    ("1.239", Attribute("c", "DECIMAL", 5, 2), "1.24"), ("3", Attribute("c", "DECIMAL"), "3." + "0" * 18),
     ("3/4/2020 1:2:3", Attribute("c", "DATETIME", format="dd/MM/yyyy HH:mm:ss"), "2020-04-03 01:02:03"),
     ("2020-01-02T03:04:05.25Z", Attribute("c", "TIMESTAMP", format="yyyy-MM-ddTHH:mm:ss.Z"), "2020-01-02 03:04:05.25"),
     ("[\"a\", \"b\"]", Attribute("c", "VECTOR"), "[a, b]"), ("{\"lat\": 1, \"lon\": 2}", Attribute("c", "LAT_LONG"), "{1.0, 2.0}"),
@@ -138,7 +138,7 @@ def test_type_names(spark):
 
 
 def test_every_logical_type_has_a_spark_type():
-    assert V.spark_type("DECIMAL").simpleString() == "decimal(10,4)"
+    assert V.spark_type("DECIMAL").simpleString() == "decimal(38,18)"
     assert V.spark_type("TIME").simpleString() == "string"
     for name in V.LOGICAL_TYPES:
         V.spark_type(name)
