@@ -30,13 +30,13 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Flattens (below 1) or sharpens (above 1) the distribution over segmentations.
 SHARPNESS = 1.0
 #: Signs of text that a task segments at a time; a longer text is taken alone.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 1_000_000
 #: Weight of a sign spelt in bytes, and a factor per sign that every path has alike.
 BARE, PER_SIGN = 1e-5, 9.0
 #: Signs after which sums are brought back to one scale; longer than any piece.
 RESCALE = 32
 #: Chunks from which on a worker's lattices are enough.
-KNOWN = 80_000
+KNOWN = 30_000
 _BLANK = "▁"
 #: What no piece crosses: a line end, or a run of blanks with the signs after it.
 _CHUNK = re.compile(r"\n| *[^ \n]+| +")
