@@ -2,8 +2,9 @@
 
 Each rule compares a ratio of a document with a threshold learned for its
 language and source. The sketch of a group is a histogram over whole-number
-bins: sketches of any two parts merge by adding counts, in any order, and a
-quantile read from it is off by one bin at most. Groups with few documents use
+bins: sketches of parts that have no text in common merge by adding counts, in
+any order, and a quantile read from it is off by one bin at most. A text counts
+once in a group, however many copies it has there. Groups with few texts use
 their language's sketch, small languages the sketch of all documents.
 """
 
@@ -22,10 +23,10 @@ from dataquay.llm.common import same, small, staged, whole_text
 #: Base rules: least words, and most repeated words of a hundred.
 LEAST_WORDS = 50
 MOST_REPEATED = 50
-#: Documents that a group needs for thresholds of its own.
+#: Distinct texts that a group needs for thresholds of its own.
 LEAST_GROUP = 100
-#: A threshold is the median plus SPREAD times the distance from it to the upper
-#: (lower) quartile, which counts as `floor` bins at least.
+#: A threshold is the median plus (less) SPREAD times the distance from it to the
+#: nearer quartile, which counts as `floor` bins at least.
 SPREAD = 8
 #: (ratio, numerator, denominator, bins per unit, spread floor in bins, sides). A bin is bins * numerator div denominator.
 RULES = (
@@ -70,14 +71,15 @@ def count_text(text: str | None) -> tuple[int, ...]:
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [count_text(x) for x in batch.column("text").to_pylist()]
-        columns = [batch.column("row"), *[pa.array([f[i] for f in found], pa.int64()) for i in range(len(COUNTS))]]
-        yield pa.RecordBatch.from_arrays(columns, names=["row", *COUNTS])
+        columns = [batch.column("row"), batch.column("text_hash"), *[pa.array([f[i] for f in found], pa.int64()) for i in range(len(COUNTS))]]
+        yield pa.RecordBatch.from_arrays(columns, names=["row", "text_hash", *COUNTS])
 
 
 def with_counts(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
-    """`row` (a struct of the columns in `keep`) and the counts of the text."""
-    slim = docs.select(F.struct(*keep).alias("row"), whole_text(text_col).alias("text"))
-    schema = f"row {slim.schema['row'].dataType.simpleString()}, " + ", ".join(f"{c} long" for c in COUNTS)
+    """`row` (a struct of the columns in `keep`), a hash of the text and its counts."""
+    text = whole_text(text_col)
+    slim = docs.select(F.struct(*keep).alias("row"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    schema = f"row {slim.schema['row'].dataType.simpleString()}, text_hash long, " + ", ".join(f"{c} long" for c in COUNTS)
     return slim.mapInArrow(_counted, schema)
 
 
@@ -86,35 +88,59 @@ def _bin(top: str, bottom: str, bins: int):
 
 
 def sketches(counted: DataFrame) -> DataFrame:
-    """The histogram sketch of each rule: level (2 language and source, 1 language, 0 all), lang, source, rule, bin, n."""
+    """The histogram sketch of each rule: level (2 language and source, 1 language, 0 all), lang, source, rule, bin, n (distinct texts)."""
+    levels = counted.select(
+        "lang", "source", "text_hash", *[_bin(*r[1:4]).alias(r[0]) for r in RULES],
+        F.explode(F.array(*[F.lit(x) for x in (0, 1, 2)])).alias("level"),
+    )
+    # Copies of a text have the same bins.
+    texts = levels.select(
+        "level", F.when(F.col("level") > 0, F.col("lang")).alias("lang"),
+        F.when(F.col("level") > 1, F.col("source")).alias("source"), "text_hash", *[r[0] for r in RULES],
+    ).distinct()
     bins = F.explode(F.map_from_arrays(
-        F.array(*[F.lit(r[0]) for r in RULES]), F.array(*[_bin(*r[1:4]) for r in RULES]),
+        F.array(*[F.lit(r[0]) for r in RULES]), F.array(*[F.col(r[0]) for r in RULES]),
     )).alias("rule", "bin")
-    # One row per bin and group before any level is made from another: counts just add up.
-    fine = counted.select("lang", "source", bins).groupBy("lang", "source", "rule", "bin").agg(F.count("*").alias("n"))
-    return fine.select("*", F.explode(F.array(*[F.lit(x) for x in (0, 1, 2)])).alias("level")).select(
-        "level", F.when(F.col("level") > 0, F.col("lang")).alias("lang"),
-        F.when(F.col("level") > 1, F.col("source")).alias("source"), "rule", "bin", "n",
-    ).groupBy("level", "lang", "source", "rule", "bin").agg(F.sum("n").alias("n"))
+    return texts.select("level", "lang", "source", bins).groupBy("level", "lang", "source", "rule", "bin").agg(F.count("*").alias("n"))
 
 
 def thresholds(sketch: DataFrame, least_group: int = LEAST_GROUP) -> DataFrame:
     """Per level, language and source: a column `high_<rule>` or `low_<rule>` for each side of a rule.
 
     A quantile is the first bin at which the counts reach its share of all.
+    Junk beyond one quartile leaves the nearer one where it is. Where junk is so
+    much that the median is junk too, a group's threshold is no looser than that
+    of the level above or the one that its own lower (upper) quartile and the
+    twentieth beyond give, so a source that is unusual throughout keeps its own.
     """
     group = ["level", "lang", "source", "rule"]
     whole = Window.partitionBy(*group)
     steps = sketch.withColumn("upto", F.sum("n").over(whole.orderBy("bin"))).withColumn("total", F.sum("n").over(whole))
-    quartile = lambda q: F.min(F.when(F.col("upto") * 4 >= F.col("total") * q, F.col("bin")))
+    quantile = lambda q: F.min(F.when(F.col("upto") * 20 >= F.col("total") * q, F.col("bin")))
     points = steps.where((F.col("total") >= least_group) | (F.col("level") == 0)).groupBy(*group).agg(
-        quartile(1).alias("q1"), quartile(2).alias("q2"), quartile(3).alias("q3"),
+        *[quantile(q).alias(f"q{q}") for q in (1, 5, 10, 15, 19)],
     )
-    spread = F.create_map(*[x for r in RULES for x in (F.lit(r[0]), F.lit(r[4]))])[F.col("rule")]
-    fences = points.select(
-        *group, (F.col("q2") + SPREAD * F.greatest(F.col("q3") - F.col("q2"), spread)).alias("high"),
-        (F.col("q2") - SPREAD * F.greatest(F.col("q2") - F.col("q1"), spread)).alias("low"),
+    floor = F.create_map(*[x for r in RULES for x in (F.lit(r[0]), F.lit(r[4]))])[F.col("rule")]
+    beyond = lambda distance: SPREAD * F.greatest(distance, floor)
+    near = F.least(F.col("q10") - F.col("q5"), F.col("q15") - F.col("q10"))
+    own = staged(points.select(
+        *group, (F.col("q10") + beyond(near)).alias("high"), (F.col("q10") - beyond(near)).alias("low"),
+        (F.col("q5") + beyond(F.col("q5") - F.col("q1"))).alias("tail_high"),
+        (F.col("q15") - beyond(F.col("q19") - F.col("q15"))).alias("tail_low"),
+    ), "rule-points")
+    of_all = own.where("level = 0").select(*group, "high", "low")
+    bounded = lambda rows: rows.select(
+        *group, F.least("high", F.greatest("up_high", "tail_high")).alias("high"),
+        F.greatest("low", F.least("up_low", "tail_low")).alias("low"),
+    )
+    of_lang = bounded(own.where("level = 1").join(
+        F.broadcast(of_all.select("rule", F.col("high").alias("up_high"), F.col("low").alias("up_low"))), "rule",
+    ))
+    above = of_lang.select(
+        F.col("lang").alias("up_lang"), F.col("rule").alias("up_rule"), F.col("high").alias("up_high"), F.col("low").alias("up_low"),
     )
+    of_source = bounded(own.where("level = 2").join(above, same(F.col("lang"), F.col("up_lang")) & (F.col("rule") == F.col("up_rule"))))
+    fences = of_all.unionAll(of_lang).unionAll(of_source)
     sides = [(side, r[0]) for r in RULES for side in ("high", "low") if side == "high" or r[5] == "both"]
     return fences.groupBy(*group[:-1]).agg(*[
         F.max(F.when(F.col("rule") == rule, F.col(side))).alias(f"{side}_{rule}") for side, rule in sides
@@ -159,7 +185,7 @@ def judge(
         F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"),
         F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"),
     ), "text", ["doc_id", "lang", "source"])
-    counted = staged(rows.select("row.*", *COUNTS), "rule-counts")
+    counted = staged(rows.select("row.*", "text_hash", *COUNTS), "rule-counts")
     return judged(counted, least_group).select("doc_id", *COUNTS, "base_failed", "broken", "kept")
 
 
@@ -169,6 +195,6 @@ def keep_good(
     """The rows of `docs` that pass, with its columns. The thresholds are learned in a first pass over all rows."""
     counted = with_counts(docs, text_col, list(docs.columns)).select(
         "row", F.col("row").getField(lang_col).cast("string").alias("lang"),
-        F.col("row").getField(source_col).cast("string").alias("source"), *COUNTS,
+        F.col("row").getField(source_col).cast("string").alias("source"), "text_hash", *COUNTS,
     )
     return judged(counted, least_group).where("kept").select("row.*")

@@ -339,6 +339,34 @@ def test_thresholds_adapt_to_language_and_source(spark):
     assert sum(x.kept for x in found.values()) >= 398 and r is not None
 
 
+def judged_signs(spark, texts):
+    """Whether documents are kept, by their source, of (source, signs, copies)."""
+    rows, n = [], 0
+    for k, (source, signs, copies) in enumerate(texts):
+        for _ in range(copies):
+            rows.append((n, words(k, 80) + " #" * signs, "en", source))
+            n += 1
+    found = rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    source = {x[0]: (x[3], x[1].count("#")) for x in rows}
+    return Counter((*source[x.doc_id], x.kept) for x in found)
+
+
+@pytest.mark.parametrize("junk", [20, 26, 40, 60])
+def test_junk_heavy_sources_lose_their_junk(spark, junk):
+    texts = [("clean", 0, 1)] * 400 + [("junk", 40 if k < 2 * junk else 0, 1) for k in range(200)]
+    assert judged_signs(spark, texts) == {("clean", 0, True): 400, ("junk", 40, False): 2 * junk, ("junk", 0, True): 200 - 2 * junk}
+
+
+def test_copies_do_not_move_thresholds(spark):
+    texts = [("s", 0, 1)] * 150 + [("s", 40, 600)] + [("t", 0, 1)] * 120
+    assert judged_signs(spark, texts) == {("s", 0, True): 150, ("s", 40, False): 600, ("t", 0, True): 120}
+
+
+def test_an_unusual_source_keeps_its_own_thresholds(spark):
+    texts = [("plain", 0, 1)] * 400 + [("signs", 12, 1)] * 120 + [("signs", 60, 1)]
+    assert judged_signs(spark, texts) == {("plain", 0, True): 400, ("signs", 12, True): 120, ("signs", 60, False): 1}
+
+
 def test_owners(odd, empty):
     found = tries.membership(odd).collect()
     same([tuple(r) for r in found], brute.owners(pairs(odd_rows())))
