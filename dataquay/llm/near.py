@@ -44,9 +44,9 @@ BASE, RATE, LIMIT = 1.001, 20.0, 65534
 UNLIKELY = 18.0
 #: Rounds with new centres.
 ROUNDS = 1
-#: Members of a bucket of rare shingles from which it goes through a task in blocks, shingles in a
-#: block, and shingles that are counted at a time.
-MANY, BLOCK_SHINGLES, COUNTED = 64, 500_000, 4096
+#: Members of a bucket of rare shingles from which it goes through a task in blocks, shingles and members
+#: in a block (about; blocks are dealt by hash), and shingles that are counted at a time.
+MANY, BLOCK_SHINGLES, BLOCK_MEMBERS, COUNTED = 64, 500_000, 2000, 4096
 
 _odd = np.random.default_rng(20)
 _FACTORS = _odd.integers(0, 1 << 63, REGISTERS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -296,26 +296,28 @@ def similar_pairs(sets: list[np.ndarray], blocks: list[int], roots: list[int], p
     shared = np.zeros((len(one), len(two)), np.float32)
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
-    for start in range(0, int(column[-1]) + 1 if len(column) else 0, COUNTED):
+    kinds = int(column[-1]) + 1 if len(column) else 0
+    for start in range(0, kinds, COUNTED):
         a, b = np.searchsorted(column, (start, start + COUNTED))
-        has = np.zeros((len(sets), COUNTED), np.float32)
+        has = np.zeros((len(sets), min(COUNTED, kinds - start)), np.float32)
         has[row[a:b], column[a:b] - start] = 1
         shared += has[one] @ has[two].T
     similar = 100 * shared >= percent * (n[one][:, None] + n[two][None, :] - shared)
     links = []
-    for i, j in zip(*(x.tolist() for x in np.nonzero(similar))):
-        i, j = int(one[i]), int(two[j])
-        a, b = top(roots[i]), top(roots[j])
-        if a != b:
-            parent[a] = b
-            links.append((i, j))
+    for i, found in zip(one.tolist(), similar):
+        for j in two[found].tolist():
+            a, b = top(roots[i]), top(roots[j])
+            if a != b:
+                parent[a] = b
+                links.append((i, j))
     return links
 
 
 def _links_in_blocks(members: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between members of different components of a bucket.
 
-    A bucket has as many blocks as its shingles need; a cell is a pair of
+    A bucket has as many blocks as its shingles or its members need, so that the
+    matrices of a cell are bounded however short the texts; a cell is a pair of
     blocks, or one alone, and each member goes to the cells of its block.
     """
 
@@ -336,7 +338,8 @@ def _links_in_blocks(members: DataFrame, nodes: DataFrame, sets: DataFrame, perc
         yield links()
 
     sized = members.join(nodes.select("node", "n"), "node")
-    blocks = sized.groupBy("key").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    needed = F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_MEMBERS))
+    blocks = sized.groupBy("key").agg(needed.cast("int").alias("blocks"))
     placed = members.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     cells = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = cells.select(

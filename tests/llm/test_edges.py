@@ -243,6 +243,24 @@ def test_near_groups_without_a_common_centre(spark):
     same([(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in found], brute.near_components(chain, 4))
 
 
+def test_blocks_of_many_short_texts_are_bounded(spark, monkeypatch):
+    """Texts of 21 shingles of which 17 are those of all, and two that have 20 of 22 in common."""
+    import numpy as np
+
+    count = 6000
+    sets = [np.sort(np.concatenate([np.arange(17), 100 + 4 * k + np.arange(4)]).astype(np.uint64)) for k in range(count)]
+    sets[count - 1] = np.sort(np.append(sets[3][:-1], np.uint64(90)))
+    sets_df = spark.createDataFrame([(k, bytearray(x.tobytes())) for k, x in enumerate(sets)], "node long, shingles binary").cache()
+    members = sets_df.select(F.lit(1).cast("long").alias("key"), "node", F.col("node").alias("root"))
+    nodes = sets_df.select("node", F.lit(21).cast("long").alias("n"))
+    found = near._links_in_blocks(members, nodes, sets_df, 80).collect()
+    assert {frozenset(x) for x in found} == {frozenset((3, count - 1))}
+    monkeypatch.setattr(type(sets_df), "mapInArrow", lambda dealt, *_: dealt)
+    cells = near._links_in_blocks(members, nodes, sets_df, 80).groupBy("cell").count()
+    assert cells.agg(F.max("count")).first()[0] <= 2 * 1.2 * 2000
+    assert cells.count() == 6  # three blocks alone and in pairs
+
+
 def test_likelihood_keeps_pairs_at_the_threshold():
     import numpy as np
 
