@@ -8,7 +8,9 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dataquay.llm import chat, machine, mixing, near, pieces, recompression, rules, secrets, sharding, sql, tries
+from dataquay.llm import (
+    chat, machine, mixing, near, pieces, recompression, resampling, rules, secrets, sharding, simhash, spelling, sql, tries,
+)
 from dataquay.llm.common import documents
 
 
@@ -79,6 +81,19 @@ def sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(documents(spark, sf_dir))
 
 
+def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(documents(spark, sf_dir))
+
+
+def importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = resampling.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return ranked.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
+
+
 QUERIES: dict[str, Query] = {
     "op1_secret_ownership": Query(secret_ownership, sql.SECRETS),
     "op2_factorisation_machine": Query(factorisation_machine),
@@ -90,4 +105,7 @@ QUERIES: dict[str, Query] = {
     "op8_sampled_pieces": Query(sampled_pieces),
     "op9_adaptive_rules": Query(adaptive_rules, sql.RULES),
     "op10_trie_owners": Query(trie_owners, sql.OWNERS),
+    "op11_spelling_variants": Query(spelling_variants, sql.SPELLING),
+    "op12_importance_resampling": Query(importance_resampling, sql.RESAMPLING),
+    "op13_simhash_groups": Query(simhash_groups),
 }

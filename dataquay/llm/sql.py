@@ -1,6 +1,6 @@
 """SQL that gives the rows of the numbered queries, for DuckDB."""
 
-from dataquay.llm import mixing, recompression, rules, secrets
+from dataquay.llm import mixing, recompression, resampling, rules, secrets, spelling
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -177,3 +177,57 @@ least AS (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, d.doc_id) AS component_id,
        coalesce(component_id, d.doc_id) = d.doc_id AS kept
 FROM documents d LEFT JOIN sizes ON sizes.doc_id = d.doc_id LEFT JOIN least ON least.doc_id = d.doc_id"""
+
+_CRC_TABLE = """bits AS (
+  SELECT n, n AS c, 0 AS k FROM range(256) r(n)
+  UNION ALL SELECT n, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY n) AS t FROM bits WHERE k = 8)"""
+
+
+def _crc(text: str) -> str:
+    """CRC-32 of the UTF-8 of a text, with `crc` in the FROM clause."""
+    return f"""CAST(xor(list_reduce([4294967295] || list_transform(
+      string_split(regexp_replace(hex(encode({text})), '(..)', '\\1,', 'g'), ',')[:-2],
+      lambda x: CAST('0x' || x AS BIGINT)), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) AS BIGINT)"""
+
+
+RESAMPLING = f"""
+WITH RECURSIVE {_CRC_TABLE},
+split AS (SELECT src, id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+          FROM (SELECT 'raw' AS src, doc_id AS id, text FROM documents UNION ALL SELECT 'target', NULL, text FROM benchmark)),
+words AS (SELECT src, id, unnest(w) AS word FROM split),
+buckets AS (SELECT word, {_crc("word")} % {resampling.BUCKETS} AS b FROM (SELECT DISTINCT word FROM words), crc),
+counts AS (SELECT b, count(*) FILTER (src = 'raw') AS s, count(*) FILTER (src = 'target') AS t FROM words JOIN buckets USING (word) GROUP BY b),
+totals AS (SELECT coalesce(sum(s), 0) AS all_s, coalesce(sum(t), 0) AS all_t FROM counts),
+gains AS (SELECT b, CAST(floor(1000 * ln((t + 1) * CAST(all_s + {resampling.BUCKETS} AS DOUBLE) / ((s + 1) * CAST(all_t + {resampling.BUCKETS} AS DOUBLE)))) AS BIGINT) AS gain
+          FROM counts, totals),
+weights AS (SELECT id, CAST(floor(CAST(sum(gain) AS DOUBLE) / count(*)) AS BIGINT) AS weight
+            FROM words JOIN buckets USING (word) JOIN gains USING (b) WHERE src = 'raw' GROUP BY id),
+scored AS (SELECT id AS doc_id, CAST(len(w) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+                  coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || sha256('{resampling.SEED}:' || CAST(s.id AS VARCHAR))[:8] AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+           FROM split s LEFT JOIN weights g USING (id) WHERE src = 'raw'),
+placed AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n
+           FROM scored WHERE n_features >= {resampling.LEAST_WORDS})
+SELECT s.doc_id, n_features, weight, score, p.place AS rank
+FROM scored s LEFT JOIN placed p ON p.doc_id = s.doc_id AND p.place <= {resampling.PERCENT} * p.n // 100"""
+
+SPELLING = f"""
+WITH RECURSIVE {_CRC_TABLE},
+runs AS (SELECT doc_id, run, count(*) AS n
+         FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{spelling.RUN}')) AS run FROM documents)
+         WHERE length(run) >= {spelling.LEAST_SIGNS} GROUP BY doc_id, run),
+hashed AS (SELECT run, n, {_crc("CAST(doc_id AS VARCHAR) || ':' || run")} AS h FROM runs, crc),
+spelt AS (SELECT n, CASE WHEN h % {spelling.TYPO_IN} = 0 THEN substring(run, 1, h % length(run)) || substring(run, h % length(run) + 2) ELSE run END AS word FROM hashed),
+counted AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM spelt WHERE length(word) >= {spelling.LEAST_SIGNS} GROUP BY word HAVING sum(n) >= {spelling.LEAST_COUNT}),
+without AS (SELECT word, p, substring(word, 1, p - 1) || substring(word, p + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS p FROM counted)),
+near AS (SELECT a.word, b.word AS other FROM without a JOIN without b ON a.p = b.p AND a.rest = b.rest AND a.word <> b.word
+         UNION SELECT v.word, c.word FROM without v JOIN counted c ON c.word = v.rest
+         UNION SELECT c.word, v.word FROM without v JOIN counted c ON c.word = v.rest),
+best AS (SELECT x.word, count(*) AS n_near, (list(x.other ORDER BY o.n DESC, x.other))[1] AS other, max(o.n) AS other_n
+         FROM near x JOIN counted o ON o.word = x.other GROUP BY x.word),
+forms AS (SELECT c.word, c.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= {spelling.FORM_FACTOR} * c.n THEN other END AS form,
+                 CASE WHEN other_n >= {spelling.FORM_FACTOR} * c.n THEN other_n END AS form_n
+          FROM counted c LEFT JOIN best b ON b.word = c.word),
+chain AS (SELECT word, word AS root FROM counted UNION ALL SELECT c.word, f.form FROM chain c JOIN forms f ON f.word = c.root WHERE f.form IS NOT NULL),
+roots AS (SELECT c.word, c.root FROM chain c JOIN forms f ON f.word = c.root WHERE f.form IS NULL)
+SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n FROM forms f JOIN roots r ON r.word = f.word"""
