@@ -119,6 +119,8 @@ def classify(v: Column, number: Column, pattern: Column, tokens: Sequence[str] =
     )
 
 
+#: What makes a number more than a sign, digits and a dot.
+ODD_NUMBER = r"[eE_\s]"
 # Sign and digits before the dot, digits after it, and the exponent.
 _PARTS = r"^\s*([+-]?[\d_]*)(?:\.([\d_]*))?(?:[eE]([+-]?[\d_]+))?\s*$"
 
@@ -127,11 +129,17 @@ def number_digits(v: Column) -> tuple[Column, Column]:
     """Places before and after the dot that hold a number, written out; a sign counts as a place.
 
     An exponent moves digits over the dot, but never makes either side shorter.
+    Most numbers are plain, and their lengths tell; only others are taken apart.
     """
+    dot, odd = F.instr(v, "."), v.rlike(ODD_NUMBER)
     part = lambda i: F.replace(F.regexp_extract(v, _PARTS, i), F.lit("_"), F.lit(""))
     before, after = F.length(part(1)), F.length(part(2))
     moved = F.coalesce(part(3).try_cast("int"), F.lit(0))
-    return F.greatest(before, before + moved), F.greatest(after, after - moved)
+    plain_before = F.when(dot > 0, dot - 1).otherwise(F.length(v))
+    return (
+        F.when(odd, F.greatest(before, before + moved)).otherwise(plain_before),
+        F.when(odd, F.greatest(after, after - moved)).otherwise(F.length(v) - plain_before - F.when(dot > 0, 1).otherwise(0)),
+    )
 
 
 def decimal_digits(v: Column) -> tuple[Column, Column]:

@@ -9,7 +9,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dataquay.functions.cells import NUMBER, blank_to_null
+from dataquay.functions.cells import NUMBER, ODD_NUMBER, blank_to_null
 from dataquay.vocabulary import spark_type
 
 ERRORS = "_errors"
@@ -77,10 +77,13 @@ def is_rounded(cell: Column, attribute: Attribute) -> Column:
     target = spark_type(attribute.type, attribute.precision, attribute.scale)
     if target.typeName() != "decimal":
         return F.lit(False)
-    number = F.lower(F.trim(cell))
-    plain = F.rtrim(F.regexp_extract(number, r"\.([\d_]*)", 1), F.lit("0_"))
+    trimmed = F.trim(cell)
+    number, dot = F.lower(trimmed), F.instr(trimmed, ".")
+    places = F.rtrim(F.regexp_extract(number, r"\.([\d_]*)", 1), F.lit("0_"))
     moved = F.coalesce(F.regexp_extract(number, r"e([+-]?\d+)", 1).try_cast("int"), F.lit(0))
-    return F.length(F.replace(plain, F.lit("_"), F.lit(""))) - moved > target.scale
+    odd = F.length(F.replace(places, F.lit("_"), F.lit(""))) - moved > target.scale
+    plain = (dot > 0) & (F.length(F.rtrim(trimmed, F.lit("0"))) - dot > target.scale)
+    return F.when(trimmed.rlike(ODD_NUMBER), odd).otherwise(plain)
 
 
 def convert_columns(
