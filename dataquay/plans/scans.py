@@ -125,6 +125,18 @@ def csv_multiline(t: Tables) -> DataFrame:
     return R.read_source(t.spark, spec).drop(ERRORS)
 
 
+@query("csv_multiline_types", """
+SELECT 'doc_id' AS name, 'INTEGER' AS type, CAST(NULL AS INTEGER) AS size UNION ALL
+SELECT 'text', CASE WHEN max(length(text)) > 1000 THEN 'TEXT' ELSE 'CHARACTER' END, CAST(max(length(text)) AS INTEGER) FROM documents UNION ALL
+SELECT 'lang', 'CHARACTER', CAST(max(length(lang)) AS INTEGER) FROM documents""")
+def csv_multiline_types(t: Tables) -> DataFrame:
+    """Types and sizes of whole records, as one file of many splits may hold them."""
+    path = scratch_dir(t.spark, "documents-csv")
+    W.export_csv(t.documents.select("doc_id", "text", "lang"), path)
+    spec = R.SourceSpec("CSV", path, is_first_line_header=True, is_multiline=True)
+    return R.infer_csv(t.spark, spec).select("name", "type", "size")
+
+
 @query("csv_unschematised", """
 SELECT trim(split_part(line, ';', 1)) AS "row", count(*) AS n
 FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) WHERE trim(line) <> '' GROUP BY 1""")

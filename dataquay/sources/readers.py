@@ -22,6 +22,7 @@ from dataquay.functions.text import default_names, header_names, without_nul
 from dataquay.functions.typemaps import schema_attributes
 from dataquay.operators import infer
 from dataquay.operators.catalog import sample_head
+from dataquay.sources import multiline
 from dataquay.vocabulary import NAMED_DELIMITERS, SAMPLE_ROWS, spark_type
 
 BAD_RECORD = "_bad_record"
@@ -92,14 +93,33 @@ def csv_options(spec: SourceSpec) -> dict[str, str]:
     }
 
 
+#: The split a record begins in: its file, and the place there.
+SPLIT = "_split"
+
+
 def read_csv_text(spark: SparkSession, spec: SourceSpec, names: Sequence[str]) -> DataFrame:
-    """The cells of a CSV source as text, and ``_bad_record`` for rows of a wrong width.
+    """The cells of a CSV source as text, ``_bad_record`` for rows of a wrong width, and ``_split``.
 
     Empty cells are empty text or NULL; cells a short row lacks are NULL, and
-    cells a long row has too many are cut.
+    cells a long row has too many are cut. Files of any form are read in splits.
     """
-    fields = [T.StructField(n, T.StringType()) for n in [*names, BAD_RECORD]]
-    return spark.read.schema(T.StructType(fields)).options(**csv_options(spec)).csv(spec.path)
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, BAD_RECORD]])
+    options = csv_options(spec)
+    if not spec.is_multiline or not _splits_at_lines(options):
+        rows = spark.read.schema(schema).options(**options).csv(spec.path)
+        return rows.withColumn(SPLIT, F.struct("_metadata.file_path", "_metadata.file_block_start"))
+    lines = _decoded(spark.read.option("lineSep", "\n").text(spec.path), _spark_charset(spec.encoding))
+    found = multiline.records(lines, options["quote"], options["sep"])
+    if options["header"] == "true":
+        found = found.where("NOT first")
+    parsed = F.from_csv("record", schema.simpleString(), {k: v for k, v in options.items() if k not in ("header", "enforceSchema", "encoding")})
+    return found.select(parsed.alias("row"), F.struct("path", "start").alias(SPLIT)).select("row.*", SPLIT)
+
+
+def _splits_at_lines(options: Mapping[str, str]) -> bool:
+    """Whether the lines of a file can be told without its quotes, and cells by one quote and one delimiter."""
+    plain = not options["encoding"].startswith("utf-1") and not options["encoding"].startswith("utf-3")
+    return plain and len(options["quote"]) == 1 and options["escape"] == options["quote"] and not {"lineSep", "comment"} & set(options)
 
 
 def read_csv(
@@ -130,13 +150,16 @@ def read_csv_unschematised(spark: SparkSession, spec: SourceSpec) -> DataFrame:
 
 def _lines(spark: SparkSession, spec: SourceSpec) -> DataFrame:
     """The lines of a source, as ``value``. Its encoding must end lines as ASCII does."""
-    lines = spark.read.text(spec.path)
     charset = _spark_charset(spec.encoding)
+    if charset.startswith("utf-") and charset != "utf-8":
+        raise UnsupportedSource(f"No line reader for encoding {spec.encoding}")
+    return _decoded(spark.read.text(spec.path), charset).select("value")
+
+
+def _decoded(lines: DataFrame, charset: str) -> DataFrame:
     if charset in ("utf-8", "US-ASCII"):
         return lines
-    if charset.startswith("utf-"):
-        raise UnsupportedSource(f"No line reader for encoding {spec.encoding}")
-    return lines.select(F.decode(F.col("value").cast("binary"), charset).alias("value"))
+    return lines.withColumn("value", F.decode(F.col("value").cast("binary"), charset))
 
 
 def read_json_lines(spark: SparkSession, spec: SourceSpec) -> DataFrame:
@@ -338,9 +361,7 @@ def infer_csv(spark: SparkSession, spec: SourceSpec, lines: int | None = None) -
     if not names:
         return spark.createDataFrame([], INFERRED)
     # Header cells may repeat; columns are told apart by position here.
-    read = read_csv_text(spark, spec, [f"_{i}" for i in range(len(names))]).withColumn(
-        "_split", F.struct("_metadata.file_path", "_metadata.file_block_start")
-    )
+    read = read_csv_text(spark, spec, [f"_{i}" for i in range(len(names))])
     read = read if lines is None else read.limit(lines - int(spec.is_first_line_header))
     cells = [F.coalesce(without_nul(F.col(f"_{i}")), F.lit("")).alias(f"_{i}") for i in range(len(names))]
     width = _cells_in_record(F.col(BAD_RECORD), spec)
