@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +26,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: Rows that Python gets at a time: some MB of texts.
+_BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write a table to the shared folder and read it again.
 
@@ -30,15 +38,37 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_dir(spark, label)
-    before = spark.conf.get(_CLEAN, "false")
+    before = {name: spark.conf.get(name, given) for name, given in ((_CLEAN, "false"), (_BATCH, "10000"))}
     spark.conf.set(_CLEAN, "true")
+    spark.conf.set(_BATCH, str(min(int(before[_BATCH]), BATCH_ROWS)))
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(_CLEAN, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
     return spark.read.schema(df.schema).parquet(path)
 
 
+Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def tidied(run: Batches, *forget: Callable[[], None]) -> Batches:
+    """The same function of batches; when a task is done, its Python worker, which others use after it, gives memory back."""
+
+    def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            for f in forget:
+                f()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the C library's own, where it has one
+            if trim is not None:
+                trim(0)
+
+    return call
+
+
 def whole_text(text: Column | str = "text") -> Column:
     """The text, empty where null."""
     column = F.col(text) if isinstance(text, str) else text

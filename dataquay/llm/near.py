@@ -31,9 +31,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dataquay.llm.common import same, staged, whole_text
+from dataquay.llm.common import same, staged, tidied, whole_text
 from dataquay.llm.components import components
-from dataquay.llm.hashing import hashes_of, runs, words_of
+from dataquay.llm.hashing import forget, hashes_of, runs, words_of
 
 WORDS, PERCENT = 5, 80
 #: A pair at the threshold shares no band with a probability of (1 - 0.8**4)**40 = 7e-10.
@@ -112,7 +112,7 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = list(_rows((words_of(t, lower=True) for t in batch.column("text").to_pylist()), length))
+            rows = list(_rows((words_of(t.as_py(), lower=True) for t in batch.column("text")), length))
             digest, n, sketch, keys = zip(*rows) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"), batch.column("text_hash"), pa.array(digest, pa.binary()), pa.array(n, pa.int64()),
@@ -120,7 +120,7 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFr
             ], names=["doc_id", "text_hash", "digest", "n", "sketch", "bands"])
 
     rows = _texts(docs, id_col, text_col).mapInArrow(
-        run, "doc_id long, text_hash long, digest binary, n long, sketch binary, bands array<long>",
+        tidied(run, forget), "doc_id long, text_hash long, digest binary, n long, sketch binary, bands array<long>",
     )
     return staged(rows.withColumn("row_id", F.monotonically_increasing_id()), "near-sketches")
 
@@ -173,7 +173,7 @@ def _plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
                 good = pa.array(~unlikely(a, b, n_a, n_b, percent))
                 yield pa.RecordBatch.from_arrays([part.column("a").filter(good), part.column("b").filter(good)], names=["a", "b"])
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(tidied(run), "a long, b long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -191,7 +191,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             good = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good)], names=["a", "b"])
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(tidied(run), "a long, b long")
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
@@ -202,11 +202,11 @@ def _sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, length:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(words_of(t, lower=True), length).tobytes() for t in batch.column("text").to_pylist()]
+            sets = [shingles(words_of(t.as_py(), lower=True), length).tobytes() for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
     # Repeated rows of one id and text give one set.
-    return staged(found.mapInArrow(run, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles")), "near-sets")
+    return staged(found.mapInArrow(tidied(run, forget), "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles")), "near-sets")
 
 
 def _linked(docs: DataFrame, rows: DataFrame, groups: DataFrame, id_col: str, text_col: str, length: int, percent: int) -> DataFrame | None:
@@ -260,7 +260,7 @@ def _rare_members(sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
                 found = np.frombuffer(raw, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(found), node)), pa.array(np.full(len(found), len(found)))], names=["key", "node", "n"])
 
-    rows = sets.join(nodes, "node", "left_semi").select("node", "shingles").mapInArrow(run, "key long, node long, n long")
+    rows = sets.join(nodes, "node", "left_semi").select("node", "shingles").mapInArrow(tidied(run), "key long, node long, n long")
     shared = staged(rows.groupBy("key").agg(F.count("*").alias("holders")).where("holders > 1"), "near-shingles")
     lists = rows.join(shared, "key").groupBy("node").agg(F.max("n").alias("n"), F.collect_list(F.struct("holders", "key")).alias("some"))
     places = F.expr(f"int(greatest(0, n - (({percent} * n + 99) div 100) + 1 - (n - size(some))))")
@@ -346,7 +346,7 @@ def _links_in_blocks(members: DataFrame, nodes: DataFrame, sets: DataFrame, perc
         "node", "root", "block", F.struct("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).alias("cell"),
     )
     dealt = cells.join(sets, "node").repartition("cell").sortWithinPartitions("cell").select("cell", "node", "block", "root", "shingles")
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(tidied(run), "a long, b long")
 
 
 def _unsettled(labelled: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dataquay.llm.common import whole_text
+from dataquay.llm.common import tidied, whole_text
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Flattens (below 1) or sharpens (above 1) the distribution over segmentations.
@@ -216,8 +216,11 @@ class Known:
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
+        self.forget()
+
+    def forget(self) -> None:
         self.numbers: dict[str, int] = {" ": 0}
-        self.lattices = lattices(vocabulary, [" "])
+        self.lattices = lattices(self.vocabulary, [" "])
 
     def of(self, numbers: dict[str, int]) -> Lattices:
         new = list(numbers)[len(self.numbers):]
@@ -299,21 +302,25 @@ _known: dict[tuple, Known] = {}
 
 
 def _known_lattices(model: str, sharpness: float) -> Known:
-    """One per Python worker: the file is read once for all its tasks."""
+    """One per Python worker: the file is read once for all its tasks; a task forgets its lattices."""
     if (model, sharpness) not in _known:
         _known[model, sharpness] = Known(Vocabulary(model, sharpness))
     return _known[model, sharpness]
 
 
-def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
+def _slices(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """Where a slice of texts begins, and its texts."""
+    texts: list[str] = []
     begin, size = 0, 0
-    for i, text in enumerate(texts):
+    for i, value in enumerate(column):
+        text = value.as_py()
         if size and size + len(text) > SLICE_CHARS:
-            yield begin, i
-            begin, size = i, 0
+            yield begin, texts
+            texts, begin, size = [], i, 0
+        texts.append(text)
         size += len(text)
     if texts:
-        yield begin, len(texts)
+        yield begin, texts
 
 
 def encode(
@@ -338,10 +345,9 @@ def encode(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _known_lattices(model, sharpness)
         for batch in batches:
-            all_texts, keys = batch.column("text").to_pylist(), batch.column("key").to_pylist()
-            for a, b in _slices(all_texts):
-                texts = all_texts[a:b]
-                ids, sizes = segment(known, texts, keys[a:b])
+            for a, texts in _slices(batch.column("text")):
+                b = a + len(texts)
+                ids, sizes = segment(known, texts, batch.column("key").slice(a, b - a).to_pylist())
                 ends = np.cumsum(sizes)
                 right = [known.vocabulary.decode(ids[e - n:e]) == t for t, e, n in zip(texts, ends, sizes)] if check else [None] * len(texts)
                 offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
@@ -351,7 +357,7 @@ def encode(
                     pa.array([len(t) for t in texts], pa.int64()), pa.array(right, pa.bool_()),
                 ], names=["doc_id", "kept", "ids", "n_pieces", "n_chars", "lossless"])
 
-    out = slim.mapInArrow(run, schema)
+    out = slim.mapInArrow(tidied(run, lambda: _known_lattices(model, sharpness).forget()), schema)
     return out.select("doc_id", "ids", "n_pieces", "n_chars", *(["lossless"] if check else []), *(["kept"] if keep else []))
 
 

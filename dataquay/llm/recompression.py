@@ -8,9 +8,17 @@ passages get equal symbols but near their ends, and every symbol knows the
 words that its making depends on.
 
 A window of words is anchored at the symbol with the most text, of those that
-depend on words inside the window alone. Anchors of two documents are equal wherever their
-windows are; so a window without a shared anchor occurs once, and only
-windows with one are compared, by 96 bits of all their words.
+depend on words inside the window alone. So equal windows have equal anchors,
+and an anchor that one document alone has is in no repeat. The neighbouring
+windows of one anchor are a stretch, at most as many as words in a window, so
+that its first and last window hold all its words and name it.
+
+Shared anchors are settled by stretches. The document of the smallest id that has
+an anchor is the first owner of its stretches: wherever one of them occurs again,
+all of its windows are repeats, and none can be of an earlier document. Only
+where a stretch of the first owner doesn't come again whole, as at the ends of a
+passage, are single windows compared, one copy of each distinct stretch of the
+anchor, by 96 bits of their words.
 """
 
 from __future__ import annotations
@@ -24,8 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dataquay.llm.common import same, staged, whole_text
-from dataquay.llm.hashing import hashes_of, mixed, runs, words_of
+from dataquay.llm.common import same, staged, tidied, whole_text
+from dataquay.llm.hashing import mixed, runs, word_hashes
 
 #: More rounds give longer symbols, of which fewer lie inside a window, and more anchors in a text.
 WINDOW, LEVELS = 13, 2
@@ -33,8 +41,8 @@ WINDOW, LEVELS = 13, 2
 RARE_BYTES = 24
 #: Bits of an anchor's name: enough to filter by; windows are compared by 96.
 ANCHOR_BITS = 48
-#: Words that a task lays end to end at a time; a longer text is laid alone.
-PORTION = 200_000
+#: Bytes of texts that a task lays end to end at a time; a longer text is laid alone.
+PORTION = 1_000_000
 _FAR = 1 << 40
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -60,15 +68,13 @@ class Laid(NamedTuple):
     count: np.ndarray
 
 
-def lay(texts: list[list[bytes]]) -> Laid:
-    count = np.fromiter(map(len, texts), np.int64, len(texts))
+def lay(texts: list[bytes]) -> Laid:
+    found, sizes, count = word_hashes(texts)
     begin = np.cumsum(count + 1) - count
     places = int(count.sum()) + len(texts) + 1
-    hashes, size, wall = np.zeros(places, np.uint64), np.zeros(places, np.int64), np.ones(places, bool)
-    for at, words in zip(begin.tolist(), texts):
-        hashes[at:at + len(words)] = hashes_of(words)
-        size[at:at + len(words)] = np.fromiter(map(len, words), np.int64, len(words))
-        wall[at:at + len(words)] = False
+    hashes, size, wall = np.zeros(places, np.uint64), np.zeros(places, np.int64), np.zeros(places, bool)
+    wall[begin - 1] = wall[-1] = True
+    hashes[~wall], size[~wall] = found, sizes
     return Laid(hashes, np.append(0, np.cumsum(size)), wall, begin, count)
 
 
@@ -165,13 +171,13 @@ def window_names(laid: Laid, window: int = WINDOW) -> tuple[np.ndarray, np.ndarr
     return runs(laid.hashes, window, 1).view(np.int64), (runs(laid.hashes, window, 2) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
-    """Rows and their words, some PORTION words at a time."""
+def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Rows and their texts, some PORTION bytes at a time."""
     for batch in batches:
-        texts: list[list[bytes]] = []
+        texts: list[bytes] = []
         begin, size = 0, 0
         for i, text in enumerate(batch.column("text")):
-            texts.append(words_of(text.as_py()))
+            texts.append(text.as_buffer().to_pybytes())
             size += len(texts[-1])
             if size >= PORTION:
                 yield batch.slice(begin, i + 1 - begin), texts
@@ -185,64 +191,81 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
 
 
+def _stretches_of(laid: Laid, window: int, levels: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Neighbouring windows of one anchor: text, anchor, place of the first in its text, how many."""
+    places, text = window_places(laid, window)
+    name = anchors(laid, window, levels)[places].astype(np.int64)
+    change = np.ones(len(name), bool)
+    change[1:] = (name[1:] != name[:-1]) | (text[1:] != text[:-1])
+    at = np.arange(len(name))
+    since = at - np.maximum.accumulate(np.where(change, at, 0))
+    first = np.flatnonzero(since % window == 0)
+    return text[first], name[first], places[first] - laid.begin[text[first]], np.diff(np.append(first, len(name)))
+
+
+def _lists(values: np.ndarray, text: np.ndarray, texts: int) -> pa.ListArray:
+    ends = np.append(0, np.cumsum(np.bincount(text, minlength=texts))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
+
+
 def _measured(window: int, levels: int):
-    """Per text its words, their digest, and its anchors, each once."""
+    """Per text its words, their digest, and its stretches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in _portions(batches):
             laid = lay(texts)
-            places, text = window_places(laid, window)
-            name = anchors(laid, window, levels)[places].astype(np.int64)
-            change = np.ones(len(name), bool)  # neighbouring windows mostly share theirs
-            change[1:] = (name[1:] != name[:-1]) | (text[1:] != text[:-1])
-            name, text = name[change], text[change]
-            order = np.lexsort((name, text))
-            name, text = name[order], text[order]
-            once = np.ones(len(name), bool)
-            once[1:] = (name[1:] != name[:-1]) | (text[1:] != text[:-1])
-            ends = np.append(0, np.cumsum(np.bincount(text[once], minlength=len(texts)))).astype(np.int32)
+            text, name, start, size = _stretches_of(laid, window, levels)
             yield pa.RecordBatch.from_arrays([
                 rows.column("doc_id"), rows.column("text_hash"), pa.array(laid.count),
-                pa.array([hashlib.sha256(b" ".join(words)).digest() for words in texts], pa.binary()),
-                pa.ListArray.from_arrays(pa.array(ends), pa.array(name[once])),
-            ], names=["doc_id", "text_hash", "n_words", "sha", "anchors"])
+                pa.array([hashlib.sha256(b" ".join(text.split())).digest() for text in texts], pa.binary()),
+                *[_lists(x, text, len(texts)) for x in (name, start.astype(np.int32), size.astype(np.int8))],
+            ], names=["doc_id", "text_hash", "n_words", "sha", "anchors", "starts", "sizes"])
 
     return run
 
 
-#: What a window of an anchor may do: be looked up (a smaller id has the anchor), or be found (a larger one has).
-_LOOKED_UP, _FOUND = 1, 2
+def _listed(rows: pa.RecordBatch, laid: Laid, *columns: str) -> tuple[np.ndarray, ...]:
+    """The text of each listed stretch, its place in the laid words, and the columns of its list."""
+    lists = [rows.column(c) for c in columns]
+    text = np.repeat(np.arange(rows.num_rows), lists[0].value_lengths().to_numpy(zero_copy_only=False))
+    values = [x.flatten().to_numpy(zero_copy_only=False) for x in lists]
+    return text, laid.begin[text] + values[0], *values
 
 
-def _windows(window: int, levels: int):
-    """Windows of candidates whose anchor is shared: two names, doc_id, candidate, place, role."""
+def _named(window: int):
+    """The stretches of candidates, named by their first and last window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in _portions(batches):
             laid = lay(texts)
-            names = anchors(laid, window, levels).astype(np.int64)
-            taken, of, may = [], [], []
-            for i, (listed, roles) in enumerate(zip(rows.column("anchors"), rows.column("roles"))):
-                listed, roles = (x.values.to_numpy(zero_copy_only=False) for x in (listed, roles))
-                order = np.argsort(listed)
-                wanted, roles = listed[order], roles[order]
-                begin = laid.begin[i]
-                own = names[begin:begin + max(0, laid.count[i] - window + 1)]
-                if len(wanted) and len(own):
-                    near = np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)
-                    hits = np.flatnonzero(wanted[near] == own)
-                    taken.append(begin + hits)
-                    of.append(np.full(len(hits), i))
-                    may.append(roles[near[hits]])
-            if not taken:
-                continue
-            places, text = np.concatenate(taken), np.concatenate(of)
             one, two = window_names(laid, window)
+            text, place, start, size, anchor, least = _listed(rows, laid, "starts", "sizes", "anchors", "leasts")
+            last = place + size - 1
+            first = mixed(one[place].view(np.uint64) * _A + one[last].view(np.uint64) * _B + size.astype(np.uint64))
+            second = (mixed(two[place].astype(np.uint64) * _A + two[last].astype(np.uint64) * _B) >> np.uint64(32)).astype(np.uint32)
             ids, candidates = (rows.column(c).to_numpy(zero_copy_only=False)[text] for c in ("doc_id", "candidate"))
             yield pa.RecordBatch.from_arrays([
-                pa.array(one[places]), pa.array(two[places]), pa.array(ids), pa.array(candidates),
-                pa.array((places - laid.begin[text]).astype(np.int32)), pa.array(np.concatenate(may).astype(np.int32)),
-            ], names=["one", "two", "doc_id", "candidate", "place", "role"])
+                pa.array(anchor), pa.array(first.view(np.int64)), pa.array(second.view(np.int32)), pa.array(least), pa.array(ids),
+                pa.array(candidates), pa.array(start), pa.array(size),
+            ], names=["anchor", "one", "two", "least", "doc_id", "candidate", "start", "size"])
+
+    return run
+
+
+def _windows(window: int):
+    """The windows of stretches: two names, the stretch's kind, first owner and whether it is open, and the place in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, texts in _portions(batches):
+            laid = lay(texts)
+            one, two = window_names(laid, window)
+            _, place, _, size, kind, first, open_ = _listed(rows, laid, "starts", "sizes", "kinds", "firsts", "opens")
+            of = np.repeat(np.arange(len(place)), size)
+            nth = np.arange(len(of)) - np.repeat(np.cumsum(size, dtype=np.int64) - size, size)
+            at = place[of] + nth
+            yield pa.RecordBatch.from_arrays([
+                pa.array(one[at]), pa.array(two[at]), pa.array(kind[of]), pa.array(first[of]), pa.array(open_[of].astype(bool)), pa.array(nth.astype(np.int32)),
+            ], names=["one", "two", "kind", "first", "open", "nth"])
 
     return run
 
@@ -252,12 +275,12 @@ def _cut(window: int):
         for batch in batches:
             n, sha = [], []
             texts = []
-            for text, places in zip(batch.column("text").to_pylist(), batch.column("places")):
-                words = words_of(text)
+            for text, starts, sizes in zip(batch.column("text"), batch.column("starts"), batch.column("sizes")):
+                words = text.as_buffer().to_pybytes().split()
                 gone = np.zeros(len(words) + 1, np.int64)
-                at = np.unique(places.values.to_numpy(zero_copy_only=False))
+                at, windows = (x.values.to_numpy(zero_copy_only=False).astype(np.int64) for x in (starts, sizes))
                 np.add.at(gone, at, 1)
-                np.add.at(gone, at + window, -1)
+                np.add.at(gone, at + windows - 1 + window, -1)
                 covered = np.cumsum(gone[:-1]) > 0
                 kept = b" ".join([words[i] for i in np.flatnonzero(~covered)])
                 n.append(int(covered.sum()))
@@ -286,31 +309,57 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     """
     texts = _texts(docs, id_col, text_col)
     measured = staged(texts.mapInArrow(
-        _measured(window, levels), "doc_id long, text_hash long, n_words long, sha binary, anchors array<long>",
+        tidied(_measured(window, levels)),
+        "doc_id long, text_hash long, n_words long, sha binary, anchors array<long>, starts array<int>, sizes array<byte>",
     ), "repeat-anchors")
-    rows = measured.drop("anchors")
+    rows = measured.drop("anchors", "starts", "sizes")
     least = rows.where("doc_id IS NOT NULL").groupBy("sha").agg(F.min("doc_id").alias("least"))
     rows = staged(rows.join(least, "sha", "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False))).drop("least"), "repeat-copies")
-    named = measured.where("doc_id IS NOT NULL").select("doc_id", F.explode("anchors").alias("anchor"))
-    shared = staged(named.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most"), "repeat-shared")
-    roles = F.when(F.col("doc_id") > F.col("least"), _LOOKED_UP).otherwise(0) + F.when(F.col("doc_id") < F.col("most"), _FOUND).otherwise(0)
-    lists = named.join(shared, "anchor").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", roles.cast("int").alias("role"))).alias("found"))
-    originals = rows.where("NOT copy AND doc_id IS NOT NULL").select("doc_id").distinct()
-    lists = staged(lists.join(originals, "doc_id", "left_semi").select(
-        F.col("doc_id").alias("l_id"), F.col("found.anchor").alias("anchors"), F.col("found.role").alias("roles"),
-    ), "repeat-lists")
-    candidates = texts.join(lists, F.col("doc_id") == F.col("l_id")).select("doc_id", "text_hash", "text", "anchors", "roles")
+    copies = rows.where("copy").select("doc_id", "text_hash")
+    originals = measured.where("doc_id IS NOT NULL").join(copies, ["doc_id", "text_hash"], "left_anti").select("doc_id", "text_hash", "anchors", "starts", "sizes")
+    each = originals.select("doc_id", "text_hash", F.explode(F.arrays_zip("anchors", "starts", "sizes")).alias("s"))
+    each = each.select("doc_id", "text_hash", F.col("s.anchors").alias("anchor"), F.col("s.starts").alias("start"), F.col("s.sizes").alias("size"))
+    shared = staged(each.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most"), "repeat-shared")
+    lists = each.join(shared, "anchor").groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "size", "anchor", "least")).alias("found"))
+    return _settled(texts, rows, lists, window)
+
+
+def _settled(texts: DataFrame, rows: DataFrame, lists: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+    """What is removed, from the stretches of shared anchors that each text has."""
+    lists = lists.select(F.col("doc_id").alias("l_id"), F.col("text_hash").alias("l_hash"), *[F.col(f"found.{c}").alias(f"{c}s") for c in ("start", "size", "anchor", "least")])
+    candidates = texts.join(lists, (F.col("doc_id") == F.col("l_id")) & (F.col("text_hash") == F.col("l_hash"))).drop("l_id", "l_hash")
     candidates = staged(candidates.withColumn("candidate", F.monotonically_increasing_id()), "repeat-candidates")
-    windows = staged(candidates.mapInArrow(
-        _windows(window, levels), "one long, two int, doc_id long, candidate long, place int, role int",
+    stretches = staged(candidates.drop("text_hash").mapInArrow(
+        tidied(_named(window)), "anchor long, one long, two int, least long, doc_id long, candidate long, start int, size byte",
+    ), "repeat-stretches")
+    name = ["anchor", "one", "two"]
+    kinds = stretches.groupBy(*name).agg(F.min(F.struct("doc_id", "candidate", "start", "size")).alias("first"), F.min("least").alias("least"))
+    kinds = staged(kinds.select(
+        *name, (F.col("first.doc_id") > F.col("least")).alias("open"), "first", F.monotonically_increasing_id().alias("kind"),
+    ), "repeat-kinds")
+    # Anchors of which some stretch doesn't occur in the first owner: the windows of all their stretches are compared.
+    doubtful = kinds.where("open").select("anchor").distinct()
+    asked = kinds.join(doubtful, "anchor", "left_semi").groupBy("first.candidate").agg(
+        F.collect_list(F.struct("first.start", "first.size", "kind", F.col("first.doc_id").alias("first"), F.col("open").cast("byte").alias("open"))).alias("found"),
+    ).select("candidate", *[F.col(f"found.{c}").alias(f"{c}s") for c in ("start", "size", "kind", "first", "open")])
+    windows = staged(candidates.select("candidate", "text").join(asked, "candidate").mapInArrow(
+        tidied(_windows(window)), "one long, two int, kind long, first long, open boolean, nth int",
     ), "repeat-windows")
-    found = windows.where(F.col("role").bitwiseAND(_FOUND) > 0).groupBy("one", "two").agg(F.min("doc_id").alias("least"))
-    looked_up = windows.where(F.col("role").bitwiseAND(_LOOKED_UP) > 0).drop("role")
-    gone = looked_up.join(found, ["one", "two"]).where("least < doc_id")
-    places = staged(gone.groupBy("candidate").agg(F.collect_list("place").alias("places")), "repeat-places")
-    changed = candidates.select("candidate", "doc_id", "text_hash", "text").join(places, "candidate")
-    changed = changed.select("doc_id", "text_hash", "text", "places").mapInArrow(
-        _cut(window), "doc_id long, text_hash long, n_removed long, kept_sha binary, kept_text string",
+    earliest = windows.groupBy("one", "two").agg(F.min("first").alias("earliest"), F.max("open").alias("open")).where("open").drop("open")
+    # Written first: a join of two plain tables is one whose hot keys AQE splits.
+    earliest = staged(earliest, "repeat-earliest")
+    found = windows.where("open").join(earliest, ["one", "two"]).select("kind", "nth", "earliest")
+    of_kind = staged(found.groupBy("kind").agg(F.collect_list(F.struct("nth", "earliest")).alias("found")), "repeat-of-kind")
+    told = stretches.join(kinds.select(*name, "open", "kind", F.col("first.doc_id").alias("first")), name).where(F.col("doc_id") > F.col("least"))
+    told = staged(told.select("candidate", "doc_id", "start", "size", "open", "kind"), "repeat-told")
+    whole = told.where("NOT open").select("candidate", "start", "size")
+    parts = told.where("open").join(of_kind, "kind").select("candidate", "doc_id", "start", F.explode("found").alias("f")).where("f.earliest < doc_id")
+    parts = parts.select("candidate", (F.col("start") + F.col("f.nth")).alias("start"), F.lit(1).cast("byte").alias("size"))
+    gone = whole.unionAll(parts).groupBy("candidate").agg(F.collect_list(F.struct("start", "size")).alias("gone"))
+    gone = staged(gone.select("candidate", F.col("gone.start").alias("starts"), F.col("gone.size").alias("sizes")), "repeat-places")
+    changed = candidates.select("candidate", "doc_id", "text_hash", "text").join(gone, "candidate")
+    changed = changed.select("doc_id", "text_hash", "text", "starts", "sizes").mapInArrow(
+        tidied(_cut(window)), "doc_id long, text_hash long, n_removed long, kept_sha binary, kept_text string",
     )
     return rows, changed
 

@@ -17,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from dataquay.llm.common import same, small, staged, whole_text
+from dataquay.llm.common import same, small, staged, tidied, whole_text
 
 #: Base rules: least words, and most repeated words of a hundred.
 LEAST_WORDS = 50
@@ -70,17 +71,22 @@ def count_text(text: str | None) -> tuple[int, ...]:
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [count_text(x) for x in batch.column("text").to_pylist()]
+        found = [count_text(x.as_py()) for x in batch.column("text")]
         columns = [batch.column("row"), batch.column("text_hash"), *[pa.array([f[i] for f in found], pa.int64()) for i in range(len(COUNTS))]]
         yield pa.RecordBatch.from_arrays(columns, names=["row", "text_hash", *COUNTS])
 
 
+def _text_counts(texts: pa.Array) -> pa.Array:
+    found = [count_text(x.as_py()) for x in texts]
+    return pa.StructArray.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in range(len(COUNTS))], names=list(COUNTS))
+
+
 def with_counts(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
     """`row` (a struct of the columns in `keep`), a hash of the text and its counts."""
     text = whole_text(text_col)
     slim = docs.select(F.struct(*keep).alias("row"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     schema = f"row {slim.schema['row'].dataType.simpleString()}, text_hash long, " + ", ".join(f"{c} long" for c in COUNTS)
-    return slim.mapInArrow(_counted, schema)
+    return slim.mapInArrow(tidied(_counted), schema)
 
 
 def _bin(top: str, bottom: str, bins: int):
@@ -192,9 +198,13 @@ def judge(
 def keep_good(
     docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least_group: int = LEAST_GROUP,
 ) -> DataFrame:
-    """The rows of `docs` that pass, with its columns. The thresholds are learned in a first pass over all rows."""
-    counted = with_counts(docs, text_col, list(docs.columns)).select(
-        "row", F.col("row").getField(lang_col).cast("string").alias("lang"),
-        F.col("row").getField(source_col).cast("string").alias("source"), "text_hash", *COUNTS,
-    )
+    """The rows of `docs` that pass, with its columns. The thresholds are learned in a first pass over all rows.
+
+    Only texts go to Python; the rows wait beside it.
+    """
+    text = whole_text(text_col)
+    counted = docs.select(
+        F.struct("*").alias("row"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"),
+        F.xxhash64(text).alias("text_hash"), F.arrow_udf(_text_counts, T.StructType([T.StructField(c, T.LongType()) for c in COUNTS]))(text).alias("counts"),
+    ).select("row", "lang", "source", "text_hash", "counts.*")
     return judged(counted, least_group).where("kept").select("row.*")

@@ -3,11 +3,13 @@
 Texts equal after each run of white space is made one blank are one group. Rows
 go to partitions by length and content hash, sorted by both. A compressed radix
 trie takes the full byte strings, and its terminal nodes hold the smallest
-identifier. A trie is emptied subtree by subtree: once the stream has passed a
-(length, hash) key, its strings can't come again, so finished keys are
-given out and dropped whenever the trie is over its memory budget. Each map
-task first runs its own batches through a trie, so that a text shared by a
-third of all rows crosses the network once per batch.
+identifier. Over its memory budget a task first lets the rows go that are copies
+of others, so that a text takes the room of one, however often it comes. If that
+is not enough, the trie is emptied subtree by subtree, each given out as rows and
+dropped: once the stream has passed a (length, hash) key, its strings can't come
+again. Each map task first runs its own rows through a trie, so that a text
+shared by a third of all rows crosses the network once per task, or as often as
+the task's other texts fill the budget.
 """
 
 from __future__ import annotations
@@ -15,15 +17,18 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dataquay.llm.common import one_space
+from dataquay.llm.common import one_space, tidied
 
-#: Bytes of strings that a task's trie holds before finished subtrees are given out.
-TRIE_BYTES = 32 << 20
+#: Bytes of strings, nodes and rows that a task holds, but for its last batch; and of a subtree that is given out at once.
+TRIE_BYTES, SUBTREE_BYTES = 32 << 20, 4 << 20
+#: Bytes that a node takes besides its string.
+NODE_BYTES = 400
 _SPACES = re.compile(rb"[\x20\x09-\x0D]+")
 
 
@@ -44,7 +49,7 @@ class PatriciaTrie:
             if child is None:
                 child = [key[at:], {}, None]
                 node[1][key[at]] = child
-                self.bytes += len(key) - at
+                self.bytes += len(key) - at + NODE_BYTES
                 return child
             label = child[0]
             if key.startswith(label, at):
@@ -53,6 +58,7 @@ class PatriciaTrie:
             common = _common_prefix(label, key, at)
             upper = [label[:common], {label[common]: child}, None]
             child[0] = label[common:]
+            self.bytes += NODE_BYTES
             node[1][key[at]] = upper
             node, at = upper, at + common
         return node
@@ -65,6 +71,22 @@ class PatriciaTrie:
                 yield node[2]
             stack.extend(node[1].values())
 
+    def emptied(self, size: int) -> Iterator[list]:
+        """The values of subtrees, some `size` bytes of strings together, which are dropped."""
+        stack, found, taken = [self.root], [], 0
+        self.root, self.bytes = [b"", {}, None], 0
+        while stack:
+            label, children, value = stack.pop()
+            taken += len(label) + NODE_BYTES
+            if value is not None:
+                found.append(value)
+            stack.extend(children.values())
+            if taken >= size and found:
+                yield found
+                found, taken = [], 0
+        if found:
+            yield found
+
 
 def _common_prefix(label: bytes, key: bytes, at: int) -> int:
     """How many bytes of `label` equal `key` from `at`; halves the range, so that slices compare in C."""
@@ -82,48 +104,85 @@ def _normal(text) -> bytes:
     return b"" if text is None else _SPACES.sub(b" ", text.encode("utf-8", "surrogatepass"))
 
 
-def _owners(batches: Iterator[pa.RecordBatch], budget: int | None) -> Iterator[pa.RecordBatch]:
-    """One row per distinct text: the row of the smallest (id, tie), with the rows it stands for.
+class _Task:
+    """A task's trie, and the rows that its terminal nodes point to."""
 
-    budget: None gives out the trie after each batch; a number holds it while the
-    stream, which is then sorted by key, stays on one key or below the budget.
-    """
-    trie, held, last = PatriciaTrie(), [], None
-
-    def given_out() -> Iterator[pa.RecordBatch]:
-        winners: dict[int, list] = {}
-        for (_, _, _), which, at, rows, digest in trie.values():
-            winners.setdefault(which, []).append((at, rows, digest))
-        for which, found in sorted(winners.items()):
-            found.sort()
-            out = held[which].take(pa.array([x[0] for x in found], pa.int64()))
-            columns = {name: out.column(name) for name in out.schema.names}
-            columns["n_rows"] = pa.array([x[1] for x in found], pa.int64())
-            columns["sha"] = pa.array([x[2] for x in found], pa.binary())
+    def __init__(self):
+        self.trie, self.held, self.rows_bytes = PatriciaTrie(), [], 0
+
+    @property
+    def bytes(self) -> int:
+        return self.trie.bytes + self.rows_bytes
+
+    def hold(self, batch: pa.RecordBatch) -> None:
+        self.held.append(batch)
+        self.rows_bytes += batch.nbytes
+
+    def add(self, at: int, content: bytes, rank: tuple, n: int) -> None:
+        """A row of the last batch."""
+        node = self.trie.terminal(content)
+        here = len(self.held) - 1
+        if node[2] is None:
+            node[2] = [rank, here, at, n, hashlib.sha256(content).digest()]
+            return
+        node[2][3] += n
+        if rank < node[2][0]:
+            node[2][:3] = rank, here, at
+
+    def slim(self) -> None:
+        """Only the rows that are owners so far stay: copies take no room."""
+        values = sorted(self.trie.values(), key=lambda v: (v[1], v[2]))
+        self.held = [self._rows(values)] if values else []
+        for place, value in enumerate(values):
+            value[1:3] = 0, place
+        self.rows_bytes = sum(b.nbytes for b in self.held)
+
+    def _rows(self, values: list) -> pa.RecordBatch:
+        """The rows of values that are sorted by batch and place, as a copy."""
+        parts = [self.held[which].take(pa.array([v[2] for v in of], pa.int64())) for which, of in groupby(values, key=lambda v: v[1])]
+        return pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+
+    def given_out(self) -> Iterator[pa.RecordBatch]:
+        """Subtree by subtree, the owners; the trie is empty then."""
+        for values in self.trie.emptied(SUBTREE_BYTES):
+            values.sort(key=lambda v: (v[1], v[2]))
+            rows = self._rows(values)
+            columns = {name: rows.column(name) for name in rows.schema.names}
+            columns["n_rows"] = pa.array([v[3] for v in values], pa.int64())
+            columns["sha"] = pa.array([v[4] for v in values], pa.binary())
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+        self.held, self.rows_bytes = [], 0
 
+
+def _owners(batches: Iterator[pa.RecordBatch], budget: int, by_key: bool) -> Iterator[pa.RecordBatch]:
+    """One row per distinct text: the row of the smallest (id, tie), with the rows it stands for.
+
+    Copies are let go when trie and rows are over the budget. If they still are
+    over half of it, all is given out: at once, or where the stream is sorted
+    `by_key`, as soon as the key changes, so that a text comes out once.
+    """
+    task, last, full = _Task(), None, False
     for batch in batches:
-        texts, ids, ties, rows = (batch.column(c).to_pylist() for c in ("text", "id", "tie", "n_rows"))
+        texts, rows = batch.column("text"), batch.drop_columns(["text"])
+        ids, ties, counts = (batch.column(c).to_pylist() for c in ("id", "tie", "n_rows"))
         keys = list(zip(batch.column("length").to_pylist(), batch.column("hash").to_pylist()))
-        held.append(batch)
+        task.hold(rows)
         for at, text in enumerate(texts):
-            if budget is not None and trie.bytes > budget and keys[at] != last:
-                yield from given_out()
-                trie, held = PatriciaTrie(), [batch]
+            if full and keys[at] != last:
+                yield from task.given_out()
+                task.hold(rows)
+                full = False
             last = keys[at]
-            content = _normal(text)
-            node = trie.terminal(content)
-            rank = (ids[at] is None, 0 if ids[at] is None else ids[at], ties[at])
-            if node[2] is None:
-                node[2] = (rank, len(held) - 1, at, rows[at], hashlib.sha256(content).digest())
-            else:
-                best, which, where, n, digest = node[2]
-                best, which, where = (rank, len(held) - 1, at) if rank < best else (best, which, where)
-                node[2] = (best, which, where, n + rows[at], digest)
-        if budget is None:
-            yield from given_out()
-            trie, held = PatriciaTrie(), []
-    yield from given_out()
+            task.add(at, _normal(text.as_py()), (ids[at] is None, ids[at] or 0, ties[at]), counts[at])
+            if by_key and task.trie.bytes > budget:
+                full = True
+        if task.bytes > budget:
+            task.slim()
+            full = task.bytes > budget // 2
+            if full and not by_key:
+                yield from task.given_out()
+                full = False
+    yield from task.given_out()
 
 
 def owner_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = TRIE_BYTES) -> DataFrame:
@@ -136,10 +195,9 @@ def owner_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.lit(1).cast("long").alias("n_rows"), F.lit(None).cast("binary").alias("sha"),
     )
     text = F.col("row").getField(text_col).cast("string")  # beside the row only inside a task
-    local = keyed.withColumn("text", text)
-    local = local.mapInArrow(lambda batches: _owners(batches, None), local.schema).drop("text")
+    local = keyed.withColumn("text", text).mapInArrow(tidied(lambda batches: _owners(batches, budget, False)), keyed.schema)
     dealt = local.repartition("length", "hash").sortWithinPartitions("length", "hash").withColumn("text", text)
-    return dealt.mapInArrow(lambda batches: _owners(batches, budget), dealt.schema).select("row", "sha", "n_rows")
+    return dealt.mapInArrow(tidied(lambda batches: _owners(batches, budget, True)), keyed.schema).select("row", "sha", "n_rows")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -4,12 +4,13 @@ import hashlib
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from llm import brute
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from dataquay.llm import chat, components, machine, mixing, near, pieces, recompression, rules, secrets, sharding, tries
+from dataquay.llm import chat, components, hashing, machine, mixing, near, pieces, recompression, rules, secrets, sharding, tries
 
 #: Names that operators use inside, as extra columns of documents.
 EXTRA = "row string, node long, sha binary, n long, key long, root long, u double, hash long, target double, place map<string,int>, ids string"
@@ -162,11 +163,23 @@ def test_repeats_of_few_words(spark):
     same([(x.doc_id, x.n_words, x.n_removed, x.kept_sha256) for x in found], brute.windows_removed(rows))
 
 
+def test_words_hash_alike_wherever_they_stand():
+    r = random.Random(11)
+    texts = ["".join(r.choices("abé \n\t\x0b\x1f日", k=r.randrange(200))).encode() for _ in range(50)] + [b"", b"  ", b"x" * 5000, b"a"]
+    found, size, count = hashing.word_hashes(texts)
+    split = [w for t in texts for w in t.split()]
+    assert count.tolist() == [len(t.split()) for t in texts] and size.tolist() == list(map(len, split))
+    assert [w.encode() for t in texts for w in brute.WORD.findall(t.decode())] == split
+    by = dict(zip(split, found.tolist()))
+    assert [by[w] for w in split] == found.tolist() and len(set(by.values())) == len(by)
+    assert all(len(x) == 0 for x in hashing.word_hashes([])[:2]) and hashing.word_hashes([b" "])[2].tolist() == [0]
+
+
 def test_equal_windows_have_equal_anchors():
     r = random.Random(4)
     base = [b"%d" % r.randrange(40) for _ in range(500)]
     texts = [[b"x%d" % r.randrange(9) for _ in range(r.randrange(30))] + base[a:a + r.randrange(5, 80)] + [b"q"] * r.randrange(25) for a in range(0, 400, 7)]
-    laid = recompression.lay(texts)
+    laid = recompression.lay([b" ".join(t) for t in texts])
     names = recompression.anchors(laid, levels=4)
     seen = {}
     for place, text in zip(*recompression.window_places(laid)):
@@ -395,6 +408,45 @@ def test_owners(odd, empty):
     same(spilled, tries.owner_rows(odd).select("sha", "n_rows").collect())
 
 
+def trie_batch(texts, ids) -> pa.RecordBatch:
+    n = len(texts)
+    rows = pa.StructArray.from_arrays([pa.array(texts), pa.array(ids, pa.int64())], names=["text", "doc_id"])
+    columns = [rows, pa.array(ids, pa.int64()), pa.array([0] * n), pa.array([len(t) for t in texts], pa.int64()),
+               pa.array([hash(t) for t in texts], pa.int64()), pa.array([1] * n, pa.int64()), pa.array([None] * n, pa.binary()), pa.array(texts)]
+    return pa.RecordBatch.from_arrays(columns, names=["row", "id", "tie", "length", "hash", "n_rows", "sha", "text"])
+
+
+@pytest.mark.parametrize("by_key", [False, True])
+def test_a_hot_long_text_takes_the_room_of_one(by_key):
+    text, most, before = words(7, 40_000), 0, pa.total_allocated_bytes()
+
+    def batches():
+        nonlocal most
+        for k in range(600):
+            yield trie_batch([text] * 3, [3 * k + 2, 3 * k + 1, 3 * k])
+            most = max(most, pa.total_allocated_bytes() - before)
+
+    found = pa.Table.from_batches(tries._owners(batches(), 4 << 20, by_key)).to_pylist()
+    assert [(r["id"], r["n_rows"], r["row"]["doc_id"]) for r in found] == [(0, 1800, 0)]
+    assert most < 20 << 20  # 1,800 copies are 380 MB
+
+
+def test_more_texts_than_the_budget_come_out_once_each():
+    texts = sorted((words(k, 1 + k % 40) for k in range(900)), key=lambda t: (len(t), hash(t)))
+    every = [t for t in texts for _ in range(3)]
+    batches = [trie_batch(every[k:k + 70], list(range(k, min(k + 70, 2700)))) for k in range(0, 2700, 70)]
+    found = list(tries._owners(iter(batches), 20_000, True))
+    rows = pa.Table.from_batches(found).to_pylist()
+    counts = Counter(every)
+    assert len(found) > 10 and {r["row"]["text"]: r["n_rows"] for r in rows} == counts and len(rows) == len(counts)
+    assert all(r["id"] == every.index(r["row"]["text"]) for r in rows)
+    local = pa.Table.from_batches(tries._owners(iter(batches), 20_000, False)).to_pylist()
+    summed = Counter()
+    for r in local:
+        summed[r["row"]["text"]] += r["n_rows"]
+    assert summed == counts
+
+
 def test_trie_keeps_keys_apart():
     trie = tries.PatriciaTrie()
     keys = [b"", b"a", b"ab", b"abc", b"abd", b"b", b"ab\x00", b"abcabc" * 50, b"abcabc" * 49 + b"x", b"ab"]
@@ -402,6 +454,7 @@ def test_trie_keeps_keys_apart():
         node = trie.terminal(k)
         node[2] = (node[2] or 0) + 1
     assert sum(trie.values()) == len(keys) and sorted(trie.values()) == [1] * 8 + [2]
+    assert sorted(v for part in trie.emptied(1) for v in part) == [1] * 8 + [2] and not list(trie.values())
 
 
 def test_pipeline_stages_on_odd_and_empty_tables(spark, odd, empty):
