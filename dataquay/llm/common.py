@@ -28,6 +28,8 @@ _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 #: Rows that Python gets at a time: some MB of texts.
 _BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+#: A join whose smaller side has no partition above this, as measured, is done by hash instead of by sorting both sides.
+_HASHED, HASHED_BYTES = "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "64m"
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
@@ -38,8 +40,9 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_dir(spark, label)
-    before = {name: spark.conf.get(name, given) for name, given in ((_CLEAN, "false"), (_BATCH, "10000"))}
+    before = {name: spark.conf.get(name, given) for name, given in ((_CLEAN, "false"), (_BATCH, "10000"), (_HASHED, "0"))}
     spark.conf.set(_CLEAN, "true")
+    spark.conf.set(_HASHED, HASHED_BYTES)
     spark.conf.set(_BATCH, str(min(int(before[_BATCH]), BATCH_ROWS)))
     try:
         df.write.option("compression", "zstd").parquet(path)

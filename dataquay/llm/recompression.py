@@ -43,6 +43,8 @@ RARE_BYTES = 24
 ANCHOR_BITS = 48
 #: Bytes of texts that a task lays end to end at a time; a longer text is laid alone.
 PORTION = 1_000_000
+#: A place is where a stretch begins, and in its lowest bits how many windows it has.
+SIZE_BITS = 8
 _FAR = 1 << 40
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -218,18 +220,18 @@ def _measured(window: int, levels: int):
             yield pa.RecordBatch.from_arrays([
                 rows.column("doc_id"), rows.column("text_hash"), pa.array(laid.count),
                 pa.array([hashlib.sha256(b" ".join(text.split())).digest() for text in texts], pa.binary()),
-                *[_lists(x, text, len(texts)) for x in (name, start.astype(np.int32), size.astype(np.int8))],
-            ], names=["doc_id", "text_hash", "n_words", "sha", "anchors", "starts", "sizes"])
+                _lists(name, text, len(texts)), _lists(start << SIZE_BITS | size, text, len(texts)),
+            ], names=["doc_id", "text_hash", "n_words", "sha", "anchors", "places"])
 
     return run
 
 
 def _listed(rows: pa.RecordBatch, laid: Laid, *columns: str) -> tuple[np.ndarray, ...]:
-    """The text of each listed stretch, its place in the laid words, and the columns of its list."""
-    lists = [rows.column(c) for c in columns]
+    """The text of each listed stretch, where it begins among the laid words, its size, and other columns of its list."""
+    lists = [rows.column(c) for c in ("places", *columns)]
     text = np.repeat(np.arange(rows.num_rows), lists[0].value_lengths().to_numpy(zero_copy_only=False))
-    values = [x.flatten().to_numpy(zero_copy_only=False) for x in lists]
-    return text, laid.begin[text] + values[0], *values
+    place, *values = (x.flatten().to_numpy(zero_copy_only=False) for x in lists)
+    return text, laid.begin[text] + (place >> SIZE_BITS), place & ((1 << SIZE_BITS) - 1), *values
 
 
 def _named(window: int):
@@ -239,33 +241,33 @@ def _named(window: int):
         for rows, texts in _portions(batches):
             laid = lay(texts)
             one, two = window_names(laid, window)
-            text, place, start, size, anchor, least = _listed(rows, laid, "starts", "sizes", "anchors", "leasts")
+            text, place, size, anchor, least = _listed(rows, laid, "anchors", "leasts")
             last = place + size - 1
             first = mixed(one[place].view(np.uint64) * _A + one[last].view(np.uint64) * _B + size.astype(np.uint64))
             second = (mixed(two[place].astype(np.uint64) * _A + two[last].astype(np.uint64) * _B) >> np.uint64(32)).astype(np.uint32)
             ids, candidates = (rows.column(c).to_numpy(zero_copy_only=False)[text] for c in ("doc_id", "candidate"))
             yield pa.RecordBatch.from_arrays([
                 pa.array(anchor), pa.array(first.view(np.int64)), pa.array(second.view(np.int32)), pa.array(least), pa.array(ids),
-                pa.array(candidates), pa.array(start), pa.array(size),
-            ], names=["anchor", "one", "two", "least", "doc_id", "candidate", "start", "size"])
+                pa.array(candidates), pa.array((place - laid.begin[text]) << SIZE_BITS | size),
+            ], names=["anchor", "one", "two", "least", "doc_id", "candidate", "place"])
 
     return run
 
 
 def _windows(window: int):
-    """The windows of stretches: two names, the stretch's kind, first owner and whether it is open, and the place in it."""
+    """The windows of stretches: two names, the stretch's first owner, and a tag: kind, place in the stretch, whether it is open."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in _portions(batches):
             laid = lay(texts)
             one, two = window_names(laid, window)
-            _, place, _, size, kind, first, open_ = _listed(rows, laid, "starts", "sizes", "kinds", "firsts", "opens")
+            _, place, size, tag, first = _listed(rows, laid, "tags", "firsts")
             of = np.repeat(np.arange(len(place)), size)
-            nth = np.arange(len(of)) - np.repeat(np.cumsum(size, dtype=np.int64) - size, size)
+            nth = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
             at = place[of] + nth
             yield pa.RecordBatch.from_arrays([
-                pa.array(one[at]), pa.array(two[at]), pa.array(kind[of]), pa.array(first[of]), pa.array(open_[of].astype(bool)), pa.array(nth.astype(np.int32)),
-            ], names=["one", "two", "kind", "first", "open", "nth"])
+                pa.array(one[at]), pa.array(two[at]), pa.array(first[of]), pa.array(tag[of] + (nth << 1)),
+            ], names=["one", "two", "first", "tag"])
 
     return run
 
@@ -275,10 +277,11 @@ def _cut(window: int):
         for batch in batches:
             n, sha = [], []
             texts = []
-            for text, starts, sizes in zip(batch.column("text"), batch.column("starts"), batch.column("sizes")):
+            for text, places in zip(batch.column("text"), batch.column("places")):
                 words = text.as_buffer().to_pybytes().split()
                 gone = np.zeros(len(words) + 1, np.int64)
-                at, windows = (x.values.to_numpy(zero_copy_only=False).astype(np.int64) for x in (starts, sizes))
+                places = places.values.to_numpy(zero_copy_only=False)
+                at, windows = places >> SIZE_BITS, places & ((1 << SIZE_BITS) - 1)
                 np.add.at(gone, at, 1)
                 np.add.at(gone, at + windows - 1 + window, -1)
                 covered = np.cumsum(gone[:-1]) > 0
@@ -310,58 +313,61 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     texts = _texts(docs, id_col, text_col)
     measured = staged(texts.mapInArrow(
         tidied(_measured(window, levels)),
-        "doc_id long, text_hash long, n_words long, sha binary, anchors array<long>, starts array<int>, sizes array<byte>",
-    ), "repeat-anchors")
-    rows = measured.drop("anchors", "starts", "sizes")
-    least = rows.where("doc_id IS NOT NULL").groupBy("sha").agg(F.min("doc_id").alias("least"))
-    rows = staged(rows.join(least, "sha", "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False))).drop("least"), "repeat-copies")
-    copies = rows.where("copy").select("doc_id", "text_hash")
-    originals = measured.where("doc_id IS NOT NULL").join(copies, ["doc_id", "text_hash"], "left_anti").select("doc_id", "text_hash", "anchors", "starts", "sizes")
-    each = originals.select("doc_id", "text_hash", F.explode(F.arrays_zip("anchors", "starts", "sizes")).alias("s"))
-    each = each.select("doc_id", "text_hash", F.col("s.anchors").alias("anchor"), F.col("s.starts").alias("start"), F.col("s.sizes").alias("size"))
+        "doc_id long, text_hash long, n_words long, sha binary, anchors array<long>, places array<long>",
+    ).withColumn("row_id", F.monotonically_increasing_id()), "repeat-anchors")
+    slim = measured.drop("anchors", "places")
+    least = slim.where("doc_id IS NOT NULL").groupBy("sha").agg(F.min("doc_id").alias("least"))
+    rows = staged(slim.join(least, "sha", "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False))).drop("least"), "repeat-copies")
+    originals = measured.where("doc_id IS NOT NULL").join(rows.where("copy").select("row_id"), "row_id", "left_anti")
+    each = originals.select("row_id", "doc_id", F.explode(F.arrays_zip("anchors", "places")).alias("s")).select("row_id", "doc_id", F.col("s.anchors").alias("anchor"), F.col("s.places").alias("place"))
     shared = staged(each.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most"), "repeat-shared")
-    lists = each.join(shared, "anchor").groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "size", "anchor", "least")).alias("found"))
-    return _settled(texts, rows, lists, window)
+    lists = each.select("row_id", "anchor", "place").join(shared, "anchor").groupBy("row_id").agg(F.collect_list(F.struct("place", "anchor", "least")).alias("found"))
+    return rows.drop("row_id"), _settled(texts, lists.join(rows.select("row_id", "doc_id", "text_hash"), "row_id"), window)
 
 
-def _settled(texts: DataFrame, rows: DataFrame, lists: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
-    """What is removed, from the stretches of shared anchors that each text has."""
-    lists = lists.select(F.col("doc_id").alias("l_id"), F.col("text_hash").alias("l_hash"), *[F.col(f"found.{c}").alias(f"{c}s") for c in ("start", "size", "anchor", "least")])
+def _settled(texts: DataFrame, lists: DataFrame, window: int) -> DataFrame:
+    """The texts that change, from the stretches of shared anchors that each has."""
+    lists = lists.dropDuplicates(["doc_id", "text_hash"])  # repeated rows
+    lists = lists.select(F.col("doc_id").alias("l_id"), F.col("text_hash").alias("l_hash"), *[F.col(f"found.{c}").alias(f"{c}s") for c in ("place", "anchor", "least")])
     candidates = texts.join(lists, (F.col("doc_id") == F.col("l_id")) & (F.col("text_hash") == F.col("l_hash"))).drop("l_id", "l_hash")
     candidates = staged(candidates.withColumn("candidate", F.monotonically_increasing_id()), "repeat-candidates")
     stretches = staged(candidates.drop("text_hash").mapInArrow(
-        tidied(_named(window)), "anchor long, one long, two int, least long, doc_id long, candidate long, start int, size byte",
+        tidied(_named(window)), "anchor long, one long, two int, least long, doc_id long, candidate long, place long",
     ), "repeat-stretches")
     name = ["anchor", "one", "two"]
-    kinds = stretches.groupBy(*name).agg(F.min(F.struct("doc_id", "candidate", "start", "size")).alias("first"), F.min("least").alias("least"))
+    kinds = stretches.groupBy(*name).agg(F.min(F.struct("doc_id", "candidate", "place")).alias("first"), F.min("least").alias("least"))
     kinds = staged(kinds.select(
         *name, (F.col("first.doc_id") > F.col("least")).alias("open"), "first", F.monotonically_increasing_id().alias("kind"),
     ), "repeat-kinds")
     # Anchors of which some stretch doesn't occur in the first owner: the windows of all their stretches are compared.
     doubtful = kinds.where("open").select("anchor").distinct()
+    tag = F.shiftleft("kind", SIZE_BITS) + F.col("open").cast("long")
     asked = kinds.join(doubtful, "anchor", "left_semi").groupBy("first.candidate").agg(
-        F.collect_list(F.struct("first.start", "first.size", "kind", F.col("first.doc_id").alias("first"), F.col("open").cast("byte").alias("open"))).alias("found"),
-    ).select("candidate", *[F.col(f"found.{c}").alias(f"{c}s") for c in ("start", "size", "kind", "first", "open")])
+        F.collect_list(F.struct("first.place", tag.alias("tag"), F.col("first.doc_id").alias("first"))).alias("found"),
+    ).select("candidate", *[F.col(f"found.{c}").alias(f"{c}s") for c in ("place", "tag", "first")])
     windows = staged(candidates.select("candidate", "text").join(asked, "candidate").mapInArrow(
-        tidied(_windows(window)), "one long, two int, kind long, first long, open boolean, nth int",
+        tidied(_windows(window)), "one long, two int, first long, tag long",
     ), "repeat-windows")
-    earliest = windows.groupBy("one", "two").agg(F.min("first").alias("earliest"), F.max("open").alias("open")).where("open").drop("open")
+    open_ = F.col("tag").bitwiseAND(1) == 1
+    earliest = windows.groupBy("one", "two").agg(F.min("first").alias("earliest"), F.max(open_).alias("open")).where("open").drop("open")
     # Written first: a join of two plain tables is one whose hot keys AQE splits.
     earliest = staged(earliest, "repeat-earliest")
-    found = windows.where("open").join(earliest, ["one", "two"]).select("kind", "nth", "earliest")
+    found = windows.where(open_).join(earliest, ["one", "two"]).where("earliest < first").select(
+        F.shiftright("tag", SIZE_BITS).alias("kind"), F.shiftright(F.col("tag").bitwiseAND((1 << SIZE_BITS) - 1), 1).alias("nth"), "earliest",
+    )
     of_kind = staged(found.groupBy("kind").agg(F.collect_list(F.struct("nth", "earliest")).alias("found")), "repeat-of-kind")
     told = stretches.join(kinds.select(*name, "open", "kind", F.col("first.doc_id").alias("first")), name).where(F.col("doc_id") > F.col("least"))
-    told = staged(told.select("candidate", "doc_id", "start", "size", "open", "kind"), "repeat-told")
-    whole = told.where("NOT open").select("candidate", "start", "size")
-    parts = told.where("open").join(of_kind, "kind").select("candidate", "doc_id", "start", F.explode("found").alias("f")).where("f.earliest < doc_id")
-    parts = parts.select("candidate", (F.col("start") + F.col("f.nth")).alias("start"), F.lit(1).cast("byte").alias("size"))
-    gone = whole.unionAll(parts).groupBy("candidate").agg(F.collect_list(F.struct("start", "size")).alias("gone"))
-    gone = staged(gone.select("candidate", F.col("gone.start").alias("starts"), F.col("gone.size").alias("sizes")), "repeat-places")
+    told = staged(told.select("candidate", "doc_id", "place", "open", "kind", "first"), "repeat-told")
+    # A stretch that is not the first of its kind is a repeat throughout; the first of an open kind where an earlier document has its windows.
+    whole = told.where("doc_id > first").select("candidate", "place")
+    parts = told.where("open AND doc_id = first").join(of_kind, "kind").select("candidate", "place", F.explode("found").alias("f"))
+    begin = F.shiftleft(F.shiftright("place", SIZE_BITS) + F.col("f.nth"), SIZE_BITS)
+    gone = whole.unionAll(parts.select("candidate", (begin + 1).alias("place"))).groupBy("candidate").agg(F.collect_list("place").alias("places"))
+    gone = staged(gone, "repeat-places")
     changed = candidates.select("candidate", "doc_id", "text_hash", "text").join(gone, "candidate")
-    changed = changed.select("doc_id", "text_hash", "text", "starts", "sizes").mapInArrow(
+    return changed.select("doc_id", "text_hash", "text", "places").mapInArrow(
         tidied(_cut(window)), "doc_id long, text_hash long, n_removed long, kept_sha binary, kept_text string",
     )
-    return rows, changed
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, levels: int = LEVELS) -> DataFrame:
