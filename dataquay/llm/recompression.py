@@ -318,11 +318,12 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     slim = measured.drop("anchors", "places")
     least = slim.where("doc_id IS NOT NULL").groupBy("sha").agg(F.min("doc_id").alias("least"))
     rows = staged(slim.join(least, "sha", "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False))).drop("least"), "repeat-copies")
-    originals = measured.where("doc_id IS NOT NULL").join(rows.where("copy").select("row_id"), "row_id", "left_anti")
-    each = originals.select("row_id", "doc_id", F.explode(F.arrays_zip("anchors", "places")).alias("s")).select("row_id", "doc_id", F.col("s.anchors").alias("anchor"), F.col("s.places").alias("place"))
-    shared = staged(each.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most"), "repeat-shared")
-    lists = each.select("row_id", "anchor", "place").join(shared, "anchor").groupBy("row_id").agg(F.collect_list(F.struct("place", "anchor", "least")).alias("found"))
-    return rows.drop("row_id"), _settled(texts, lists.join(rows.select("row_id", "doc_id", "text_hash"), "row_id"), window)
+    named = measured.where("doc_id IS NOT NULL")
+    originals = named.join(rows.where("copy").select("row_id"), "row_id", "left_anti").select("doc_id", F.explode("anchors").alias("anchor"))
+    shared = staged(originals.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most"), "repeat-shared")
+    each = named.select("row_id", F.explode(F.arrays_zip("anchors", "places")).alias("s")).select("row_id", F.col("s.anchors").alias("anchor"), F.col("s.places").alias("place"))
+    lists = each.join(shared, "anchor").groupBy("row_id").agg(F.collect_list(F.struct("place", "anchor", "least")).alias("found"))
+    return rows.drop("row_id"), _settled(texts, lists.join(rows.where("NOT copy").select("row_id", "doc_id", "text_hash"), "row_id"), window)
 
 
 def _settled(texts: DataFrame, lists: DataFrame, window: int) -> DataFrame:

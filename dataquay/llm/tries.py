@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from dataquay.llm.common import one_space, tidied
 
 #: Bytes of strings, nodes and rows that a task holds, but for its last batch; and of a subtree that is given out at once.
-TRIE_BYTES, SUBTREE_BYTES = 32 << 20, 4 << 20
+TRIE_BYTES, SUBTREE_BYTES = 16 << 20, 4 << 20
 #: Bytes that a node takes besides its string.
 NODE_BYTES = 400
 _SPACES = re.compile(rb"[\x20\x09-\x0D]+")
@@ -101,7 +101,7 @@ def _common_prefix(label: bytes, key: bytes, at: int) -> int:
 
 
 def _normal(text) -> bytes:
-    return b"" if text is None else _SPACES.sub(b" ", text.encode("utf-8", "surrogatepass"))
+    return b"" if text is None else _SPACES.sub(b" ", str(text).encode("utf-8", "surrogatepass"))
 
 
 class _Task:
@@ -154,7 +154,7 @@ class _Task:
         self.held, self.rows_bytes = [], 0
 
 
-def _owners(batches: Iterator[pa.RecordBatch], budget: int, by_key: bool) -> Iterator[pa.RecordBatch]:
+def _owners(batches: Iterator[pa.RecordBatch], text_col: str, budget: int, by_key: bool) -> Iterator[pa.RecordBatch]:
     """One row per distinct text: the row of the smallest (id, tie), with the rows it stands for.
 
     Copies are let go when trie and rows are over the budget. If they still are
@@ -163,14 +163,14 @@ def _owners(batches: Iterator[pa.RecordBatch], budget: int, by_key: bool) -> Ite
     """
     task, last, full = _Task(), None, False
     for batch in batches:
-        texts, rows = batch.column("text"), batch.drop_columns(["text"])
+        texts = batch.column("row").field(text_col)
         ids, ties, counts = (batch.column(c).to_pylist() for c in ("id", "tie", "n_rows"))
         keys = list(zip(batch.column("length").to_pylist(), batch.column("hash").to_pylist()))
-        task.hold(rows)
+        task.hold(batch)
         for at, text in enumerate(texts):
             if full and keys[at] != last:
                 yield from task.given_out()
-                task.hold(rows)
+                task.hold(batch)
                 full = False
             last = keys[at]
             task.add(at, _normal(text.as_py()), (ids[at] is None, ids[at] or 0, ties[at]), counts[at])
@@ -186,7 +186,7 @@ def _owners(batches: Iterator[pa.RecordBatch], budget: int, by_key: bool) -> Ite
 
 
 def owner_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = TRIE_BYTES) -> DataFrame:
-    """One row per distinct text: `row` (the row that stays, as a struct), `sha`, `n_rows` of its group."""
+    """One row per distinct text (a column of strings): `row` (the row that stays, as a struct), `sha`, `n_rows` of its group."""
     normal = one_space(text_col)
     hashable = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
     keyed = docs.select(
@@ -194,10 +194,9 @@ def owner_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.octet_length(normal).cast("long").alias("length"), F.xxhash64(normal).alias("hash"),
         F.lit(1).cast("long").alias("n_rows"), F.lit(None).cast("binary").alias("sha"),
     )
-    text = F.col("row").getField(text_col).cast("string")  # beside the row only inside a task
-    local = keyed.withColumn("text", text).mapInArrow(tidied(lambda batches: _owners(batches, budget, False)), keyed.schema)
-    dealt = local.repartition("length", "hash").sortWithinPartitions("length", "hash").withColumn("text", text)
-    return dealt.mapInArrow(tidied(lambda batches: _owners(batches, budget, True)), keyed.schema).select("row", "sha", "n_rows")
+    local = keyed.mapInArrow(tidied(lambda batches: _owners(batches, text_col, budget, False)), keyed.schema)
+    dealt = local.repartition("length", "hash").sortWithinPartitions("length", "hash")
+    return dealt.mapInArrow(tidied(lambda batches: _owners(batches, text_col, budget, True)), keyed.schema).select("row", "sha", "n_rows")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
