@@ -44,6 +44,14 @@ def profile_columns(t: Tables) -> DataFrame:
     return _rounded(P.profile_columns(t.lineitem, LINE_NUMBERS, exact=True))
 
 
+@query("profile_columns_all", " UNION ALL ".join(
+    f"SELECT {i} AS position, '{c}' AS name, count(DISTINCT {c}) AS distinct_values, count(*) - count({c}) AS missing_total FROM lineitem"
+    for i, c in enumerate(LINE_COLUMNS)))
+def profile_columns_all(t: Tables) -> DataFrame:
+    """Exact, of every column: numbers, texts and dates."""
+    return P.profile_columns(t.lineitem, LINE_COLUMNS, exact=True).select("position", "name", "distinct_values", "missing_total")
+
+
 @query("profile_events", _stats_sql(
     "(SELECT event_id, user_id, CASE WHEN event_type <> 'error' THEN value END AS value FROM events)",
     ("event_id", "user_id", "value")))

@@ -80,6 +80,21 @@ def csv_scan_limit(t: Tables) -> DataFrame:
     return sample.join(known, same, "left").agg(F.count("*").alias("sampled"), F.count("_key").alias("known"))
 
 
+@query("csv_scan_cluster", """
+SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderstatus = 'O'""")
+def csv_scan_cluster(t: Tables) -> DataFrame:
+    """The cluster reader: rows of a wrong width are skipped, whatever the other cells are."""
+    return R.read_source(t.spark, R.SourceSpec("CSV", _ragged_csv(t), scheme="hdfs", attributes=ORDER_ATTRIBUTES[:3])).drop(ERRORS)
+
+
+@query("csv_upload", "SELECT CAST(o_orderkey AS INTEGER) AS o_orderkey, o_orderpriority, CAST(o_custkey AS INTEGER) AS o_custkey FROM orders")
+def csv_upload(t: Tables) -> DataFrame:
+    """Delimiter, names and types of a new file are all found in it."""
+    path = scratch_dir(t.spark, "uploaded-csv")
+    t.orders.select("o_orderkey", "o_orderpriority", "o_custkey").write.options(header=True, sep=";").csv(path)
+    return R.read_source(t.spark, R.uploaded_spec(t.spark, path)).drop(ERRORS)
+
+
 @query("missing_tokens", """
 SELECT o_orderkey, nullif(nullif(o_orderstatus, 'F'), 'P') AS o_orderstatus, o_orderpriority FROM orders""")
 def missing_tokens(t: Tables) -> DataFrame:

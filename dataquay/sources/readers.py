@@ -373,6 +373,17 @@ def infer_csv(spark: SparkSession, spec: SourceSpec, lines: int | None = None) -
     return inferred.withColumn("name", shown)
 
 
+def voted_delimiter(spark: SparkSession, spec: SourceSpec) -> str:
+    """The delimiter that occurs most often in all lines of a source; a comma where none does."""
+    return infer.infer_delimiter(_lines(spark, spec), "value").first()["delimiter"]
+
+
+def uploaded_spec(spark: SparkSession, path: str, **options) -> SourceSpec:
+    """A CSV file as it was uploaded: the delimiter by vote, names by its first line, types by all of its records."""
+    bare = SourceSpec("CSV", path, **options)
+    return inferred_spec(spark, replace(bare, attribute_delimiter=voted_delimiter(spark, bare)))
+
+
 def inferred_spec(spark: SparkSession, spec: SourceSpec) -> SourceSpec:
     """The source with columns named by its header and typed by its records."""
     headed = replace(spec, is_first_line_header=True)

@@ -40,18 +40,28 @@ def export_csv_download(df: DataFrame, path: str) -> None:
     header.unionAll(rows).write.text(path)
 
 
+#: How Spark packs files into tasks: by bytes, largest first, whatever their number and the cores.
+_PACKED = {"spark.sql.files.openCostInBytes": "1", "spark.sql.files.minPartitionNum": "1"}
+
+
 def compact_parquet(spark: SparkSession, path: str, out: str, file_bytes: int = FILE_BYTES) -> int:
     """Rewrite a folder of Parquet files as files of about ``file_bytes``.
 
-    A source below that size becomes one file, as a download needs. Every file
-    that the Parquet reader takes counts, whatever its name ends with. Returns
-    the number of files asked for. Each output file has a task of its own, and
-    rows move between tasks only when there are fewer files than before.
+    Files are packed by their bytes, and larger ones cut between row groups, so
+    that no output file is much above the size and few are below half of it,
+    however uneven the input. A source below that size becomes one file, as a
+    download needs. Every file that the Parquet reader takes counts, whatever its
+    name ends with. Returns the number of files. Each output file has a task of
+    its own, and no row moves between tasks.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    hidden = F.regexp_extract("path", "([^/]*)$", 1).rlike("^[_.]")
-    total = files.where(~hidden).agg(F.sum("length")).first()[0] or 0
-    target = max(1, math.ceil(total / file_bytes))
-    df = spark.read.parquet(path)
-    df.coalesce(target).write.parquet(out)
-    return target
+    before = {name: spark.conf.get(name, None) for name in (*_PACKED, "spark.sql.files.maxPartitionBytes")}
+    try:
+        for name, value in {**_PACKED, "spark.sql.files.maxPartitionBytes": str(file_bytes)}.items():
+            spark.conf.set(name, value)
+        df = spark.read.parquet(path)
+        parts = max(1, df.rdd.getNumPartitions())
+        df.coalesce(parts).write.parquet(out)  # one part at least, so that an empty source has a file too
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+    return parts

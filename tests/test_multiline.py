@@ -156,3 +156,29 @@ def test_a_change_of_splits_is_an_error(spark, tmp_path):
 def test_how_a_line_ends(line, if_closed, if_open):
     assert multiline.open_after(line, False, '"', ",") == if_closed
     assert multiline.open_after(line, True, '"', ",") == if_open
+
+
+def test_uploads_are_read_by_vote(spark, tmp_path):
+    path = tmp_path / "up.csv"
+    path.write_text("id;name\n1;a,b\n2;c\n3;d\n")
+    source = readers.uploaded_spec(spark, str(path))
+    assert source.attribute_delimiter == ";" and [(a.name, a.type) for a in source.attributes] == [("id", "INTEGER"), ("name", "CHARACTER")]
+    (tmp_path / "empty.csv").write_text("")
+    assert readers.voted_delimiter(spark, SourceSpec("CSV", str(tmp_path / "empty.csv"))) == ","
+
+
+def test_compaction_goes_by_size(spark, tmp_path):
+    """One large file and many small ones give files of like sizes, and lose no row."""
+    import os
+
+    from dataquay.sources import writers
+
+    folder, rows = tmp_path / "in", spark.range(60_000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("text"))
+    rows.where("id < 40000").coalesce(1).write.option("parquet.block.size", 200_000).parquet(str(folder))
+    rows.where("id >= 40000").repartition(40).write.mode("append").parquet(str(folder))
+    total = sum(f.stat().st_size for f in folder.glob("*.parquet"))
+    n = writers.compact_parquet(spark, str(folder), str(tmp_path / "out"), total // 6)
+    sizes = [os.path.getsize(f) for f in (tmp_path / "out").glob("*.parquet")]
+    assert 6 <= len(sizes) <= n <= 12 and max(sizes) <= 2 * total // 6
+    assert spark.read.parquet(str(tmp_path / "out")).exceptAll(rows).isEmpty()
+    assert writers.compact_parquet(spark, str(folder), str(tmp_path / "one")) == 1
