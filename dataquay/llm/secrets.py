@@ -9,6 +9,7 @@ are owner-specific.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -43,6 +44,24 @@ _SPAN = "struct<start:long,rank:int,end:long,kind:string,value:string>"
 _HASHED = "array<struct<start:long,rank:int,end:long,kind:string,hash:string>>"
 
 
+def _running(items: Column, add: Callable[[Column, Column], Column]) -> Column:
+    """The array with each item replaced by `add` over all items up to it.
+
+    Each step adds the item twice as far back as the step before, so that n
+    items take n log n additions and no array grows by one item at a time.
+    """
+    def step(acc: Column, back: Column) -> Column:
+        told = F.transform(acc, lambda x, i: F.when(i >= back, add(F.get(acc, i - back), x)).otherwise(x))
+        return F.when(back < F.size(acc), told).otherwise(acc)
+
+    return F.aggregate(F.array(*[F.lit(1 << k) for k in range(31)]), items, step)
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once a row, whatever lambdas use it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def spans_of(text: Column, kind: Kind, rank: int) -> Column:
     """The spans of a kind, leftmost and not overlapping, as an array of structs; code points.
 
@@ -51,25 +70,39 @@ def spans_of(text: Column, kind: Kind, rank: int) -> Column:
     """
     matches = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
     pieces = F.arrays_zip(F.split(text, kind.pattern, -1).alias("gap"), matches.alias("match"))
-    start = lambda acc, x: acc["at"] + F.length(x["gap"])
-    found = F.aggregate(
-        F.filter(pieces, lambda x: x["match"].isNotNull()),
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:long,match:string>>").alias("all")),
-        lambda acc, x: F.struct(
-            (start(acc, x) + F.length(x["match"])).alias("at"),
-            F.concat(acc["all"], F.array(F.struct(start(acc, x).alias("start"), x["match"].alias("match")))).alias("all"),
-        ),
-        lambda acc: acc["all"],
+    found = _running(
+        F.transform(F.filter(pieces, lambda x: x["match"].isNotNull()), lambda x: F.struct(
+            (F.length(x["gap"]) + F.length(x["match"])).cast("long").alias("end"), x["match"].alias("match"),
+        )),
+        lambda before, x: F.struct((before["end"] + x["end"]).alias("end"), x["match"].alias("match")),
     )
     value = lambda x: F.regexp_extract(x["match"], kind.pattern, kind.group)
     named = F.transform(found, lambda x: F.struct(
-        x["start"].alias("start"), F.lit(rank).alias("rank"), (x["start"] + F.length(x["match"])).alias("end"),
+        (x["end"] - F.length(x["match"])).alias("start"), F.lit(rank).alias("rank"), x["end"].alias("end"),
         F.lit(kind.name).alias("kind"), value(x).alias("value"),
     ))
     kept = F.filter(named, lambda x: F.length(x["value"]) >= kind.least)
     return F.when(text.rlike(kind.pattern), kept).otherwise(F.array()).cast(f"array<{_SPAN}>")
 
 
+def _outside(spans: Column, base: Column) -> Column:
+    """The spans that overlap none of `base`, which is sorted by start.
+
+    Of the base spans that start before a span ends, found by halving, the
+    furthest end tells.
+    """
+    def alone(x: Column, reach: Column) -> Column:
+        before = F.aggregate(F.array(*[F.lit(1 << k) for k in reversed(range(30))]), F.lit(0), lambda n, step: F.when(
+            F.get(reach, n + step - 1)["start"] < x["end"], n + step,
+        ).otherwise(n))
+        return ~F.coalesce(F.get(reach, before - 1)["end"] > x["start"], F.lit(False))
+
+    ends = F.transform(base, lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end")))
+    furthest = _running(ends, lambda before, b: F.struct(b["start"].alias("start"), F.greatest(before["end"], b["end"]).alias("end")))
+    found = _let(furthest, lambda reach: F.filter(spans, lambda x: alone(x, reach)))
+    return F.when((F.size(spans) > 0) & (F.size(base) > 0), found).otherwise(spans)
+
+
 def _loose(text: Column) -> Column:
     found = spans_of(text, LOOSE, len(BASE))
     return F.filter(found, lambda x: x["value"].rlike(MIXED))
@@ -92,8 +125,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner:
         F.monotonically_increasing_id().alias("row_id"), F.col(id_col).alias("doc_id"), column(owner).alias("owner"),
         column(repository).alias("repository"), _hashed(base).alias("base"), _hashed(_loose(text)).alias("loose"),
     )
-    inside = lambda x: F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    return staged(rows.withColumn("loose", F.filter("loose", lambda x: ~inside(x))), "secret-spans")
+    return staged(rows.withColumn("loose", _outside(F.col("loose"), F.col("base"))), "secret-spans")
 
 
 def ownership(scanned: DataFrame, most_owners: int = MOST_OWNERS, most_repositories: int = MOST_REPOSITORIES) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter
 
 import pyarrow as pa
@@ -78,6 +79,29 @@ def test_widely_copied_secrets_are_no_live_ones(spark):
         assert kinds == ([("loose", True, 1)] if r.doc_id == 99 else [("assign", False, 9)])
 
 
+def test_secrets_of_a_text_with_very_many_matches(spark):
+    """A hundred thousand matches in one text, which work that grows with their square would not end."""
+    hexes = [hashlib.md5(str(i).encode()).hexdigest() for i in range(100_000)]
+    text = " ".join(h if i % 2 else f"Ab3{h.upper()}" + (f" token={h}" if i % 10 == 0 else "") for i, h in enumerate(hexes))
+    docs = spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string")
+    found = secrets.find_secrets(docs).select(
+        F.sha2(secrets.listed(F.col("base")), 256), F.size("base"), F.size(F.filter("spans", lambda s: s["kind"] == "loose")),
+    ).collect()
+    expected = brute.base_secrets(text)
+    digits = sum(bool(re.search("[0-9]{24}", h)) for h in hexes[::2])  # hex spans themselves
+    assert [tuple(r) for r in found] == [(expected[3], sum(expected[:3]), 50_000 - digits)]
+
+
+def test_loose_spans_inside_base_spans_are_left_out(spark):
+    """A long base span covers later starts of others; what overlaps none stays."""
+    mixed = "aB3" * 8
+    text = f"{mixed} secret={mixed}/{'a1' * 15}/{mixed} {mixed}x AKIA{'B7' * 12} {mixed}y"
+    found = secrets.find_secrets(spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string")).first()
+    inside = lambda s: any(b.start < s.end and s.start < b.end for b in found.base)
+    loose = [s for s in found.spans if s.kind == "loose"]
+    assert [text[s.start:s.end] for s in loose] == [mixed, mixed + "x", mixed + "y"] and not any(map(inside, loose))
+
+
 def test_machine(spark, odd, empty):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(25)] + [(3, None, 0), (None, 1, 1), (4, 1, 0), (4, 0, 0)], "doc_id long, quality int, toxic int")
     learned = machine.train(odd, labels)
