@@ -1,9 +1,10 @@
 """Quality rules with adaptive thresholds.
 
 Each rule compares a ratio of a document with a threshold learned for its
-language and source. The sketch of a group is a histogram over whole-number
-bins: sketches of parts that have no text in common merge by adding counts, in
-any order, and a quantile read from it is off by one bin at most. A text counts
+language and source. The sketch of a group is a histogram over a bounded number
+of bins, whole numbers first and then ever wider ones: sketches of parts that
+have no text in common merge by adding counts, in any order, and a quantile read
+from it is off by one bin at most, or by one part in 2,048 of large numbers. A text counts
 once in a group, however many copies it has there. Groups with few texts use
 their language's sketch, small languages the sketch of all documents.
 """
@@ -15,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,7 +30,7 @@ LEAST_GROUP = 100
 #: A threshold is the median plus (less) SPREAD times the distance from it to the
 #: nearer quartile, which counts as `floor` bins at least.
 SPREAD = 8
-#: (ratio, numerator, denominator, bins per unit, spread floor in bins, sides). A bin is bins * numerator div denominator.
+#: (ratio, numerator, denominator, bins per unit, spread floor in bins, sides). A bin is the place of bins * numerator div denominator.
 RULES = (
     ("symbols", "n_symbols", "n_words", 1000, 12, "high"),
     ("repeats", "n_repeat_words", "n_words", 200, 9, "high"),
@@ -37,6 +38,9 @@ RULES = (
     ("word_length", "word_chars", "n_words", 100, 25, "both"),
     ("capitals", "n_capitals", "word_chars", 1000, 12, "high"),
 )
+#: Up to 2 ** PLACE_BITS each whole number is a bin; above, numbers that agree in their first PLACE_BITS bits
+#: share one. A sketch has some 110,000 bins at most, whatever the ratios.
+PLACE_BITS = 12
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SYMBOL = re.compile(r"[#*$%&|<>]")
@@ -89,8 +93,11 @@ def with_counts(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
     return slim.mapInArrow(tidied(_counted), schema)
 
 
-def _bin(top: str, bottom: str, bins: int):
-    return F.expr(f"CASE WHEN {bottom} > 0 THEN {bins} * {top} div {bottom} ELSE 0 END")
+def _bin(top: str, bottom: str, bins: int) -> Column:
+    value = F.expr(f"CASE WHEN {bottom} > 0 THEN {bins} * {top} div {bottom} ELSE 0L END")
+    more = F.length(F.bin(value)) - PLACE_BITS
+    shared = more * (1 << PLACE_BITS - 1) + F.call_function("shiftright", value, more)
+    return F.when(value < 1 << PLACE_BITS, value).otherwise(shared).cast("long")
 
 
 def sketches(counted: DataFrame) -> DataFrame:

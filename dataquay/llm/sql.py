@@ -63,8 +63,11 @@ _RULES = {r[0]: r for r in rules.RULES}
 
 
 def _bin(rule: str) -> str:
+    """The place of a ratio: itself, or above 2 ** PLACE_BITS its first bits and how many follow."""
     _, top, bottom, bins, _, _ = _RULES[rule]
-    return f"CASE WHEN {bottom} > 0 THEN {bins} * {top} // {bottom} ELSE 0 END"
+    value = f"(CASE WHEN {bottom} > 0 THEN {bins} * {top} // {bottom} ELSE 0 END)"
+    more = f"(length(bin({value})) - {rules.PLACE_BITS})"
+    return f"CASE WHEN {value} < {1 << rules.PLACE_BITS} THEN {value} ELSE {more} * {1 << rules.PLACE_BITS - 1} + ({value} >> CAST({more} AS INTEGER)) END"
 
 
 def _broken(rule: str) -> str:
@@ -81,22 +84,29 @@ grams AS (SELECT doc_id, p, w[p] || ' ' || w[p + 1] || ' ' || w[p + 2] AS gram
           FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 1))) AS p FROM split)),
 twice AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM grams) WHERE n > 1),
 repeated AS (SELECT doc_id, count(DISTINCT q) AS n_repeat_words FROM (SELECT doc_id, p + unnest([0, 1, 2]) AS q FROM twice) GROUP BY doc_id),
-counted AS (SELECT s.doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+counted AS (SELECT s.doc_id, lang, source, t, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
                    CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
                    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
                    coalesce(n_repeat_words, 0) AS n_repeat_words, CAST(len(lines) AS BIGINT) AS n_lines,
                    CAST(length(regexp_replace(t, '[^A-Z]', '', 'g')) AS BIGINT) AS n_capitals
             FROM split s LEFT JOIN repeated r ON r.doc_id = s.doc_id),
-binned AS ({" UNION ALL ".join(f"SELECT lang, source, '{r}' AS rule, {_bin(r)} AS bin FROM counted" for r in _RULES)}),
-levels AS (SELECT 0 AS level, NULL AS lang, NULL AS source, rule, bin FROM binned
-           UNION ALL SELECT 1, lang, NULL, rule, bin FROM binned UNION ALL SELECT 2, lang, source, rule, bin FROM binned),
+binned AS ({" UNION ALL ".join(f"SELECT lang, source, md5(t) AS name, '{r}' AS rule, {_bin(r)} AS bin FROM counted" for r in _RULES)}),
+levels AS (SELECT DISTINCT 0 AS level, NULL AS lang, NULL AS source, name, rule, bin FROM binned
+           UNION ALL SELECT DISTINCT 1, lang, NULL, name, rule, bin FROM binned UNION ALL SELECT DISTINCT 2, lang, source, name, rule, bin FROM binned),
 points AS (SELECT level, lang, source, rule, count(*) AS n, list_sort(list(bin)) AS b FROM levels GROUP BY ALL
            HAVING count(*) >= {rules.LEAST_GROUP} OR level = 0),
-quartiles AS (SELECT *, b[(n + 3) // 4] AS q1, b[(n + 1) // 2] AS q2, b[(3 * n + 3) // 4] AS q3,
+quantiles AS (SELECT *, {", ".join(f"b[({q} * n + 19) // 20] AS q{q}" for q in (1, 5, 10, 15, 19))},
                      CASE rule {" ".join(f"WHEN '{r}' THEN {_RULES[r][4]}" for r in _RULES)} END AS least FROM points),
-cuts AS (SELECT level, lang, source, [map(list(rule ORDER BY rule), list(q2 + {rules.SPREAD} * greatest(q3 - q2, least) ORDER BY rule)),
-                map(list(rule ORDER BY rule), list(q2 - {rules.SPREAD} * greatest(q2 - q1, least) ORDER BY rule))] AS cuts
-         FROM quartiles GROUP BY level, lang, source)
+own AS (SELECT level, lang, source, rule, q10 + {rules.SPREAD} * greatest(least(q10 - q5, q15 - q10), least) AS high,
+               q10 - {rules.SPREAD} * greatest(least(q10 - q5, q15 - q10), least) AS low,
+               q5 + {rules.SPREAD} * greatest(q5 - q1, least) AS tail_high, q15 - {rules.SPREAD} * greatest(q19 - q15, least) AS tail_low FROM quantiles),
+of_all AS (SELECT * FROM own WHERE level = 0),
+of_lang AS (SELECT o.level, o.lang, o.source, o.rule, least(o.high, greatest(u.high, o.tail_high)) AS high, greatest(o.low, least(u.low, o.tail_low)) AS low
+            FROM own o JOIN of_all u ON u.rule = o.rule WHERE o.level = 1),
+of_source AS (SELECT o.level, o.lang, o.source, o.rule, least(o.high, greatest(u.high, o.tail_high)) AS high, greatest(o.low, least(u.low, o.tail_low)) AS low
+              FROM own o JOIN of_lang u ON u.rule = o.rule AND u.lang IS NOT DISTINCT FROM o.lang WHERE o.level = 2),
+cuts AS (SELECT level, lang, source, [map(list(rule ORDER BY rule), list(high ORDER BY rule)), map(list(rule ORDER BY rule), list(low ORDER BY rule))] AS cuts
+         FROM (SELECT level, lang, source, rule, high, low FROM of_all UNION ALL FROM of_lang UNION ALL FROM of_source) GROUP BY level, lang, source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < {rules.LEAST_WORDS} OR 100 * n_repeat_words > {rules.MOST_REPEATED} * n_words AS base_failed,
        NOT (n_words < {rules.LEAST_WORDS} OR 100 * n_repeat_words > {rules.MOST_REPEATED} * n_words OR {" OR ".join(map(_broken, _RULES))}) AS kept

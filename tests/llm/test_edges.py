@@ -5,12 +5,15 @@ import random
 import re
 from collections import Counter
 
+import duckdb
 import pyarrow as pa
 import pytest
+from compare import compare
 from llm import brute
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from corpus_pipeline import QUERIES
 from dataquay.llm import chat, components, hashing, machine, mixing, near, pieces, recompression, rules, secrets, sharding, tries
 
 #: Names that operators use inside, as extra columns of documents.
@@ -412,6 +415,46 @@ def test_junk_heavy_sources_lose_their_junk(spark, junk):
     assert judged_signs(spark, texts) == {("clean", 0, True): 400, ("junk", 40, False): 2 * junk, ("junk", 0, True): 200 - 2 * junk}
 
 
+def junk_table():
+    """Two sources, clean and half junk, copies, a ratio of millions, and one document for each rule to break."""
+    rows = [(words(k, 80), "clean") for k in range(300)]
+    rows += [(words(300 + k, 80) + " #" * (40 if k % 2 else 0), "junk") for k in range(200)]
+    rows += [(words(500, 80) + " $" * 40, "clean")] * 50
+    rows += [(words(600 + k, 80), None) for k in range(120)] + [("#" * 20_000, "clean"), (None, "junk"), ("w" * 9_000, None)]
+    good = words(900, 100).split()
+    broken = {
+        "symbols": " ".join(good[:80]) + " #" * 40,
+        "repeats": " ".join(good[:45] + good[:30] + good[45:100]) + " " + words(901, 12),
+        "dup_lines": "\n".join([" ".join(good[k:k + 10]) for k in range(0, 100, 10)] + ["x"] * 12),
+        "word_length": " ".join(w * 9 for w in good),
+        "capitals": " ".join(w.upper() if k % 3 == 0 else w for k, w in enumerate(good)),
+    }
+    rows += [(text, "clean") for text in broken.values()]
+    named = [(k, text, "en", source) for k, (text, source) in enumerate(rows)]
+    return named, dict(zip(broken, [r[0] for r in named[-len(broken):]]))
+
+
+def test_each_rule_rejects_and_sql_agrees_on_junk(spark, tmp_path):
+    rows, breakers = junk_table()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r.doc_id: r for r in rules.judge(docs).collect()}
+    assert {rule: (found[i].broken, found[i].base_failed) for rule, i in breakers.items()} == {r[0]: ([r[0]], False) for r in rules.RULES}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert compare(QUERIES["op9_adaptive_rules"].run(spark, str(tmp_path)), con, QUERIES["op9_adaptive_rules"].sql) is None
+
+
+def test_bins_are_few_and_in_order(spark):
+    """Ratios of any size fall into a bounded number of bins, as near as a part in 2,048, and stay in order."""
+    tops = sorted({x for k in range(50) for x in (2 ** k - 1, 2 ** k, 2 ** k + 1, 3 * 2 ** k, 5 * 2 ** k + 7)})
+    rows = spark.createDataFrame([(x,) for x in tops], "top long").select("top", F.lit(1).alias("one")).select("top", rules._bin("top", "one", 1).alias("bin"))
+    bins = {r.top: r.bin for r in rows.collect()}
+    found = [bins[x] for x in tops]
+    assert found == sorted(found) and found[-1] < 110_000 and all(bins[x] == x for x in tops if x <= 4096)
+    assert all(b - a <= a / 2048 + 1 for a, b in zip(tops, tops[1:]) if bins[a] == bins[b])
+
+
 def test_copies_do_not_move_thresholds(spark):
     texts = [("s", 0, 1)] * 150 + [("s", 40, 600)] + [("t", 0, 1)] * 120
     assert judged_signs(spark, texts) == {("s", 0, True): 150, ("s", 40, False): 600, ("t", 0, True): 120}
