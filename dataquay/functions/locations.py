@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,11 @@ from pyspark.sql import functions as F
 DEFAULT_PORTS = {"mysql": 3306, "hive": 10000, "hive2": 10000}
 
 
+def without_patterns(path: str) -> str:
+    """A path that Spark's readers take as it stands: some signs are patterns to them."""
+    return re.sub(r"([\\{}\[\]*?])", r"\\\1", path)
+
+
 def first_filled(*candidates: Column) -> Column:
     """The first candidate that is neither NULL nor empty."""
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in candidates])

@@ -14,7 +14,6 @@ run reads those files again.
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections.abc import Sequence
 
@@ -23,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dataquay.functions.locations import without_patterns
 from dataquay.operators.profile import DISTINCT_LOG_SIZE
 
 #: Size of a quantile sketch: ranks are off by about 0.5 %.
@@ -96,8 +96,7 @@ def add_new_files(
         return 0
     whole = spark.read.parquet(path)
     names = list(columns or whole.columns)
-    # The reader takes some signs of a name for patterns.
-    plain = [re.sub(r"([\\{}\[\]*?])", r"\\\1", row["path"]) for row in wanted]
+    plain = [without_patterns(row["path"]) for row in wanted]
     df = spark.read.schema(whole.schema).option("basePath", path).parquet(*plain)
     run = uuid.uuid4().hex
     pieces = _sketches(df, names).withColumn("run", F.lit(run))

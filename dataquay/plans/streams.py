@@ -11,6 +11,7 @@ from dataquay.plans.scans import EVENT_KINDS, UPLOAD_PARTS, upload_parts
 from dataquay.session import scratch_dir
 from dataquay.sources import readers as R
 from dataquay.sources import writers as W
+from dataquay.streaming.drift import ingest_files
 from dataquay.streaming.ingest import ingest_csv
 from dataquay.streaming.uploads import UploadTracker
 
@@ -47,3 +48,35 @@ def stream_ingest(t: Tables) -> DataFrame:
     rows = t.spark.read.parquet(f"{root}/rows").select(F.lit("rows").alias("side"), "event_id")
     rejected = t.spark.read.parquet(f"{root}/rejected").select(F.lit("rejected").alias("side"), "event_id")
     return rows.unionByName(rejected)
+
+
+def _drifting(fmt: str):
+    def run(t: Tables) -> DataFrame:
+        """Three deliveries: as declared, with a column more and in another order, and with one less and text for a number."""
+        source, root = scratch_dir(t.spark, "drifting"), scratch_dir(t.spark, "ingested")
+        kind, base = F.col("event_type"), ("event_id", "user_id", "event_type")
+        text = F.when(kind == "error", "broken").otherwise(F.col("value").cast("string")).alias("value")
+        spec = R.SourceSpec(fmt, f"{source}/*", attributes=INGEST_ATTRIBUTES, is_first_line_header=True)
+        deliveries = (
+            t.events.where("event_type = 'click'").select(*base, "value"),
+            t.events.where("event_type = 'view'").select("value", F.lit("shop").alias("channel"), *base),
+            t.events.where("event_type NOT IN ('click', 'view') OR event_type IS NULL").select("event_type", text, "event_id"),
+        )
+        for i, rows in enumerate(deliveries):
+            writer = rows.write.option("header", True)
+            {"CSV": writer.csv, "JSON": writer.json, "PARQUET": writer.parquet}[fmt](f"{source}/{i}")
+            ingest_files(t.spark, spec, root).awaitTermination()
+        sides = [
+            t.spark.read.parquet(f"{root}/{side}").select(F.lit(side).alias("side"), "event_id", "user_id", F.try_element_at("_extra", F.lit("channel")).alias("channel"))
+            for side in ("rows", "rejected")
+        ]
+        return sides[0].unionByName(sides[1])
+
+    return run
+
+
+for _format in ("CSV", "JSON", "PARQUET"):
+    query(f"stream_drift_{_format.lower()}", """
+    SELECT CASE WHEN event_type = 'error' THEN 'rejected' ELSE 'rows' END AS side, event_id,
+           CASE WHEN event_type IN ('click', 'view') THEN user_id END AS user_id, CASE WHEN event_type = 'view' THEN 'shop' END AS channel
+    FROM events""")(_drifting(_format))
