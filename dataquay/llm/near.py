@@ -176,6 +176,11 @@ def _plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(tidied(run), "a long, b long")
 
 
+def _hashes(stored: pa.Scalar) -> np.ndarray:
+    """A set as it is stored: an array of hashes, or their bytes."""
+    return np.frombuffer(stored.as_buffer(), np.int64) if isinstance(stored, pa.BinaryScalar) else stored.values.to_numpy()
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs whose full sets are similar: 100 * shared >= percent * all."""
     side = lambda s: sets.select(F.col("node").alias(s), F.col("shingles").alias(f"f_{s}"))
@@ -185,7 +190,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             good = []
             for x, y in zip(batch.column("f_a"), batch.column("f_b")):
-                x, y = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
+                x, y = _hashes(x), _hashes(y)
                 shared = len(np.intersect1d(x, y, assume_unique=True))
                 good.append(100 * shared >= percent * (len(x) + len(y) - shared))
             good = pa.array(good, pa.bool_())
@@ -202,11 +207,11 @@ def _sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, length:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(words_of(t.as_py(), lower=True), length).tobytes() for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], names=["node", "shingles"])
+            sets = [shingles(words_of(t.as_py(), lower=True), length).view(np.int64) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
 
     # Repeated rows of one id and text give one set.
-    return staged(found.mapInArrow(tidied(run, forget), "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles")), "near-sets")
+    return staged(found.mapInArrow(tidied(run, forget), "node long, shingles array<long>").groupBy("node").agg(F.first("shingles").alias("shingles")), "near-sets")
 
 
 def _linked(docs: DataFrame, rows: DataFrame, groups: DataFrame, id_col: str, text_col: str, length: int, percent: int) -> DataFrame | None:
@@ -253,14 +258,7 @@ def _rare_members(sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     include one that both have among theirs. Shingles of one node alone come
     first in the order, take their places, and need no bucket.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for node, raw in zip(batch.column("node").to_pylist(), batch.column("shingles").to_pylist()):
-                found = np.frombuffer(raw, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(found), node)), pa.array(np.full(len(found), len(found)))], names=["key", "node", "n"])
-
-    rows = sets.join(nodes, "node", "left_semi").select("node", "shingles").mapInArrow(tidied(run), "key long, node long, n long")
+    rows = sets.join(nodes, "node", "left_semi").select(F.explode("shingles").alias("key"), "node", F.size("shingles").cast("long").alias("n"))
     shared = staged(rows.groupBy("key").agg(F.count("*").alias("holders")).where("holders > 1"), "near-shingles")
     lists = rows.join(shared, "key").groupBy("node").agg(F.max("n").alias("n"), F.collect_list(F.struct("holders", "key")).alias("some"))
     places = F.expr(f"int(greatest(0, n - (({percent} * n + 99) div 100) + 1 - (n - size(some))))")
@@ -325,12 +323,12 @@ def _links_in_blocks(members: DataFrame, nodes: DataFrame, sets: DataFrame, perc
         cell, rows = None, []
 
         def links() -> pa.RecordBatch:
-            found = similar_pairs([np.frombuffer(r[4], np.uint64) for r in rows], [r[2] for r in rows], [r[3] for r in rows], percent) if rows else []
+            found = similar_pairs([r[4] for r in rows], [r[2] for r in rows], [r[3] for r in rows], percent) if rows else []
             ends = [pa.array([rows[pair[side]][1] for pair in found], pa.int64()) for side in (0, 1)]
             return pa.RecordBatch.from_arrays(ends, names=["a", "b"])
 
         for batch in batches:
-            for r in zip(*(batch.column(c).to_pylist() for c in ("cell", "node", "block", "root", "shingles"))):
+            for r in zip(*(batch.column(c).to_pylist() for c in ("cell", "node", "block", "root")), map(_hashes, batch.column("shingles"))):
                 if r[0] != cell:
                     yield links()
                     cell, rows = r[0], []
