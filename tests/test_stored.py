@@ -154,3 +154,25 @@ def test_indexed_search_finds_what_a_search_of_all_texts_finds(spark, term):
 def test_runs_of_a_pattern():
     assert postings.literal_runs("%ab\\%c_d\\\\%%") == ["ab%c", "d\\"]
     assert postings.literal_runs("%%") == []
+
+
+def test_postings_are_written_by_the_tasks_that_read_the_texts(spark, monkeypatch):
+    """No text and no posting moves between tasks, and a task holds a stretch at a time."""
+    monkeypatch.setattr(postings, "STRETCH", 100)
+    path = scratch_dir(spark, "test")
+    rows = [(i, f"Text {i * 7919} 𝔘ß {'x' * (i % 4)}") for i in range(300)] + [(0, "again"), (None, "no key"), (7, None), (8, "ab")]
+    df = spark.createDataFrame(rows, "id long, name string")
+    shares = spark.sparkContext.parallelize(range(5), 5).flatMap(lambda p: [tuple(r) for r in rows[p::5]]).toDF(df.schema)
+    postings.index_texts(shares, "id", ("name",), path)
+    written = spark.read.parquet(path).select("*", F.input_file_name().alias("file")).collect()
+    wanted = sorted((postings.gram_number(g), 0, i) for i, t in rows if i is not None and t for g in {t.lower()[k:k + 3] for k in range(len(t) - 2)})
+    assert sorted((r["gram"], r["place"], r["key"]) for r in written) == wanted
+    files = {}
+    for r in written:
+        files.setdefault(r["file"], []).append(r)
+    assert len(files) == 5
+    for found in files.values():
+        assert len({r["key"] % 5 for r in found if r["key"] > 8}) == 1
+        falls = sum(a["gram"] > b["gram"] for a, b in zip(found, found[1:]))
+        assert len(found) / 130 - 1 <= falls <= len(found) / 100
+    assert sorted(r["id"] for r in postings.search_indexed(df, "𝔘ß x", "id", ("name",), path).collect()) == [i for i in range(300) if i % 4]
