@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -21,15 +22,42 @@ def _named(columns: Sequence[str]) -> list[Column]:
     return [F.col(f"`{c}`") for c in columns]
 
 
+def _hash(columns: Sequence[str]) -> Column:
+    """A hash of some columns that knows which of them are missing: plain hashes pass over those."""
+    return F.xxhash64(*[x for c in _named(columns) for x in (c, c.isNull())])
+
+
 def is_unique(df: DataFrame, columns: Sequence[str]) -> bool:
-    """Whether no two rows agree in all of the columns; missing values agree."""
-    return df.groupBy(*_named(columns)).agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    """Whether no two rows agree in all of the columns; missing values agree.
+
+    Rows that agree have one hash, so hashes that are all different settle it, and
+    they alone cross the network. Of equal hashes, the values of two are looked at;
+    only if these differ, and there are more, all values are counted. Text with a
+    collation is counted at once: its equal values may differ in their hashes.
+    """
+    if any("collate" in kind for _, kind in df.select(*_named(columns)).dtypes):
+        return not _has_equal(df, columns)
+    equal = df.groupBy(_hash(columns).alias("_hash")).agg(F.count("*").alias("n")).where("n > 1")
+    found = equal.agg(F.count("*").alias("hashes"), F.min("_hash").alias("low"), F.max("_hash").alias("high")).first()
+    if not found["hashes"]:
+        return True
+    if _has_equal(df.where(_hash(columns).isin(found["low"], found["high"])), columns):
+        return False
+    return found["hashes"] <= 2 or not _has_equal(df, columns)
+
+
+def _has_equal(df: DataFrame, columns: Sequence[str]) -> bool:
+    return not df.groupBy(*_named(columns)).agg(F.count("*").alias("n")).where("n > 1").isEmpty()
 
 
 def _refuted(df: DataFrame, sets: Sequence[Sequence[str]]) -> set[int]:
-    """Places of the sets of which a small part of the keys shows two equal rows: one pass for all of them."""
-    keys = F.array(*[F.struct(F.lit(i).alias("i"), F.array(*[c.cast("string") for c in _named(s)]).alias("key")) for i, s in enumerate(sets)])
-    tall = df.select(F.explode(F.filter(keys, lambda x: F.pmod(F.xxhash64(x["key"]), F.lit(PARTS)) == 0)).alias("s")).select("s.*")
+    """Places of the sets of which a small part of the keys shows two equal rows: one pass for all of them.
+
+    Hashes alone choose the part; keys are made of the rows in it.
+    """
+    inside = [F.pmod(F.xxhash64(*_named(s)), F.lit(PARTS)) == 0 for s in sets]
+    keys = [F.when(x, F.struct(F.lit(i).alias("i"), F.array(*[c.cast("string") for c in _named(s)]).alias("key"))) for i, (x, s) in enumerate(zip(inside, sets))]
+    tall = df.where(reduce(Column.__or__, inside)).select(F.explode(F.array_compact(F.array(*keys))).alias("s")).select("s.*")
     return {r["i"] for r in tall.groupBy("i", "key").agg(F.count("*").alias("n")).where("n > 1").select("i").distinct().collect()}
 
 
@@ -37,9 +65,9 @@ def minimal_unique_sets(df: DataFrame, columns: Sequence[str], most: int = 3) ->
     """The sets of at most `most` columns that tell all rows apart, none of which holds a smaller one.
 
     Level by level: a set is looked at only if no part of it is unique. One pass
-    of sketches estimates the distinct rows of all sets of a level; a set far
-    below the number of rows isn't unique. Another pass looks for equal rows in
-    a small part of the keys of the others, and what is left is counted exactly.
+    looks for equal rows in a small part of the keys of all sets of a level. Another
+    estimates the distinct rows of the others by sketches; a set far below the number
+    of rows isn't unique. What is left is counted exactly.
     A table of one row or none needs no column: the set is empty.
     """
     rows = df.count()
@@ -51,10 +79,12 @@ def minimal_unique_sets(df: DataFrame, columns: Sequence[str], most: int = 3) ->
         sets = [s for s in combinations(columns, size) if not any(set(u) <= set(s) for u in found)]
         for at in range(0, len(sets), SETS_AT_ONCE):
             part = sets[at:at + SETS_AT_ONCE]
+            refuted = _refuted(df, part)
+            part = [s for i, s in enumerate(part) if i not in refuted]
+            if not part:
+                continue
             estimates = df.agg(*[F.hll_sketch_estimate(F.hll_sketch_agg(F.xxhash64(*_named(s)), SKETCH)).alias(f"_{i}") for i, s in enumerate(part)]).first()
-            likely = [s for s, estimate in zip(part, estimates) if estimate >= least]
-            refuted = _refuted(df, likely) if likely else set()
-            found += [s for i, s in enumerate(likely) if i not in refuted and is_unique(df, s)]
+            found += [s for s, estimate in zip(part, estimates) if estimate >= least and is_unique(df, s)]
     return found
 
 

@@ -124,3 +124,31 @@ def test_impact_is_the_chance_of_a_right_guess(spark):
         most[city][illness] += 1
     assert by_set['["city"]'].impact == pytest.approx(sum(max(c.values()) for c in most.values()) / sum(sizes.values()))
     assert U.risk(df.where("false"), ["city"], F.col("illness")).first().impact is None
+
+
+@pytest.mark.parametrize("hashes", [1, 2, 3])
+def test_equal_hashes_of_unequal_values_prove_nothing(spark, monkeypatch, hashes):
+    monkeypatch.setattr(U, "_hash", lambda columns: F.pmod(F.xxhash64(*U._named(columns)), F.lit(hashes)))
+    df = spark.range(30).select("id", (F.col("id") % 7).alias("d e"), F.when(F.col("id") > 3, F.col("id")).alias("f.g"))
+    assert U.is_unique(df, ["id"]) and U.is_unique(df, ["d e", "id"]) and not U.is_unique(df, ["d e"]) and not U.is_unique(df, ["f.g"])
+
+
+def test_different_hashes_settle_a_set(spark, monkeypatch):
+    """No values are counted; missing values have their place."""
+    monkeypatch.setattr(U, "_has_equal", lambda *_: pytest.fail("values were counted"))
+    df = spark.createDataFrame([(i, None) for i in range(50)] + [(None, i) for i in range(50)] + [(i, i) for i in range(50)], "a int, b int")
+    assert U.is_unique(df, ["a", "b"])
+
+
+def test_text_that_is_equal_by_its_collation(spark):
+    df = spark.createDataFrame([("a",), ("A",), ("b",)], "t string")
+    assert U.is_unique(df, ["t"]) and not U.is_unique(df.select(F.col("t").try_cast("string collate UTF8_LCASE").alias("t")), ["t"])
+
+
+def test_sketches_are_made_of_sets_that_are_not_refuted(spark, monkeypatch):
+    made = []
+    sketch = F.hll_sketch_agg
+    monkeypatch.setattr(U.F, "hll_sketch_agg", lambda *a: made.append(a) or sketch(*a))
+    df = spark.range(20_000).select("id", (F.col("id") % 9_000).alias("a"), (F.col("id") % 5_000).alias("b"))
+    assert U.minimal_unique_sets(df, ["id", "a", "b"], 2) == [("id",), ("a", "b")]
+    assert len(made) == 2
