@@ -262,15 +262,13 @@ def share(
     wanted = latest_per_key(allowed, list(PERMISSION_KEY), order)
     rest = [c for c in wanted.columns if c not in PERMISSION_KEY]
     asked = wanted.select(*PERMISSION_KEY, F.struct(*rest).alias("_asked"))
-    # Grants are matched from their side, which AQE can split where a source has very many.
-    changed = grants.join(asked, list(PERMISSION_KEY), "left")
-    updated = changed.select(*[
+    # The requests of a task are held by hash, and its grants pass by: neither is sorted, however many grants a source has.
+    joined = grants.join(asked.hint("shuffle_hash"), list(PERMISSION_KEY), "full")
+    after = joined.select(*[
         c if c in PERMISSION_KEY or c not in rest else F.coalesce(F.col("_asked")[c], F.col(c)).alias(c) for c in grants.columns
     ])
     held = grants.select(*PERMISSION_KEY).distinct().withColumn("_held", F.lit(True))
     matched = wanted.join(held, list(PERMISSION_KEY), "left")
-    added = matched.where(F.col("_held").isNull()).drop("_held")
-    after = updated.unionByName(added.select(*[c for c in added.columns if c in grants.columns]), allowMissingColumns=True)
     action = F.when(F.col("_held").isNull(), "Added").otherwise("Updated")
     return after, matched.select(*PERMISSION_KEY, "permission", action.alias("action"))
 

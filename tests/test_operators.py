@@ -423,3 +423,28 @@ def test_ingest_takes_new_files_only(spark, tmp_path):
     assert [(r["id"], r["_errors"], r["_bad_record"]) for r in rejected] == [
         (2, ["v: <Invalid data>: `x`"], None), (3, [], "3")
     ]
+
+
+def test_sharing_keeps_every_grant_and_sorts_none(spark):
+    """Also grants that come twice, or that lack a person; the requests are held by hash."""
+    shape = "data_source_id int, user_id int, permission string, user_name string"
+    held = [(1, 5, "READ", "e"), (1, 5, "READ", "again"), (1, None, "READ", "n"), (2, 5, "READ", "e"), (None, 5, "READ", "x"), (1, 6, "READ", None)]
+    asked = [(1, 5, "WRITE", None), (1, 5, "MANAGE", "late"), (1, 7, "READ", "g"), (1, None, "WRITE", "m"), (2, 5, "WRITE", "no"), (None, 5, "WRITE", "no")]
+    sources = spark.createDataFrame([(1, 3, False), (2, 4, False)], "id int, user_id int, is_public boolean")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        requests = spark.createDataFrame(asked, shape).withColumn("note", F.lit("not kept"))
+        after, actions = M.share(spark.createDataFrame(held, shape).withColumn("login", F.lit("l")), requests, sources, 3)
+        plan = after._jdf.queryExecution().executedPlan().toString()
+        found = sorted(map(str, map(tuple, after.collect())))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert after.columns == ["data_source_id", "user_id", "permission", "user_name", "login"]
+    wanted = [
+        (1, 5, "WRITE", "e", "l"), (1, 5, "WRITE", "again", "l"), (1, None, "READ", "n", "l"), (2, 5, "READ", "e", "l"), (None, 5, "READ", "x", "l"),
+        (1, 6, "READ", None, "l"), (1, 7, "READ", "g", None), (1, None, "WRITE", "m", None),
+    ]
+    assert found == sorted(map(str, wanted))
+    assert sorted((r["user_id"] or 0, r["action"]) for r in actions.collect()) == [(0, "Added"), (5, "Updated"), (7, "Added")]
+    # Above the requests there is one join, by hash.
+    assert plan.count("FullOuter") == 1 and "ShuffledHashJoin [data_source_id" in plan.split("FullOuter")[0] and "LeftOuter" not in plan
